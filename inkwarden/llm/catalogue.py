@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import p3, p4, p6
+from inkwarden.llm import p3, p4, p6, p7, p8
 
-MODULES = (p3, p4, p6)
+MODULES = (p3, p4, p6, p7, p8)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
