@@ -16,13 +16,13 @@ SAMPLE_LINES = 40_000
 COLUMNS = ["job_id", "line_number", "page_number", "line_on_page", "lines_on_page", "text"]
 
 
-def chunks(lines: DataFrame) -> DataFrame:
+def chunks(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Lines in reading order, documents cut into overlapping chunks so that a document of any length is many tasks' work."""
     n = F.coalesce("line_number", F.lit(-1))
     own = F.floor(n / CHUNK).cast("int")
     place = F.pmod(n, F.lit(CHUNK))
     near = F.when(place < OVERLAP, F.array(own, own - 1)).when(place >= CHUNK - OVERLAP, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = lines.where(F.col("text").isNotNull()).select(*COLUMNS, F.explode(near).alias("chunk"))
+    rows = lines.where(F.col("text").isNotNull()).select(*COLUMNS, *extra, F.explode(near).alias("chunk"))
     return rows.repartition("job_id", "chunk").sortWithinPartitions("job_id", "chunk", "line_number", "text")
 
 
