@@ -21,7 +21,7 @@ def chunks(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     n = F.coalesce("line_number", F.lit(-1))
     own = F.floor(n / CHUNK).cast("int")
     place = F.pmod(n, F.lit(CHUNK))
-    near = F.when(place < OVERLAP, F.array(own, own - 1)).when(place >= CHUNK - OVERLAP, F.array(own, own + 1)).otherwise(F.array(own))
+    near = F.when((place < OVERLAP) & (own > 0), F.array(own, own - 1)).when(place >= CHUNK - OVERLAP, F.array(own, own + 1)).otherwise(F.array(own))
     rows = lines.where(F.col("text").isNotNull()).select(*COLUMNS, *extra, F.explode(near).alias("chunk"))
     return rows.repartition("job_id", "chunk").sortWithinPartitions("job_id", "chunk", "line_number", "text")
 
