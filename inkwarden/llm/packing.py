@@ -9,6 +9,7 @@ tree. Only a document above the capacity is split.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,10 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 PLACED = "spec_name string, capacity int, slot int, container string, item string, tokens int"
 
 
+def _packer(tag: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda group: _pack(group, tag)
+
+
 def _pack(group: pd.DataFrame, tag: str) -> pd.DataFrame:
     group = group.sort_values(["arrival", "item"])
     capacity = int(group["capacity"].iloc[0])
@@ -103,7 +108,7 @@ def pack(documents: DataFrame, specs: DataFrame, key: str, tokens: str, group_ro
         "spec_name", "capacity", arrival.alias("arrival"), F.pmod(F.xxhash64("item", F.lit(7)), F.lit(slots)).cast("int").alias("slot"),
         F.col("row_id").cast("string").alias("item"), "tokens",
     )
-    placed = materialise(items.groupBy("spec_name", "slot").applyInPandas(lambda g: _pack(g, "c0"), PLACED), "placed")
+    placed = materialise(items.groupBy("spec_name", "slot").applyInPandas(_packer("c0"), PLACED), "placed")
     names = placed.select("spec_name", F.col("item").cast("long").alias("row_id"), "container")
     level = 0
     while slots > 1:
@@ -114,8 +119,7 @@ def pack(documents: DataFrame, specs: DataFrame, key: str, tokens: str, group_ro
             "spec_name", "capacity", F.xxhash64("container").alias("arrival"), F.floor(F.col("slot") / FAN_IN).cast("int").alias("slot"),
             F.col("container").alias("item"), "tokens",
         )
-        tag = f"c{level}"
-        placed = materialise(loose.groupBy("spec_name", "slot").applyInPandas(lambda g, tag=tag: _pack(g, tag), PLACED), "placed")
+        placed = materialise(loose.groupBy("spec_name", "slot").applyInPandas(_packer(f"c{level}"), PLACED), "placed")
         moved = placed.select("spec_name", F.col("item").alias("container"), F.col("container").alias("into"))
         names = names.join(moved, ["spec_name", "container"], "left").select(
             "spec_name", "row_id", F.coalesce("into", "container").alias("container")
