@@ -11,7 +11,7 @@ sentences exceeds that subject's threshold, calibrated on the labelled sample.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from inkwarden.session import materialise
 
 MAX_LABELLED = 4_000
-MAX_UNLABELLED = 5_000
+MAX_UNLABELLED = 3_000
 THRESHOLDS = (0.26, 0.28, 0.3, 0.32)
 
 _SENTENCE = regex.compile(r"(?<=[.!?…])\s+|\n+")
@@ -35,7 +35,7 @@ def sentences(text: str) -> list[list[str]]:
     """Words of each sentence; numbers are no words. Sentences without words don't count."""
     out = []
     for s in _SENTENCE.split(text.lower()):
-        w = _WORD.findall(s)
+        w = list(map(sys.intern, _WORD.findall(s)))
         if w:
             out.append(w)
     return out
@@ -61,9 +61,16 @@ class Lexicon:
 
 def learn_terms(docs: list[list[list[str]]], labels: list[set[str]], subjects: list[str], least: int, z_least: float, p_least: float):
     """(terms, weights): a term tells of a subject if documents with the term have it clearly more often than others."""
-    sets = [_grams(d) for d in docs]
-    n = Counter(g for s in sets for g in s)
-    ids = {g: i for i, g in enumerate(sorted(g for g, k in n.items() if k >= least))}
+    every: dict[str, int] = {}
+    sets = [np.array([every.setdefault(g, len(every)) for g in _grams(d)], dtype=np.int32) for d in docs]
+    n = np.zeros(len(every), dtype=np.int32)
+    for s in sets:
+        n[s] += 1
+    names = sorted(g for g, i in every.items() if n[i] >= least)
+    ids = {g: i for i, g in enumerate(names)}
+    place = np.full(len(every), -1, dtype=np.int32)
+    place[[every[g] for g in names]] = np.arange(len(names))
+    del every
     at = {s: k for k, s in enumerate(subjects)}
     seen = np.zeros((len(ids), len(subjects)))
     count = np.zeros(len(ids))
@@ -71,7 +78,8 @@ def learn_terms(docs: list[list[list[str]]], labels: list[set[str]], subjects: l
     for s, lab in zip(sets, labels, strict=True):
         own = [at[x] for x in lab if x in at]
         base[own] += 1
-        rows = np.fromiter((ids[g] for g in s if g in ids), dtype=np.int64)
+        rows = place[s]
+        rows = rows[rows >= 0]
         count[rows] += 1
         for k in own:
             seen[rows, k] += 1
@@ -89,7 +97,6 @@ def learn_terms(docs: list[list[list[str]]], labels: list[set[str]], subjects: l
         inner = [" ".join(w[1:]), " ".join(w[:-1])] if len(w) > 1 else []
         if not any(x in ids and weight[ids[x], k] >= weight[i, k] - 0.1 for x in inner):
             keep.append(i)
-    names = list(ids)
     return [names[i] for i in keep], weight[keep]
 
 
