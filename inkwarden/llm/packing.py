@@ -21,6 +21,7 @@ from inkwarden.session import materialise
 GROUP_ROWS = 20_000
 FAN_IN = 16
 FULL_ENOUGH = 0.99
+MAX_SPECS = 1000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -82,9 +83,12 @@ def pieces(documents: DataFrame, specs: DataFrame, key: str, tokens: str) -> Dat
     without a key are documents as well.
     """
     d = documents.where(F.col(tokens) > 0).select(F.col(key).alias("doc"), F.col(tokens).cast("long").alias("size"))
-    s = specs.where(F.col("capacity_tokens") > 0).select("spec_name", F.col("capacity_tokens").alias("capacity")).distinct()
-    # specs: a handful of rows, each document once per spec, as the result has it
-    return d.join(F.broadcast(s), F.lit(True)).select(
+    known = specs.where(F.col("capacity_tokens") > 0).select("spec_name", "capacity_tokens").distinct().limit(MAX_SPECS + 1).collect()
+    if len(known) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} container sizes")
+    each = [F.struct(F.lit(r[0]).alias("spec_name"), F.lit(r[1]).cast("int").alias("capacity")) for r in sorted(known, key=str)]
+    s = F.array(*each) if each else F.lit(None).cast("array<struct<spec_name:string,capacity:int>>")
+    return d.select("doc", "size", F.inline(s)).select(
         "spec_name", "capacity", "doc", "size", F.posexplode(F.sequence(F.lit(0), F.col("size") - 1, F.col("capacity").cast("long"))).alias("piece", "start")
     ).withColumn("tokens", F.least(F.col("capacity").cast("long"), F.col("size") - F.col("start")).cast("int"))
 
