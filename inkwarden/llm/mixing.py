@@ -3,7 +3,9 @@
 Each source's documents are wanted e times on average, e = share * total / tokens of the source. The whole part is
 given to every document; the fraction is rounded by pairing: two fractional documents exchange mass at random, without
 changing the expected tokens, until one of them is whole. Every bucket leaves at most one fraction, and those of a
-source are paired on in a tree. The tokens of a source then differ from the target by less than one document.
+source are paired on in a tree. The tokens of a source then differ from the target by less than one document. Documents that make up a sizeable part of their source's
+target are rounded first, and the rate of the others is set anew for what is left, so that the last fraction is small;
+expectations stay as they were.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from inkwarden.session import materialise
 
 BUCKET_ROWS = 20_000
 FAN_IN = 16
+SIZEABLE = 0.01  # part of a source's target
 STATE = "source string, bucket int, row_id long, tokens long, p double, whole boolean"
 
 
@@ -98,31 +101,45 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, source: str, tokens:
         return empty
     # room is the total at raw shares; present shares sum to `share`, so the reachable total is room * share
     total = total_tokens if total_tokens is not None else bounds["room"] * bounds["share"]
-    wanted = F.least(F.col("max_repeats").cast("double"), F.col("target_share") / F.lit(bounds["share"]) * F.lit(float(total)) / F.col("tokens"))
-    rates = sized.select("source", wanted.alias("rate"))
+    target = F.least(F.col("max_repeats") * F.col("tokens"), F.col("target_share") / F.lit(bounds["share"]) * F.lit(float(total)))
+    rates = sized.select("source", "max_repeats", target.alias("target"), F.round(target / F.col("tokens"), 9).alias("rate"))
     slots = max(1, math.ceil(bounds["largest"] / BUCKET_ROWS))
-    start = kept.join(rates, "source").select(
+    split = kept.join(rates, "source").withColumn("big", F.col("tokens") > F.lit(SIZEABLE) * F.col("target"))
+    # at most 1 / (SIZEABLE * rate) documents of a source are big
+    big = materialise(_copies(split.where("big"), "rate", 1, seed), "big")
+    done = big.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("done"))
+    small = split.where("NOT big").groupBy("source").agg(F.sum("tokens").alias("small"))
+    left = (F.col("target") - F.coalesce("done", F.lit(0))) / F.col("small")
+    again = rates.join(small, "source").join(done, "source", "left").select(
+        "source", F.round(F.greatest(F.lit(0.0), F.least(left, F.col("max_repeats").cast("double"))), 9).alias("rate_small")
+    )
+    others = _copies(split.where("NOT big").join(again, "source"), "rate_small", slots, seed + 1)
+    copies = big.select("row_id", "copies").unionByName(others.select("row_id", "copies")).where("copies > 0")
+    return kept.join(copies, "row_id").select(F.col("_key").alias(key), "source", "tokens", "copies")
+
+
+def _rounder(seed: int):
+    return lambda group: _round(group, seed)
+
+
+def _copies(rows: DataFrame, rate: str, slots: int, seed: int) -> DataFrame:
+    """source, row_id, tokens, copies: the whole part of the rate and the rounded fraction."""
+    start = rows.select(
         "source", F.pmod(F.xxhash64("row_id"), F.lit(slots)).cast("int").alias("bucket"), "row_id", "tokens",
-        (F.col("rate") - F.floor("rate")).alias("p"), F.floor("rate").cast("int").alias("base"),
+        (F.col(rate) - F.floor(rate)).alias("p"), F.floor(rate).cast("int").alias("base"),
     )
-    state = materialise(start.drop("base").groupBy("source", "bucket").applyInPandas(lambda g: _round(g, seed), STATE), "rounded")
-    decided = state.where("whole")
-    loose = state.where("NOT whole")
+    state = materialise(start.drop("base").groupBy("source", "bucket").applyInPandas(_rounder(seed), STATE), "rounded")
+    decided, loose = state.where("whole"), state.where("NOT whole")
     while slots > 1:
         slots = math.ceil(slots / FAN_IN)
         step = loose.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int")).drop("whole")
-        state = materialise(step.groupBy("source", "bucket").applyInPandas(lambda g: _round(g, seed + 1), STATE), "rounded")
+        state = materialise(step.groupBy("source", "bucket").applyInPandas(_rounder(seed), STATE), "rounded")
         decided, loose = decided.unionByName(state.where("whole")), state.where("NOT whole")
     # one fraction a source at most is left; it is drawn by its probability
-    last = loose.withColumn("p", F.when(F.pmod(F.xxhash64("source", "row_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20) < F.col("p"), 1.0).otherwise(0.0))
+    draw = F.pmod(F.xxhash64("source", "row_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
+    last = loose.withColumn("p", F.when(draw < F.col("p"), 1.0).otherwise(0.0))
     extra = decided.unionByName(last).select("row_id", F.col("p").cast("int").alias("extra"))
-    base = rates.select("source", F.floor("rate").cast("int").alias("base"))
-    return (
-        kept.join(base, "source")
-        .join(extra, "row_id")
-        .select(F.col("_key").alias(key), "source", "tokens", (F.col("base") + F.col("extra")).alias("copies"))
-        .where("copies > 0")
-    )
+    return start.join(extra, "row_id").select("source", "row_id", "tokens", (F.col("base") + F.col("extra")).alias("copies"))
 
 
 def mix_report(mixed: DataFrame, documents: DataFrame, targets: DataFrame, source: str, tokens: str) -> DataFrame:
@@ -132,8 +149,8 @@ def mix_report(mixed: DataFrame, documents: DataFrame, targets: DataFrame, sourc
     )
     sized = targets_with_sizes(documents, targets, source, tokens).withColumnRenamed("tokens", "held_tokens")
     rows = sized.join(used, "source", "left").fillna(0, ["mixed_tokens", "used", "most_copies"])
-    whole = rows.agg(F.sum("mixed_tokens").alias("whole"))
-    return rows.join(F.broadcast(whole), F.lit(True)).select(  # one row
-        "source", "target_share", (F.col("mixed_tokens") / F.col("whole")).alias("actual_share"), "max_repeats", "most_copies",
+    whole = rows.agg(F.sum("mixed_tokens")).first()[0] or 0
+    return rows.select(
+        "source", "target_share", F.try_divide(F.col("mixed_tokens"), F.lit(whole)).alias("actual_share"), "max_repeats", "most_copies",
         "documents", "used", "held_tokens", "mixed_tokens",
     )
