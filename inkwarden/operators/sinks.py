@@ -1,0 +1,108 @@
+"""Deliveries: payloads, size-bounded messages, signatures, spooling. Transport is a callable, so any can be plugged in."""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import json
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PAYLOAD = ("job_id", "received_at", "source_name", "disposition", "reason", "highest_severity", "hit_count", "rule_ids")
+
+
+def payload(rows: DataFrame) -> DataFrame:
+    """job_id and one JSON document a row; nulls are left out."""
+    return rows.select("job_id", F.to_json(F.struct(*[c for c in PAYLOAD if c in rows.columns])).alias("body"))
+
+
+def fitting(full: Column, without_hits: Column, least: Column, most: int) -> Column:
+    """The fullest of three forms that fits into ``most`` bytes; the last one is cut to them."""
+    return (
+        F.when(F.octet_length(full) <= most, full)
+        .when(F.octet_length(without_hits) <= most, without_hits)
+        .otherwise(F.decode(F.substring(F.encode(least, "UTF-8"), 1, most), "UTF-8"))
+    )
+
+
+def syslog_message(rows: DataFrame, host: str, app: str = "inkwarden", most: int = 2048, facility: int = 13) -> DataFrame:
+    """job_id, message: RFC 5424, severity 4 for quarantined and 6 for others."""
+    level = F.when(F.col("disposition") == "quarantine", 4).otherwise(6) + facility * 8
+    head = F.concat(F.lit("<"), level.cast("string"), F.lit(">1 "), F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(f" {host} {app} - - - "))
+    core = F.struct("job_id", "disposition")
+    no_hits = F.struct("job_id", "disposition", "hit_count", F.lit(True).alias("hits_truncated"))
+    full = F.struct(*[c for c in PAYLOAD if c in rows.columns])
+    join = lambda s: F.concat(head, F.to_json(s))
+    return rows.select("job_id", fitting(join(full), join(no_hits), join(core), most).alias("message"))
+
+
+def signature(body: bytes, key: bytes) -> str:
+    return "sha256=" + hmac.new(key, body, hashlib.sha256).hexdigest()
+
+
+def deliver(rows: DataFrame, send: Callable[[str, str], None], message: str = "body") -> DataFrame:
+    """Sends each message from the executors: job_id, delivered, error, message. A failure spools the row instead of failing the task."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for job, body in zip(batch["job_id"], batch[message], strict=True):
+                try:
+                    send(job, body)
+                    out.append((job, True, None, body))
+                except Exception as e:  # noqa: BLE001
+                    out.append((job, False, str(e)[:500], body))
+            yield pd.DataFrame(out, columns=["job_id", "delivered", "error", "message"])
+
+    return rows.select("job_id", message).mapInPandas(run, "job_id string, delivered boolean, error string, message string")
+
+
+def replay(spooled: Iterable[dict], send: Callable[[str, str], None]) -> tuple[list[str], list[dict]]:
+    """Sends spooled rows in order and stops at the first failure: (ids sent, rows left). Unreadable rows are passed over."""
+    sent: list[str] = []
+    rows = list(spooled)
+    for i, r in enumerate(rows):
+        try:
+            json.loads(r["message"])
+        except ValueError:
+            continue
+        try:
+            send(r["job_id"], r["message"])
+        except Exception:  # noqa: BLE001
+            return sent, rows[i:]
+        sent.append(r["job_id"])
+    return sent, []
+
+
+def enrich(rows: DataFrame, mapping: dict[str, str], key: str, to: str, most: int = 10_000) -> DataFrame:
+    """A column looked up in a static mapping; a miss is null. The mapping is small by contract and kept as a literal."""
+    if len(mapping) > most:
+        raise ValueError("join a table instead")
+    if not mapping:
+        return rows.withColumn(to, F.lit(None).cast("string"))
+    known = F.create_map(*[F.lit(x) for pair in sorted(mapping.items()) for x in pair])
+    return rows.withColumn(to, F.element_at(known, F.col(key)))
+
+
+class Stage:
+    """A plugin of the pipeline: DataFrame in, DataFrame out. One that isn't critical is passed over when it fails."""
+
+    def __init__(self, name: str, work: Callable[[DataFrame], DataFrame], critical: bool = False):
+        self.name, self.work, self.critical = name, work, critical
+
+
+def run_stages(rows: DataFrame, stages: list[Stage]) -> tuple[DataFrame, list[dict]]:
+    events = []
+    for s in stages:
+        try:
+            rows = s.work(rows)
+            rows.schema  # analysis errors show here
+        except Exception as e:  # noqa: BLE001
+            if s.critical:
+                raise
+            events.append({"event": "plugin.failed", "plugin": s.name, "error": str(e)[:500]})
+    return rows, events
