@@ -195,7 +195,7 @@ def assign(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     rarity = np.full(len(lexicon.terms), math.log(1 + sizes))
     for r in counted.collect():  # one row a term
         rarity[r["term"]] = math.log(1 + sizes / r["df"])
-    model = spark.sparkContext.broadcast((lexicon.subjects, lexicon.weight, rarity / rarity.mean(), lexicon.threshold))
+    model = spark.sparkContext.broadcast((lexicon.subjects, lexicon.weight, rarity / max(rarity.mean(), 1e-9), lexicon.threshold))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         subjects, weight, rare, threshold = model.value
