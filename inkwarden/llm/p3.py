@@ -22,7 +22,12 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequent(spark, sf_dir).select("field_name", "item", "exact_count", "total")
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts}
+def p3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate counts as the summaries give them, over all rows with repeats: count <= occurrences <= count_upper."""
+    return _frequent(spark, sf_dir)
+
+
+QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_bounds": p3_bounds}
 
 _COUNTS = """
 with h as (select hit_id, lower(trim(match_hmac)) as match_hmac, lower(trim(rule_id)) as rule_id from dlp_hits where hit_id is not null),

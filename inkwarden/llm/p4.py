@@ -39,4 +39,12 @@ def p4_document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p4_document_groups": p4_document_groups}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # every pair of jobs with a common word triple, counted: for small tables
+    "p4_found": r"""with t as (select distinct job_id, regexp_extract_all(lower(full_text), '[\p{L}\p{Nd}]+') as w from job_contexts where full_text is not null),
+        g as (select distinct job_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram
+              from (select job_id, w, unnest(generate_series(1, len(w) - 2)) as i from t)),
+        n as (select job_id, count(*) as n from g group by 1),
+        c as (select a.job_id as job_id_a, b.job_id as job_id_b, count(*) as common from g a join g b on a.gram = b.gram and a.job_id < b.job_id group by 1, 2)
+        select job_id_a, job_id_b from c join n x on job_id_a = x.job_id join n y on job_id_b = y.job_id where common >= 0.5 * (x.n + y.n - common)"""
+}
