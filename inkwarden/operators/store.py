@@ -70,3 +70,20 @@ def union_by_name(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def apply_retention(spark, plan: DataFrame, roots: dict[str, str]) -> list[str]:
+    """Drops the planned partitions (one row each) and names them; a partition already gone is passed over."""
+    dropped = []
+    for row in plan.toLocalIterator():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{roots[row['store']]}/dt={row['dt']}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True):
+            dropped.append(f"{row['store']}/dt={row['dt']}")
+    return sorted(dropped)
+
+
+def alive(heartbeats: DataFrame, now: str, stale_seconds: int = 60, forget_hours: int = 24) -> DataFrame:
+    """Latest beat of each worker with ``stale``; those not heard of for ``forget_hours`` are left out."""
+    last = heartbeats.groupBy("worker").agg(F.max("updated_at").alias("updated_at"))
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("updated_at")
+    return last.where(age <= forget_hours * 3600).withColumn("stale", age > stale_seconds)
