@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLANK = "[redacted]"
 PROTECTED = frozenset({"seq", "ts", "event", "prev", "hash", "job_id"})
 
 
@@ -64,11 +65,18 @@ def _computed(raw: str) -> str | None:
         return None
 
 
+def _blanked(raw: str) -> list[str] | None:
+    try:
+        return sorted(k for k, v in json.loads(raw).items() if v == BLANK)
+    except (ValueError, TypeError, AttributeError):
+        return None
+
+
 def verify(log: DataFrame, redactions_allowed: bool = True, checkpoint: str | None = None) -> DataFrame:
     """Breaks of the chain: dt, line_no, seq, problem in (unreadable, altered, unlinked). No rows: the chain holds.
 
-    A record whose content was redacted keeps its old hash; it is no break if audit.redacted records name it. Unreadable
-    lines are breaks; the record after one is compared with the last readable one. ``checkpoint`` is the hash before the
+    A record whose content was redacted keeps its old hash; it is no break if some of its fields are blanked and
+    audit.redacted records name every one of them. Unreadable lines are breaks; the record after one is compared with the last readable one. ``checkpoint`` is the hash before the
     first record kept.
     """
     @F.pandas_udf("string")
@@ -85,8 +93,16 @@ def verify(log: DataFrame, redactions_allowed: bool = True, checkpoint: str | No
     unlinked = linked.where(~F.col("prev").eqNullSafe(F.col("before"))).select("dt", "line_no", "seq", F.lit("unlinked").alias("problem"))
     altered = good.where(~F.col("computed").eqNullSafe(F.col("hash")))
     if redactions_allowed:
-        named = good.where("event = 'audit.redacted'").select(F.get_json_object("raw", "$.redacted_seq").cast("long").alias("seq")).distinct()
-        altered = altered.join(named, "seq", "left_anti")
+        @F.pandas_udf("array<string>")
+        def blanked(raws: pd.Series) -> pd.Series:
+            return raws.map(_blanked)
+
+        events = good.where("event = 'audit.redacted'")
+        fields = F.from_json(F.get_json_object("raw", "$.fields"), "array<string>")
+        named = events.groupBy(F.get_json_object("raw", "$.redacted_seq").cast("long").alias("seq")).agg(F.flatten(F.collect_list(fields)).alias("named"))
+        altered = altered.withColumn("blanked", blanked("raw")).join(named, "seq", "left")
+        explained = (F.size("blanked") > 0) & (F.size(F.array_except("blanked", "named")) == 0)
+        altered = altered.where(~F.coalesce(explained, F.lit(False)))
     altered = altered.select("dt", "line_no", "seq", F.lit("altered").alias("problem"))
     unreadable = rows.where("is_bad").select("dt", "line_no", "seq", F.lit("unreadable").alias("problem"))
     return unlinked.unionByName(altered).unionByName(unreadable)
@@ -97,7 +113,7 @@ def redact(records: list[dict], seq: int, names: list[str], ts: str) -> list[dic
     target = next((r for r in records if r.get("seq") == seq), None)
     if target is None or any(n in PROTECTED or n not in target for n in names):
         raise ValueError("no such event, or a field that is protected or absent")
-    changed = [{**r, **dict.fromkeys(names, "[redacted]")} if r is target else r for r in records]
+    changed = [{**r, **dict.fromkeys(names, BLANK)} if r is target else r for r in records]
     return [*changed, {"ts": ts, "event": "audit.redacted", "redacted_seq": seq, "fields": sorted(names)}]
 
 

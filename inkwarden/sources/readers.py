@@ -162,3 +162,12 @@ def allowlisted(json_text: Column, paths: list[str], most: int = 4096) -> Column
         F.struct(F.lit(p).alias("key"), capped(F.get_json_object(json_text, "$" + "".join(f"['{k}']" for k in p.split("."))), most).alias("value")) for p in paths
     ]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+
+
+def merged_metadata(document: Column, companion: Column) -> Column:
+    """Properties of the document with those of its companion; the companion wins, a missing side counts as empty."""
+    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    both = F.concat(F.map_entries(F.coalesce(document, none)), F.map_entries(F.coalesce(companion, none)))
+    keys = F.array_distinct(F.transform(both, lambda e: e["key"]))
+    last = lambda k: F.element_at(F.filter(both, lambda e: e["key"] == k), -1)
+    return F.map_from_entries(F.transform(keys, last))

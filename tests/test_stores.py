@@ -95,6 +95,12 @@ def test_chain(spark):
     assert problems(rows) == [] and problems(rows, redactions_allowed=False) == [(2, "altered")]
     with pytest.raises(ValueError):
         audit.redact(good, 3, ["note", "hash"], "t")
+    widened = [dict(r) for r in rows]
+    widened[2]["ts"] = audit.BLANK
+    assert problems(widened) == [(2, "altered")]
+    unexplained = [dict(r) for r in good]
+    unexplained[1]["note"] = audit.BLANK
+    assert problems(unexplained) == [(1, "altered")]
 
 
 def test_chain_goes_on_over_days(spark):
@@ -125,6 +131,8 @@ def test_companions(spark):
         readers.parse_key_values(F.col("t")).alias("t"), readers.allowlisted(F.col("j"), ["d.id", "none"]).alias("j"),
         readers.parse_xml(F.col("x"), "a string").alias("x"), F.try_variant_get(readers.parse_json(F.lit("5")), "$.value", "int").alias("v"),
     ).first()
+    pair = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), ({"a": "1"}, None)], "d map<string,string>, c map<string,string>")
+    assert [r.m for r in pair.select(readers.merged_metadata(F.col("d"), F.col("c")).alias("m")).collect()] == [{"a": "1", "b": "3"}, {"a": "1"}]
     assert row.t == {"a": "2", "b": "x=y"} and row.j == {"d.id": "7"} and row.x is None and row.v == 5
 
 
