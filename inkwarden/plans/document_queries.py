@@ -105,15 +105,11 @@ SQL_LUHN = f"""length({SQL_DIGITS}) between 13 and 19 and list_sum(list_transfor
               else (substr(reverse({SQL_DIGITS}), i::int, 1)::int * 2) // 10 + (substr(reverse({SQL_DIGITS}), i::int, 1)::int * 2) % 10 end)) % 10 = 0"""
 SQL_NHS = f"""length({SQL_DIGITS}) = 10 and (11 - list_sum(list_transform(generate_series(1, 9),
     lambda i: substr({SQL_DIGITS}, i::int, 1)::int * (11 - i))) % 11) % 11 = substr({SQL_DIGITS}, 10, 1)::int"""
+# DuckDB's classes are ASCII: the SQL of single rules covers the plain lines only, their queries all lines.
 ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
 SQL_MARK = r"\b(?:OFFICIAL[ -]SENSITIVE|TOP SECRET|SECRET|CONFIDENTIAL)\b"
 
 
-def _ascii(lines: DataFrame) -> DataFrame:
-    """Lines of plain ASCII: the oracle's engine knows ASCII classes only. The rules themselves run over any text (see rule_report)."""
-    return lines.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-
-
 @query("select md5(cast(doc_id as varchar)) as job_id, (i - 1)::int as line_number, ((i - 1) // 25 + 1)::int as page_number, "
        "((i - 1) % 25)::int as line_on_page, least(25, n - ((i - 1) // 25) * 25)::int as lines_on_page, ls[i] as text from "
        "(select doc_id, string_split(text, chr(10)) as ls, len(string_split(text, chr(10))) as n, "
@@ -125,52 +121,49 @@ def lines_numbered(spark, d):
 
 @query(sql_hits("pan.generic", r"\b(?:\d[ -]?){12,18}\d\b", SQL_LUHN, ASCII, 4))
 def hits_pan_luhn(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("pan.generic")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("pan.generic")], KEY).select(*HIT)
 
 
 @query(sql_hits("pii.email", r"\b[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}\b", where=ASCII))
 def hits_email(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("pii.email")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("pii.email")], KEY).select(*HIT)
 
 
 @query(sql_hits("us.ssn", r"\b\d{3}-\d{2}-\d{4}\b", "not regexp_matches(raw, '^(000|666|9)') and substr(raw, 5, 2) <> '00' and right(raw, 4) <> '0000'", ASCII))
 def hits_ssn(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("us.ssn")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("us.ssn")], KEY).select(*HIT)
 
 
 @query(sql_hits("uk.nhs", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", SQL_NHS, ASCII))
 def hits_nhs_mod11(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("uk.nhs")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("uk.nhs")], KEY).select(*HIT)
 
 
 @query(sql_hits("uk.nino", r"\b[ABCEGHJKLMNOPRSTWXYZ][ABCEGHJKLMNPRSTWXYZ] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b", where=ASCII))
 def hits_nino(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("uk.nino")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("uk.nino")], KEY).select(*HIT)
 
 
 @query(sql_hits("cred.password_assignment", r"(?i)\b(?:password|passwd|pwd|passphrase)\s*[:=]\s*\S{6,}", where=ASCII))
 def hits_password(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("cred.password_assignment")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("cred.password_assignment")], KEY).select(*HIT)
 
 
 @query(sql_hits("mark.banner_header", SQL_MARK, where=ASCII + " and line_on_page between 0 and 3"))
 def hits_header_window(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("mark.banner_header")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("mark.banner_header")], KEY).select(*HIT)
 
 
 @query(sql_hits("mark.banner_footer", SQL_MARK, where=ASCII + " and lines_on_page - 1 - line_on_page between 0 and 2"))
 def hits_footer_window(spark, d):
-    return R.scan(_ascii(lines_of(spark, d)), [rule("mark.banner_footer")], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [rule("mark.banner_footer")], KEY).select(*HIT)
 
 
 @query(sql_hits("ref.part", r"\b\d{2}-\d{2}-\d{2}\b", where=ASCII + """ and exists (select 1 from l x where x.job_id = l.job_id
        and abs(x.line_number - l.line_number) <= 2 and regexp_matches(x.text, '(?i)\\bpart\\s*no\\b'))"""))
 def hits_near_context(spark, d):
-    """Matches on plain lines, context on any line."""
     part = R.Rule("ref.part", r"\b\d{2}-\d{2}-\d{2}\b", context=r"(?i)\bpart\s*no\b")
-    lines = lines_of(spark, d)
-    hits = R.scan(lines, [part], KEY)
-    return hits.join(_ascii(lines).select("job_id", "line_number"), ["job_id", "line_number"], "left_semi").select(*HIT)
+    return R.scan(lines_of(spark, d), [part], KEY).select(*HIT)
 
 
 @query(sql_hits("uk.nino", r"\b[ABCEGHJKLMNOPRSTWXYZ][ABCEGHJKLMNPRSTWXYZ]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", where="true",
