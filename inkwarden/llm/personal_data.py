@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -291,37 +291,84 @@ def cap_tokens(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m.group()) for m in _CAP.finditer(text)]
 
 
-def induce(text: str, rounds: int = 3) -> Gazetteer:
+def _parts(word: str) -> list[str]:
+    return re.split(r"-\n?", word.lower())
+
+
+def name_counts(text: str, own: Callable[[int], bool] = lambda _: True) -> tuple[Counter, Counter]:
+    """Counts of capitalised words (parts, lower case) and of neighbouring ones (word, next word, mark between).
+
+    ``own`` says by its place whether a word counts here; a pair counts where its first word does.
+    """
+    tokens = cap_tokens(text)
+    total, linked = Counter(), Counter()
+    for k, a in enumerate(tokens):
+        if not own(a[0]):
+            continue
+        total.update(_parts(a[2]))
+        if k + 1 < len(tokens):
+            b = tokens[k + 1]
+            if b[0] - a[1] <= 3 and _GAP.fullmatch(gap := text[a[1] : b[0]]):
+                linked[a[2], b[2], gap.strip()] += 1
+    return total, linked
+
+
+def in_family_places(linked: Iterable[tuple[str, str, str, int]], g: Gazetteer) -> Counter:
+    """How often each word stands where a family name would: after titles, initials and given names, or before them."""
+    seen: Counter = Counter()
+    for a, b, gap, n in linked:
+        role = "T" if a in TITLES else "I" if len(a) == 1 else "G" if a.lower() in g.given else "O"
+        if len(b) > 3 and b.lower() not in g.given and (role == "T" or role == "G" and not gap or role == "I" and gap == "."):
+            for w in _parts(b):
+                seen[w] += n
+        if gap == "," and b.lower() in g.given and len(a) > 3:
+            for w in _parts(a):
+                seen[w] += n
+    return seen
+
+
+def before_families(linked: Iterable[tuple[str, str, str, int]], g: Gazetteer) -> Counter:
+    """How often each word stands right before a family name."""
+    seen: Counter = Counter()
+    for a, b, gap, n in linked:
+        if not gap and len(a) > 1 and a not in TITLES and "-" not in a and g.role(b.lower()) == "F":
+            seen[a.lower()] += n
+    return seen
+
+
+class Counts:
+    """Counts of one text, and what :func:`induce` asks of them."""
+
+    def __init__(self, total: Counter, linked: Counter):
+        self.total, self.linked = total, [(*k, n) for k, n in linked.items()]
+
+    def families(self, g: Gazetteer) -> set[str]:
+        return {w for w, n in in_family_places(self.linked, g).items() if n >= 0.4 * self.total[w] and len(w) > 3}
+
+    def with_endings(self, endings: set[str], g: Gazetteer) -> dict[str, int]:
+        """Number of longer words with each ending, given names aside."""
+        return Counter(w[-4:] for w in self.total if len(w) > 5 and w[-4:] in endings and w not in g.given)
+
+    def givens(self, g: Gazetteer) -> set[str]:
+        return {w for w, n in before_families(self.linked, g).items() if n >= max(2, 0.25 * self.total[w]) and len(w) > 2}
+
+
+def induce(counts: Counts, rounds: int = 3) -> Gazetteer:
     """Given and family names, from where capitalised words stand: after titles, initials and given names, or before them.
 
     A word is a family name if it mostly stands in such places; an ending is one of family names if most words with it
-    are; a word that stands before family names often enough is a given name.
+    are; a word that stands before family names often enough is a given name. ``counts``: see :class:`Counts`.
     """
-    tokens = cap_tokens(text)
     g = Gazetteer()
-    total: Counter = Counter()
-    follows: defaultdict[str, Counter] = defaultdict(Counter)
-    for t in tokens:
-        total.update(re.split(r"-\n?", t[2].lower()))
-    linked = []
-    for a, b in zip(tokens, tokens[1:], strict=False):
-        if b[0] - a[1] <= 3 and _GAP.fullmatch(gap := text[a[1] : b[0]]):
-            linked.append((a[2], b[2], gap.strip()))
-            if not gap.strip() and len(a[2]) > 1 and a[2] not in TITLES:
-                follows[a[2].lower()][b[2].lower()] += 1
     for _ in range(rounds):
-        seen: Counter = Counter()
-        for a, b, gap in linked:
-            role = "T" if a in TITLES else "I" if len(a) == 1 else "G" if a.lower() in g.given else "O"
-            if len(b) > 3 and b.lower() not in g.given and (role == "T" or role == "G" and not gap or role == "I" and gap == "."):
-                seen.update(re.split(r"-\n?", b.lower()))
-            if gap == "," and b.lower() in g.given and len(a) > 3:
-                seen.update(re.split(r"-\n?", a.lower()))
-        g.family = {w for w, n in seen.items() if n >= 0.4 * total[w] and len(w) > 3}
-        types, whole = Counter(w[-4:] for w in g.family if len(w) > 5), Counter(w[-4:] for w in total if len(w) > 5 and w not in g.given)
-        g.endings = {e for e, n in types.items() if n >= 4 and n >= 0.5 * whole[e]}
-        given = {w for w, nxt in follows.items() if sum(n for x, n in nxt.items() if g.role(x) == "F") >= max(2, 0.25 * total[w]) and g.role(w) != "F"}
-        g.given |= {w for w in given if len(w) > 2 and "-" not in w}
+        old = (g.family, g.endings, len(g.given))
+        g.family = counts.families(g)
+        types = {e: n for e, n in Counter(w[-4:] for w in g.family if len(w) > 5).items() if n >= 4}
+        whole = counts.with_endings(set(types), g) if types else {}
+        g.endings = {e for e, n in types.items() if n >= 0.5 * whole.get(e, 0)}
+        g.given |= {w for w in counts.givens(g) if g.role(w) != "F"}
+        if old == (g.family, g.endings, len(g.given)):
+            break
     return g
 
 
@@ -439,9 +486,9 @@ def _fit_logistic(rows: list[list[str]], target: np.ndarray, rounds: int = 60, d
     return {"bias": float(w[0])} | {f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-3}
 
 
-def train(text: str) -> Model:
-    """Fits everything on one sample text (documents separated by BREAK)."""
-    g = induce(text)
+def train(text: str, g: Gazetteer | None = None) -> Model:
+    """Fits the classifier on one sample text (documents separated by BREAK), and the gazetteers where none are given."""
+    g = g or induce(Counts(*name_counts(text)))
     by_kind: dict[str, list[Span]] = defaultdict(list)
     for s in candidates(text, g):
         by_kind[s.kind].append(s)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwarden.llm import personal_data as P
+from inkwarden.session import materialise
 
 CHUNK, OVERLAP = 400, 10
 SAMPLE_LINES = 40_000
@@ -72,13 +75,72 @@ def reading_order(groups: list[pd.DataFrame]) -> tuple[list[str], list[tuple[int
     return lines, where
 
 
+def count_names(lines: DataFrame) -> DataFrame:
+    """(a, b, gap, n): counts of neighbouring capitalised words over all lines; of single ones where b is null."""
+
+    def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        texts, where = reading_order(groups)
+        held = [((g["line_number"].fillna(-1) // CHUNK) == g["chunk"]).tolist() for g in groups]
+        starts = [0, *itertools.accumulate(len(x) + 1 for x in texts)]
+
+        def own(place: int) -> bool:
+            k, i = where[bisect_right(starts, place) - 1]
+            return i >= 0 and held[k][i]
+
+        total, linked = P.name_counts("\n".join(texts), own)
+        rows = [(w, None, None, n) for w, n in total.items()] + [(*k, n) for k, n in linked.items()]
+        return pd.DataFrame(rows, columns=["a", "b", "gap", "n"])
+
+    each = chunks(lines).mapInPandas(lambda b: by_chunk(b, work), "a string, b string, gap string, n long")
+    return each.groupBy("a", "b", "gap").agg(F.sum("n").alias("n"))
+
+
+class Counts:
+    """As :class:`personal_data.Counts`, over a table of counts: only the names themselves come to the driver."""
+
+    def __init__(self, counts: DataFrame):
+        self.spark = counts.sparkSession
+        self.total = counts.where(F.col("b").isNull()).select(F.col("a").alias("word"), F.col("n").alias("total"))
+        self.linked = counts.where(F.col("b").isNotNull()).select("a", "b", "gap", "n")
+
+    def _words(self, count: Callable, g: P.Gazetteer) -> DataFrame:
+        held = self.spark.sparkContext.broadcast(g)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                seen = count(batch.itertuples(index=False, name=None), held.value)
+                yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+
+        seen = self.linked.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        return seen.join(self.total, "word")
+
+    def families(self, g: P.Gazetteer) -> set[str]:
+        rows = self._words(P.in_family_places, g).where((F.col("n") >= 0.4 * F.col("total")) & (F.length("word") > 3))
+        return {r["word"] for r in rows.select("word").collect()}
+
+    def with_endings(self, endings: set[str], g: P.Gazetteer) -> dict[str, int]:
+        wanted = self.spark.createDataFrame([(e,) for e in sorted(endings)], "ending string")
+        given = self.spark.createDataFrame([(w,) for w in sorted(g.given)], "word string")
+        words = self.total.where(F.length("word") > 5).withColumn("ending", F.expr("right(word, 4)"))
+        rows = words.join(wanted, "ending").join(given, "word", "left_anti").groupBy("ending").agg(F.count(F.lit(1)).alias("n"))
+        return {r["ending"]: r["n"] for r in rows.collect()}
+
+    def givens(self, g: P.Gazetteer) -> set[str]:
+        rows = self._words(P.before_families, g).where((F.col("n") >= F.greatest(F.lit(2.0), 0.25 * F.col("total"))) & (F.length("word") > 2))
+        return {r["word"] for r in rows.select("word").collect()}
+
+
 def train(lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> P.Model:
-    """Fits on whole documents chosen by hash, about ``sample_lines`` lines and never more than twice that."""
+    """Gazetteers from counts over all lines; the classifier fits on whole documents chosen by hash.
+
+    That sample has about ``sample_lines`` lines and never more than twice that.
+    """
+    g = P.induce(Counts(materialise(count_names(lines), "name-counts")))
     parts = max(1, math.ceil(lines.count() / sample_lines))
     some = lines.where(F.pmod(F.xxhash64(F.coalesce("job_id", F.lit(""))), F.lit(parts)) == 0)
     rows = some.select(*COLUMNS, F.lit(0).alias("chunk")).limit(2 * sample_lines).toPandas()
     rows = rows.dropna(subset=["text"]).sort_values(["job_id", "line_number", "text"])
-    return P.train("\n".join(reading_order(_groups(rows))[0] if len(rows) else []))
+    return P.train("\n".join(reading_order(_groups(rows))[0] if len(rows) else []), g)
 
 
 def find_in_lines(lines: DataFrame, model: P.Model) -> DataFrame:

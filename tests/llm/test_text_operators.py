@@ -155,6 +155,21 @@ def test_masking_over_a_table(spark):
     assert PS.find_in_lines(df.limit(0), PS.train(df.limit(0))).count() == 0
 
 
+def test_gazetteers_come_from_all_lines(spark):
+    text = sample_lines(300)
+    pages = {f"j{k}": [text[i : i + 40] for i in range(0, 600, 40)] for k in range(3)}
+    rare = ["Dr Zorbina Quillmarsh called.", "Mrs Quillmarsh wrote.", "Mr Quillmarsh wrote."] + ["Nothing else stands here."] * 395
+    pages |= {f"r{k}": [[*rare, "Signed by Dr Aurelio", "Quillmarsh today.", "Ysolde Quillmarsh called again."]] for k in range(3)}
+    df = table(spark, pages)
+    model = PS.train(df, 100)
+    assert model.gazetteer == PS.train(df, 100_000).gazetteer and "quillmarsh" in model.gazetteer.family
+    lines = [r.text for r in df.orderBy("job_id", "line_number").collect()]
+    whole = P.induce(P.Counts(*P.name_counts("\n".join(lines))))
+    assert whole == model.gazetteer and {"tarvelund", "moskelund"} <= whole.family
+    counts = {(r.a, r.b, r.gap): r.n for r in PS.count_names(df.union(df)).collect()}
+    assert counts["Aurelio", "Quillmarsh", ""] == 3 and counts["quillmarsh", None, None] == 15  # over a block's end, and once each
+
+
 def test_hits(spark):
     rows = [("••••4216", "a" * 32), ("•• 358-02-4937", "RAW"), ("••••", " " + "A" * 32), (None, None), ("[x@example.org]", "raw:07700 900123"), ("", "")]
     df = spark.createDataFrame([("j", i, *r) for i, r in enumerate(rows)], "job_id string, line_number int, masked_text string, match_hmac string")
