@@ -211,6 +211,9 @@ def _number(m: re.Match) -> int | None:
     return int(digits) if digits.isdigit() else None
 
 
+MAX_EDGE = 200
+
+
 def edge_lines(lines: list[Line], depth: int = 3) -> list[int]:
     """Place among the written lines of its page from the nearer edge (0, 1, ...), 99 within the page or if empty."""
     out = [99] * len(lines)
@@ -226,20 +229,25 @@ def edge_lines(lines: list[Line], depth: int = 3) -> list[int]:
     return out
 
 
+def numbered(text: str) -> tuple[str, int, str, bool] | None:
+    """(piece, number, kind, whether it stands alone) of the first piece that could be a page number, in a scanning copy."""
+    for m in _NUMBERED.finditer(text):
+        n = _number(m)
+        if n is not None:
+            kind = "word" if m.group("word") else "mark" if m.group("mark") else "bare"
+            return m.group(), n, kind, m.group() == text
+    return None
+
+
 def page_numbers(lines: list[Line], edge: list[int]) -> dict[int, str]:
     """Edge lines that carry the printed number of their page: {line: the piece of text}."""
     found = []
     for i, x in enumerate(lines):
-        if edge[i] == 99 or len(x.text) > 200:
+        if edge[i] == 99 or len(x.text) > MAX_EDGE:
             continue
-        text = scan_copy(x.text).strip()
-        for m in _NUMBERED.finditer(text):
-            n = _number(m)
-            if n is not None:
-                alone = m.group() == text
-                kind = "word" if m.group("word") else "mark" if m.group("mark") else "bare"
-                found.append((i, m.group(), n - x.page, kind, alone))
-                break
+        if got := numbered(scan_copy(x.text).strip()):
+            piece, n, kind, alone = got
+            found.append((i, piece, n - x.page, kind, alone))
     # the printed number runs with the page: the same distance on most pages
     pages = defaultdict(set)
     for i, _, shift, kind, _ in found:
@@ -270,16 +278,26 @@ def head_features(line: Line, key: str, place: int, pages: int, total: int) -> l
     ]
 
 
+def head_piece(text: str, number: str | None) -> str | None:
+    """What is printed besides the page number, if it has letters enough for a head."""
+    if number:
+        text = text.replace(number, "  ").strip()
+    return text if len(_LETTER.findall(text)) >= 3 else None
+
+
+def good_heads(rows: list[list[float]], model: Boosted | None) -> list[bool]:
+    """Whether texts repeated at the edge look like heads, by their :func:`head_features`."""
+    if model:
+        return (model.score(np.array(rows)) > 0).tolist() if rows else []
+    return [not (f[6] and not f[8]) and not f[7] for f in rows]
+
+
 def running_heads(lines: list[Line], edge: list[int], numbers: dict[int, str], model: Boosted | None = None, train: bool = False) -> tuple[dict[int, str], list]:
     """Edge lines that are, or hold, a text printed at an edge of two or more pages. With ``train`` also rows of the others."""
     piece: dict[int, str] = {}
     for i, x in enumerate(lines):
-        if edge[i] < 99 and len(x.text) <= 200:
-            text = scan_copy(x.text).strip()
-            if i in numbers:
-                text = text.replace(numbers[i], "  ").strip()
-            if len(_LETTER.findall(text)) >= 3:
-                piece[i] = text
+        if edge[i] < 99 and len(x.text) <= MAX_EDGE and (text := head_piece(scan_copy(x.text).strip(), numbers.get(i))):
+            piece[i] = text
     folded = {i: fold(text) for i, text in piece.items()}
     on: dict[str, set[int]] = defaultdict(set)
     for i, key in folded.items():
@@ -292,7 +310,7 @@ def running_heads(lines: list[Line], edge: list[int], numbers: dict[int, str], m
         if not sure and not train:
             continue
         f = head_features(Line(text, lines[i].page, 0, 0, True, 0), key, edge[i], len(on[key]), total)
-        good = sure and (model.score(np.array([f]))[0] > 0 if model else not (f[6] and not f[8]) and not f[7])
+        good = sure and good_heads([f], model)[0]
         rows.append((f, sure))
         if good:
             heads[i] = key

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwarden.llm import scanned_text as S
@@ -166,18 +166,126 @@ class HeadModel:
         return self.model.score(x) + 1.5  # repeated at the edge already: the odds of a head are raised
 
 
-def analyse(g: pd.DataFrame, known: dict[str, int], pair, head):
+def edge_rows(lines: DataFrame) -> DataFrame:
+    """(job, n, page, text, near, piece, shift, kind, alone, plain, plain_key, cut, cut_key): the edge lines of whole pages.
+
+    ``near`` is the place from the nearer edge; piece to alone tell of a possible page number; plain and cut are the text
+    with it and without it, with their folded forms. A page may go on over blocks: each gives its first and last lines.
+    """
+    columns = ["job", "n", "page", "text", "piece", "shift", "kind", "alone", "plain", "plain_key", "cut", "cut_key"]
+
+    def of(text: str, page: int) -> tuple:
+        if len(text) > S.MAX_EDGE:
+            return (None,) * 8
+        copy = S.scan_copy(text).strip()
+        piece, number, kind, alone = S.numbered(copy) or (None,) * 4
+        plain, cut = S.head_piece(copy, None), S.head_piece(copy, piece)
+        return piece, None if number is None else number - page, kind, alone, plain, plain and S.fold(plain), cut, cut and S.fold(cut)
+
+    def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = []
+        for g in groups:
+            number, pages = _ints(g["line_number"], -1), _ints(g["page_number"], 1)
+            job, chunk = g["job_id"].iloc[0] or "", g["chunk"].iloc[0]
+            held: dict[int, list] = {}
+            for n, page, text in zip(number, pages, g["text"], strict=True):
+                if n // CHUNK == chunk and text.strip():
+                    held.setdefault(page, []).append((n, text))
+            for page, own in held.items():
+                for n, text in own if len(own) <= 6 else own[:3] + own[-3:]:
+                    rows.append((job, n, page, text, *of(text, page)))
+        return pd.DataFrame(rows, columns=columns).astype({"shift": "Int64"})
+
+    schema = ("job string, n int, page int, text string, piece string, shift int, kind string, alone boolean, plain string, "
+              "plain_key string, cut string, cut_key string")
+    found = chunks(lines).mapInPandas(lambda b: by_chunk(b, work), schema)
+    page = Window.partitionBy("job", "page")
+    top, foot = (F.row_number().over(page.orderBy(*by)) for by in (("n", "text"), (F.desc("n"), F.desc("text"))))
+    return found.withColumn("near", F.least(top, foot) - 1).where("near < 3")
+
+
+def furniture(lines: DataFrame, head) -> DataFrame:
+    """(job_id, line_number, text, number, head): lines with a page number or a running head, decided over whole jobs.
+
+    job_id is empty where it is null, line_number -1. The same decisions as in :func:`scanned_text.page_numbers` and
+    :func:`scanned_text.running_heads`, from counts by job, so a job of any length is many tasks' work.
+    """
+    edges = materialise(edge_rows(lines), "edge-lines")
+    job = F.coalesce("job_id", F.lit("")).alias("job")
+    totals = lines.groupBy(job).agg(F.countDistinct(F.coalesce("page_number", F.lit(1))).cast("int").alias("total"))
+    runs = edges.where("kind IS NOT NULL").groupBy("job", "shift", "kind").agg(F.countDistinct("page").alias("often"))
+    marked = edges.join(totals, "job").join(runs, ["job", "shift", "kind"], "left")
+    number = F.expr(
+        "kind IS NOT NULL AND CASE WHEN (kind = 'word' AND (alone OR near <= 1)) OR (often >= 2 AND (alone OR kind = 'mark' OR near <= 1)) "
+        "THEN shift = 0 OR often >= 2 OR (total = 1 AND kind = 'word') ELSE shift = 0 AND alone AND near <= 1 END"
+    )
+    marked = marked.withColumn("number", number).select(
+        "job", "n", "page", "text", "near", "total", "number", F.expr("if(number, cut, plain)").alias("piece"), F.expr("if(number, cut_key, plain_key)").alias("key")
+    )
+    marked = materialise(marked, "numbered-lines")
+    seen = marked.where("key IS NOT NULL").groupBy("job", "key").agg(F.countDistinct("page").cast("int").alias("on")).where("on >= 2")
+    held = lines.sparkSession.sparkContext.broadcast(head)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            again = b["on"].notna()
+            rows = b[again]
+            f = [
+                S.head_features(S.Line(text, 0, 0, 0, True, 0), key, near, on, total)
+                for text, key, near, on, total in zip(rows["piece"], rows["key"], rows["near"], rows["on"], rows["total"], strict=True)
+            ]
+            good = again.copy()
+            good[again] = S.good_heads(f, held.value)
+            yield b[["job", "n", "text", "number", "key"]].assign(head=good.astype(bool))
+
+    schema = "job string, n int, text string, number boolean, key string, head boolean"
+    judged = materialise(marked.join(seen, ["job", "key"], "left").select("job", "n", "text", "near", "total", "number", "piece", "key", "on").mapInPandas(score, schema), "judged-lines")
+    keys = judged.where("head AND length(key) >= 6").select("job", "key").distinct()
+    others = judged.where("NOT head AND key IS NOT NULL").withColumn("part", F.floor(F.col("n") / (50 * CHUNK)).cast("int"))
+    others = others.join(keys.select("job").distinct(), "job", "left_semi").select("job", "part", F.lit(1).alias("after"), "key", "n", "text")
+    sent = others.select("job", "part").distinct().join(keys, "job").select(
+        "job", "part", F.lit(0).alias("after"), "key", F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("text")
+    )
+    both = sent.unionByName(others).repartition("job", "part").sortWithinPartitions("job", "part", "after")
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The keys of a job come before its other lines."""
+        place, held_keys, sizes = None, set(), set()
+        for b in batches:
+            rows = []
+            for job, part, after, key, n, text in zip(b["job"], b["part"], b["after"], b["key"], b["n"], b["text"], strict=True):
+                if place != (job, part):
+                    place, held_keys, sizes = (job, part), set(), set()
+                if not after:
+                    held_keys.add(key)
+                    sizes.add(len(key))
+                elif any(key[i : i + size] in held_keys for size in sizes for i in range(len(key) - size + 1)):
+                    rows.append((job, int(n), text))
+            yield pd.DataFrame(rows, columns=["job", "n", "text"])
+
+    holding = both.mapInPandas(within, "job string, n int, text string").withColumn("holds", F.lit(True))
+    decided = judged.join(holding, ["job", "n", "text"], "left").withColumn("head", F.expr("head OR coalesce(holds, false)")).where("number OR head")
+    return materialise(decided.select(F.col("job").alias("job_id"), F.col("n").alias("line_number"), "text", "number", "head"), "furniture")
+
+
+def with_furniture(lines: DataFrame, head) -> DataFrame:
+    """lines with ``number`` and ``head``, null or true."""
+    found = furniture(lines, head).toDF("_job", "_n", "_text", "number", "head")
+    same = (F.coalesce("job_id", F.lit("")) == F.col("_job")) & (F.coalesce("line_number", F.lit(-1)) == F.col("_n")) & (F.col("text") == F.col("_text"))
+    return lines.join(found, same, "left").drop("_job", "_n", "_text")
+
+
+def analyse(g: pd.DataFrame, known: dict[str, int], pair):
     body = _lines(g)
-    edge = S.edge_lines(body)
-    numbers = S.page_numbers(body, edge)
-    heads, _ = S.running_heads(body, edge, numbers, head)
+    numbers, heads = ([i for i, x in enumerate(g[c]) if x is True or x == 1] for c in ("number", "head"))
     broken, _ = S.broken_words(body, {*numbers, *heads}, known, pair)
     return body, numbers, heads, broken
 
 
 def find_line_kinds(lines: DataFrame, known: dict[str, int], pair, head) -> DataFrame:
     """(job_id, line_number, kind) for hyphen_break, running_head and page_number on scanned lines."""
-    held = lines.sparkSession.sparkContext.broadcast((known, pair, head and HeadModel(head)))
+    lines = with_furniture(lines, head and HeadModel(head))
+    held = lines.sparkSession.sparkContext.broadcast((known, pair))
 
     def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
         rows = []
@@ -188,7 +296,7 @@ def find_line_kinds(lines: DataFrame, known: dict[str, int], pair, head) -> Data
                 rows += [(job[i], number[i], kind) for i in at if scanned[i] and number[i] // CHUNK == chunk[i]]
         return pd.DataFrame(rows, columns=["job_id", "line_number", "kind"])
 
-    found = chunks(lines, ("scanned", "confidence")).mapInPandas(lambda b: by_chunk(b, work), "job_id string, line_number int, kind string")
+    found = chunks(lines, ("scanned", "confidence", "number", "head")).mapInPandas(lambda b: by_chunk(b, work), "job_id string, line_number int, kind string")
     return found.distinct()
 
 
@@ -230,18 +338,19 @@ class Repair:
             F.map_from_entries(F.collect_set(F.struct("word", "replacement"))).alias("fixes")
         )
         lines = self.lines.join(fixes, ["job_id", "line_number"], "left")
-        held = lines.sparkSession.sparkContext.broadcast((self.known, self.pair, self.head and HeadModel(self.head)))
+        lines = with_furniture(lines, self.head and HeadModel(self.head))
+        held = lines.sparkSession.sparkContext.broadcast((self.known, self.pair))
 
         def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
             rows = []
             for g in groups:
                 body, numbers, heads, broken = analyse(g, *held.value)
                 own = (g["line_number"] // CHUNK == g["chunk"]).to_numpy()
-                rows += paragraphs_of(g, body, {**numbers, **heads}, broken, own)
+                rows += paragraphs_of(g, body, {*numbers, *heads}, broken, own)
             return pd.DataFrame(rows, columns=["job_id", "line_number", "paragraph"])
 
         schema = "job_id string, line_number int, paragraph string"
-        return chunks(lines, ("scanned", "confidence", "fixes")).mapInPandas(lambda b: by_chunk(b, work), schema)
+        return chunks(lines, ("scanned", "confidence", "fixes", "number", "head")).mapInPandas(lambda b: by_chunk(b, work), schema)
 
 
 def _replaced(text: str, fixes: dict[str, str] | None) -> str:
@@ -261,7 +370,7 @@ def _replaced(text: str, fixes: dict[str, str] | None) -> str:
     return " ".join(out)
 
 
-def paragraphs_of(g: pd.DataFrame, body: list[S.Line], aside: dict[int, str], broken: dict, own) -> list[tuple]:
+def paragraphs_of(g: pd.DataFrame, body: list[S.Line], aside: set[int], broken: dict, own) -> list[tuple]:
     width = max((len(x.text) for i, x in enumerate(body) if i not in aside), default=1)
     rows, current, start, carried = [], [], None, None
     job, number, fixes = g["job_id"].iloc[0], g["line_number"].to_numpy(), list(g["fixes"])

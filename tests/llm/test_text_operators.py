@@ -8,7 +8,8 @@ from inkwarden.llm import personal_data as P
 from inkwarden.llm import personal_data_spark as PS
 from inkwarden.llm import scanned_text as S
 from inkwarden.llm.boosting import Boosted
-from inkwarden.llm.scanned_text_spark import Repair
+from inkwarden.llm.scanned_text_spark import Repair, find_line_kinds
+from inkwarden.llm.scanned_text_spark import with_source as scanned
 
 # --- near duplicates ---
 
@@ -229,6 +230,20 @@ def test_repair(spark):
     assert "Pre- and post-check" in text and "f7813" in text
 
 
+def test_heads_and_page_numbers_over_whole_jobs(spark):
+    pages = [[f"body {p} {k} goes on with more" for k in range(12)] for p in range(1, 121)]
+    pages[1][0] = pages[110][0] = "HARBOUR CLINIC"  # blocks of 400 lines apart
+    pages[2][-1], pages[90][-1] = "Seite 400", "Seite 500"  # another distance on each: no page number
+    pages[5][-1], pages[115][-1] = "[ 106 ]", "[ 216 ]"  # the same distance
+    pages[60][0] = "HARBOUR CLINIC annex 7"  # a line that holds the head
+    pages[33][4] = "HARBOUR CLINIC"  # at the edge of a block only
+    df = table(spark, {"o": pages, "p": [["HARBOUR CLINIC", "x", "y"]]})
+    found = {(r.line_number, r.kind) for r in find_line_kinds(scanned(df), {}, None, None).where("job_id = 'o'").collect()}
+    assert {n for n, k in found if k == "running_head"} == {1 * 12, 110 * 12, 60 * 12}
+    assert {n for n, k in found if k == "page_number"} == {6 * 12 - 1, 116 * 12 - 1}
+    assert not find_line_kinds(scanned(df), {}, None, None).where("job_id = 'p'").count()
+
+
 def test_repair_of_nothing(spark):
     df = table(spark, {"o": [["x"]]})
     assert Repair(df.limit(0)).kinds().count() == 0 and Repair(df.limit(0)).paragraphs().count() == 0
