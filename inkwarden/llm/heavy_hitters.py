@@ -27,6 +27,12 @@ def shrink(counts: pd.Series, capacity: int) -> tuple[pd.Series, int]:
     return counts[counts > 0], cut
 
 
+def _rows(slot: int, field_name: str, counts: pd.Series, removed: int) -> pd.DataFrame:
+    """A summary as rows; one without counters keeps its removed amount in a row with a null item."""
+    items, n = (counts.index.astype(str), counts.to_numpy(dtype="int64")) if len(counts) else ([None], [0])
+    return pd.DataFrame({"slot": slot, "field_name": field_name, "item": items, "count": n, "removed": removed})
+
+
 def summarise(df: DataFrame, columns: list[str], capacity: int) -> DataFrame:
     """One summary per partition and column. Nulls aren't counted; values are compared as they are."""
 
@@ -43,28 +49,21 @@ def summarise(df: DataFrame, columns: list[str], capacity: int) -> DataFrame:
         slot = TaskContext.get().partitionId()
         for c, (counts, removed) in held.items():
             if len(counts) or removed:
-                yield pd.DataFrame(
-                    {"slot": slot, "field_name": c, "item": counts.index.astype(str), "count": counts.to_numpy(), "removed": removed}
-                )
+                yield _rows(slot, c, counts, removed)
 
     return df.select(*columns).mapInPandas(run, SUMMARY)
 
 
 def merge(summaries: DataFrame, capacity: int, slots: int, fan_in: int = 16) -> DataFrame:
-    """Merges summaries in a tree of ``fan_in``; a task holds at most fan_in * capacity counters of one column."""
+    """Merges summaries in a tree of ``fan_in``; a task holds at most fan_in * capacity counters of one column.
+
+    Null items are no values: they carry the removed amounts of summaries without counters.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         removed = int(group.drop_duplicates("slot")["removed"].sum())
         counts, cut = shrink(group.groupby("item")["count"].sum(), capacity)
-        return pd.DataFrame(
-            {
-                "slot": int(group["_to"].iloc[0]),
-                "field_name": group["field_name"].iloc[0],
-                "item": counts.index.astype(str),
-                "count": counts.to_numpy(dtype="int64"),
-                "removed": removed + cut,
-            }
-        )
+        return _rows(int(group["_to"].iloc[0]), group["field_name"].iloc[0], counts, removed + cut)
 
     out = summaries
     while True:
@@ -94,7 +93,7 @@ def frequent_items(hits: DataFrame, columns: list[str], key: str, share: float =
     slots = clean.rdd.getNumPartitions()
     found = materialise(
         merge(summarise(clean, columns, capacity), capacity, slots)
-        .where(F.col("count") + F.col("removed") >= share * keys)
+        .where(F.col("item").isNotNull() & (F.col("count") + F.col("removed") >= share * keys))
         .select("field_name", "item", "count", (F.col("count") + F.col("removed")).alias("count_upper")),
         "frequent",
     )

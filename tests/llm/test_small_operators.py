@@ -42,6 +42,14 @@ def test_summary_guarantee_and_empty(spark):
     assert H.frequent_items(spark.createDataFrame([(1, None)], "k long, v string"), ["v"], "k").count() == 0
 
 
+def test_summary_without_counters_keeps_what_was_removed(spark):
+    rows = [(v,) for v in ["hot", *(f"x{i}" for i in range(49)), *["hot"] * 30, *["cold"] * 20]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "v string")
+    assert {r.removed for r in H.summarise(df, ["v"], 5).collect()} == {0, 1}
+    got = {r.item: (r["count"], r.removed) for r in H.merge(H.summarise(df, ["v"], 5), 5, 2).collect()}
+    assert got["hot"] == (30, 1) and got["cold"] == (20, 1)
+
+
 # --- Unicode forms ---
 
 
