@@ -66,9 +66,14 @@ def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(1e-9)).cast("int")
 
 
-def _need(n: Column, spare: float) -> Column:
-    """How many shingles of the prefixes must be shared if the smaller set has n."""
-    return F.greatest(F.lit(2), F.floor(n * F.lit(spare)).cast("int") + 1)
+def _overlap(n: Column, threshold: float) -> Column:
+    """The least overlap of a pair that reaches the threshold if the smaller set has n."""
+    return F.greatest(F.lit(1), _ceil(n * F.lit(2 * threshold / (1 + threshold))))
+
+
+def _need(n: Column, spare: float, threshold: float) -> Column:
+    """How many shingles of the prefixes must be shared if the smaller set has n; never more than the overlap asked for."""
+    return F.least(F.greatest(F.lit(2), F.floor(n * F.lit(spare)).cast("int") + 1), _overlap(n, threshold))
 
 
 def candidates(sets: DataFrame, threshold: float, spare: float = 0.06, large: int = LARGE) -> DataFrame:
@@ -79,7 +84,7 @@ def candidates(sets: DataFrame, threshold: float, spare: float = 0.06, large: in
     listed = shared.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("listed"))
     n, t = F.col("n"), F.lit(threshold)
     alone = F.col("n") - F.size("listed")
-    need = _need(n, spare)
+    need = _need(n, spare, threshold)
     # with an overlap of a and k shared shingles wanted, n - a + k shingles at the head suffice
     as_larger = F.greatest(F.lit(0), n - _ceil(n * t) + need - alone)
     as_smaller = F.greatest(F.lit(0), n - _ceil(n * F.lit(2 * threshold / (1 + threshold))) + need - alone)
@@ -89,7 +94,8 @@ def candidates(sets: DataFrame, threshold: float, spare: float = 0.06, large: in
     heads = materialise(heads, "heads")
     cut = light_boundary(heads, large)
     heavy_count = F.size(F.filter("head", lambda x: x["df"] > F.lit(cut)))
-    heads = heads.withColumn("is_large", heavy_count > large)
+    # a set that needs one shared shingle only has no 2-subset to meet by: its single heavy shingles are scanned
+    heads = heads.withColumn("is_large", (heavy_count > large) | (_overlap(n, threshold) == 1))
 
     tokens = heads.select("set_id", "n", "short", "is_large", F.posexplode("head").alias("pos", "t")).select(
         "set_id", "n", "is_large", (F.col("pos") < F.col("short")).alias("first"), F.col("t.df").alias("df"), F.col("t.gram").alias("gram")
@@ -114,7 +120,7 @@ def candidates(sets: DataFrame, threshold: float, spare: float = 0.06, large: in
     by_subset = F.when(F.col("listed") > 0, 0).when(F.col("twos") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("twos"))) / 2)).otherwise(
         F.lit(1 if cut < CUTS[-1] else 0)
     )
-    return pairs.where(F.col("single") + by_subset >= _need(F.col("n_low"), spare)).select("low", "high")
+    return pairs.where(F.col("single") + by_subset >= _need(F.col("n_low"), spare, threshold)).select("low", "high")
 
 
 def _meet(left: DataFrame, right: DataFrame, on: list[str], threshold: float, way: str) -> DataFrame:

@@ -72,6 +72,15 @@ def test_every_boundary_finds_all_links(spark, monkeypatch):
         assert {p for p in want if member[p[0]] != member[p[1]] and tuple(sorted((member[p[0]], member[p[1]]))) not in classes} == set(), (cut, large)
 
 
+def test_pairs_that_share_one_shingle(spark, monkeypatch):
+    docs = [("a", "x y z"), ("b", "x y z u"), ("c", "q x y z"), ("d", "q x y z u"), ("e", "p q r"), ("f", "p q s r")]
+    want = brute(docs, 3, 0.5)
+    assert ("a", "b") in want and ("a", "d") not in want
+    for cut in (0, 8, N.CUTS[-1]):
+        monkeypatch.setattr(N, "light_boundary", lambda heads, large, cut=cut: cut)
+        assert pairs(spark, docs, 3, 0.5) == want, cut
+
+
 def test_groups_and_empty(spark):
     docs = [("a", "x y z u v w q"), ("b", "x y z u v w r"), ("c", "x y z u v w r s"), ("d", "other words stand here alone now")]
     df = spark.createDataFrame(docs, "id string, text string")
