@@ -7,6 +7,7 @@ import hmac
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +26,15 @@ def severity_of(rank: Column) -> Column:
     return F.when(rank.between(1, 5), F.element_at(F.array(*map(F.lit, SEVERITIES)), rank.cast("int")))
 
 
-_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९０１２３４５６７８９"
+# The decimal digits of all scripts stand in runs of ten; a run begins where the value is 0.
+_ZEROS = [chr(c) for c in range(128, 0x110000) if unicodedata.decimal(chr(c), -1) == 0]
+_DIGITS = "".join(chr(ord(z) + k) for z in _ZEROS for k in range(10))
 
 
 def digits_of(value: Column) -> Column:
-    """Decimal digits only; Arabic, Devanagari and full-width ones count as their ASCII forms."""
-    return F.regexp_replace(F.translate(value, _DIGITS, "0123456789" * 4), "[^0-9]", "")
+    """Decimal digits only; those of other scripts count as their ASCII forms. Plain text is not translated."""
+    ascii_form = F.when(value.rlike(r"^[\x00-\x7F]*$"), value).otherwise(F.translate(value, _DIGITS, "0123456789" * len(_ZEROS)))
+    return F.regexp_replace(ascii_form, "[^0-9]", "")
 
 
 def luhn_valid(value: Column) -> Column:
@@ -82,12 +86,16 @@ def mask(value: Column, keep: Column | int = 0) -> Column:
     return F.concat(F.repeat(F.lit(BULLET), F.length(plain) - shown), F.when(shown > 0, F.right(plain, shown)).otherwise(""))
 
 
+_NOT_COUNTING = regex.compile(r"[^\p{L}\p{N}]+")
+_DOTLESS = str.maketrans("ı", "i")  # full case folding keeps it apart from i
+
+
 def normalised(value: str | None) -> str | None:
-    """Compatibility form, case-folded, dotless i as i, letters and digits only."""
-    if value is None:
-        return None
-    folded = unicodedata.normalize("NFKC", value).casefold().replace("ı", "i")
-    return "".join(c for c in folded if c.isalnum())
+    """The form by which values are compared: compatibility-composed, fully case-folded, dotless i as i, then only what is
+    a letter or a number. Plain ASCII needs no more than lower case."""
+    if value is None or value.isascii():
+        return value and _NOT_COUNTING.sub("", value.lower())
+    return _NOT_COUNTING.sub("", unicodedata.normalize("NFKC", value).casefold().translate(_DOTLESS))
 
 
 @F.pandas_udf(T.StringType())
