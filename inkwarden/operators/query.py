@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwarden.functions import values as V
@@ -97,20 +101,43 @@ def _page(limit: int, offset: int, most: int = 1000) -> None:
         raise ValueError(f"limit must be 1 to {most}, offset not negative")
 
 
-def between_days(at: str, start: str | None, end: str | None) -> Column:
-    """Inclusive at both ends, on the UTC day."""
+def between_days(at: str, start: str | None, end: str | None, partition: str | None = None) -> Column:
+    """Inclusive at both ends, on the UTC day. ``partition`` names the column the table is partitioned by, if its value is
+    that day: the filter then leaves out whole partitions."""
+    for day in filter(None, (start, end)):
+        date.fromisoformat(day)  # a ValueError tells the user what is wrong with it
     if start and end and start > end:
         raise ValueError("start lies after end")
     out = F.lit(True)
-    if start:
-        out = out & (F.to_date(at) >= F.lit(start).cast("date"))
-    return out & (F.to_date(at) <= F.lit(end).cast("date")) if end else out
+    columns = [F.to_date(at)]
+    if partition:
+        columns.append(F.col(partition).cast("date"))
+    for column in columns:
+        if start:
+            out = out & (column >= F.lit(start).cast("date"))
+        if end:
+            out = out & (column <= F.lit(end).cast("date"))
+    return out
+
+
+def _day_column(rows: DataFrame) -> str | None:
+    return "dt" if "dt" in rows.columns else None
+
+
+def of_jobs(rows: DataFrame, job_ids: Iterable[str] | DataFrame) -> DataFrame:
+    """Rows of the given jobs: a list typed in (ids of 32 hex digits), or a table of any size."""
+    if isinstance(job_ids, DataFrame):
+        return rows.join(job_ids.select("job_id").distinct(), "job_id", "left_semi")
+    ids = sorted(set(job_ids))
+    if bad := [j for j in ids if not re.fullmatch(r"[0-9a-f]{32}", j)]:
+        raise ValueError(f"no job id: {bad[0]!r}")
+    return rows.where(F.col("job_id").isin(ids))
 
 
 def jobs(current: DataFrame, filters: Filters = Filters(), start=None, end=None, newest_first: bool = True, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Current assessments by received_at then job_id; asks for one row more than ``limit`` so that a further page shows."""
     at = F.col("received_at")
-    out = current.where(filters.condition() & between_days("received_at", start, end)).select(*JOB_COLUMNS)
+    out = current.where(filters.condition() & between_days("received_at", start, end, _day_column(current))).select(*JOB_COLUMNS)
     out = out.orderBy(at.desc() if newest_first else at.asc(), "job_id")
     if limit is not None:
         _page(limit, offset, 10_000)
@@ -118,22 +145,36 @@ def jobs(current: DataFrame, filters: Filters = Filters(), start=None, end=None,
     return out
 
 
+def recent(current: DataFrame, n: int = 10) -> DataFrame:
+    """The newest jobs, for a start page."""
+    return current.select(*JOB_COLUMNS).orderBy(F.desc("received_at"), "job_id").limit(n)
+
+
 def search(content: DataFrame, current: DataFrame, query: str, filters: Filters = Filters(), start=None, end=None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Jobs whose text matches, newest first. A purged job has no content and falls out of the join."""
     _page(limit, offset)
     terms = parse_query(query)
     text = content.where(matches(F.col("full_text"), terms)).select("job_id", snippet(F.col("full_text"), terms).alias("snippet")).dropDuplicates(["job_id"])
-    hits = current.where(filters.condition() & between_days("received_at", start, end))
+    hits = current.where(filters.condition() & between_days("received_at", start, end, _day_column(current)))
     return text.join(hits, "job_id").select(*JOB_COLUMNS, "snippet").orderBy(F.desc("received_at"), "job_id").offset(offset).limit(limit + 1)
 
 
-def correlate(hits: DataFrame, current: DataFrame, digest: str) -> DataFrame:
-    """Every hit of one digest in current assessments, newest job first. ``hits`` is flat: one row a hit."""
+def correlate(hits: DataFrame, current: DataFrame, digest: str, limit: int | None = 1000, offset: int = 0) -> DataFrame:
+    """Hits of one digest in current assessments, newest job first, a page and one row more; ``limit=None`` gives all of
+    them in no order, so that a digest of any number of hits isn't sorted as a whole. ``hits`` is flat: one row a hit."""
     if not re.fullmatch(r"[0-9a-f]{32}", digest):
         raise ValueError("a digest has 32 hex digits")
     mine = hits.where(F.col("match_hmac") == digest)
     joined = mine.join(current.select("job_id", "assessment_seq", "received_at", "source_name", "disposition"), ["job_id", "assessment_seq"])
-    return joined.orderBy(F.desc("received_at"), "job_id", "line_number")
+    if limit is None:
+        return joined
+    _page(limit, offset, 10_000)
+    return joined.orderBy(F.desc("received_at"), "job_id", "line_number").offset(offset).limit(limit + 1)
+
+
+def documents_of(page: DataFrame) -> int:
+    """How many documents a page of hits is of."""
+    return page.select("job_id").distinct().count()
 
 
 def hits_of(current: DataFrame, digest: str) -> DataFrame:
@@ -172,22 +213,89 @@ def contained(disposition: Column, pending: Column, path: Column, quarantine_roo
     return F.coalesce(known, F.lit(True))
 
 
-ROLES = {
-    "viewer": {"jobs.read", "search"},
-    "investigator": {"jobs.read", "search", "correlate", "reveal", "contained.read"},
-    "auditor": {"jobs.read", "audit.read"},
-    "dlp_admin": {"jobs.read", "search", "correlate", "reveal", "contained.read", "release", "purge", "reprocess", "audit.read"},
+# The permissions and the roles that hold them.
+_EVERYONE = ("viewer", "investigator", "dlp_admin", "auditor")
+PERMISSIONS = {
+    "jobs.list": _EVERYONE,
+    "jobs.failed.manage": ("dlp_admin",),
+    "jobs.metadata.read": _EVERYONE,
+    "dlp.hits.read": ("investigator", "dlp_admin", "auditor"),
+    "jobs.text.read": ("investigator", "dlp_admin"),
+    "jobs.pdf.read": ("investigator", "dlp_admin"),
+    "jobs.pdf.read.quarantined": ("dlp_admin",),
+    "dlp.reveal": ("dlp_admin",),
+    "quarantine.release": ("dlp_admin",),
+    "rules.read": _EVERYONE,
+    "jobs.reprocess.preview": ("investigator", "dlp_admin"),
+    "jobs.reprocess.commit": ("dlp_admin",),
+    "jobs.purge": ("dlp_admin",),
+    "audit.read": ("auditor", "dlp_admin"),
+    "audit.verify": ("auditor", "dlp_admin"),
+    "access.write": ("dlp_admin",),
 }
 
 
-def allowed(roles: list[str], *permissions: str) -> bool:
-    known = set().union(*ROLES.values())
-    if unknown := set(permissions) - known:
-        raise ValueError(f"no permission {sorted(unknown)}")
-    return any(p in ROLES.get(r, set()) for r in roles for p in permissions)
+def allowed(roles: Iterable[str], permission: str) -> bool:
+    """Whether one of the roles holds the permission; unknown roles hold none, unknown permissions are an error."""
+    if permission not in PERMISSIONS:
+        raise ValueError(f"no permission {permission!r}")
+    return not set(PERMISSIONS[permission]).isdisjoint(roles)
+
+
+# Columns of listings and exports that tell of findings, and the permission they need.
+FINDINGS = {"rule_ids": "dlp.hits.read", "hits": "dlp.hits.read", "metadata": "jobs.metadata.read", "snippet": "jobs.text.read"}
+
+
+def visible(rows: DataFrame, roles: Iterable[str]) -> DataFrame:
+    """Rows with the columns the roles may not read made null."""
+    held = set(roles)
+    return rows.select(
+        *[F.lit(None).cast(kind).alias(c) if c in FINDINGS and not allowed(held, FINDINGS[c]) else F.col(c) for c, kind in rows.dtypes]
+    )
 
 
 def withheld(rows: DataFrame, may_see: bool, quarantine_root: str = "quarantine/") -> DataFrame:
     """Snippets of contained documents blanked for those who may not see them, with ``snippet_withheld``."""
     hide = contained(F.col("disposition"), F.col("release_pending"), F.col("archive_path"), quarantine_root) & F.lit(not may_see)
     return rows.withColumn("snippet_withheld", hide).withColumn("snippet", F.when(hide, "").otherwise(F.col("snippet")))
+
+
+def job_detail(current: DataFrame, receipts: DataFrame, events: DataFrame, content: DataFrame) -> DataFrame:
+    """Per current job what a detail page shows: arrivals, display_name, last_status, events, last_event, has_content.
+
+    ``events`` has job_id, seq, event. A job without receipts or events counts none.
+    """
+    arrived = receipts.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("arrivals"), F.max_by("status", F.struct("received_at", "receipt_id")).alias("last_status")
+    )
+    told = events.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(F.count(F.lit(1)).alias("events"), F.max_by("event", "seq").alias("last_event"))
+    have = content.select("job_id").distinct().withColumn("has_content", F.lit(True))
+    out = current.join(arrived, "job_id", "left").join(display_names(receipts), "job_id", "left").join(told, "job_id", "left").join(have, "job_id", "left")
+    return out.fillna(0, ["arrivals", "events"]).fillna(False, ["has_content"])
+
+
+def receipts_of_job(receipts: DataFrame, job_id: str) -> DataFrame:
+    """Arrivals of one job, newest first."""
+    return of_jobs(receipts, [job_id]).orderBy(F.desc("received_at"), F.desc("receipt_id"))
+
+
+def _keyed(text: str, key: bytes) -> str:
+    return hmac.new(key, text.encode(), hashlib.sha256).hexdigest()[:32]
+
+
+def audit_terms(query: str, mode: str, key: bytes) -> dict[str, str]:
+    """What the audit log keeps of a search: the query itself, or in mode ``hashed`` only a keyed digest of it."""
+    return {"terms_hmac": _keyed(query, key)} if mode == "hashed" else {"query": query}
+
+
+def actor(name: str, known: bool, key: bytes) -> dict[str, str | None]:
+    """Who tried to log in, for the audit log: an account's name as it is, anything else (it may be a password) as a digest."""
+    return {"actor": name} if known else {"actor": None, "actor_hmac": _keyed(name, key)}
+
+
+def rules_listing(spark: SparkSession, rules: Iterable) -> DataFrame:
+    """The rules as a table, in their order."""
+    rows = [(i, r.id, r.name or r.id, r.severity, r.action, r.scope, r.validator, r.pattern, r.context, r.enabled) for i, r in enumerate(rules)]
+    return spark.createDataFrame(
+        rows, "position int, rule_id string, rule_name string, severity string, action string, scope string, validator string, pattern string, context string, enabled boolean"
+    )

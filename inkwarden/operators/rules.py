@@ -11,7 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +39,8 @@ class Rule:
     context: str | None = None
     within_lines: int = 2
     enabled: bool = True
+    budget: float = 0.0
+    """Seconds a document may take with this rule. Above 0 the rule is run by an engine that can be stopped."""
 
     def __post_init__(self):
         wrong = (
@@ -48,7 +50,7 @@ class Rule:
             or self.scope not in ("line", "document") and "scope"
             or self.line_scope not in ("page", "document") and "line_scope"
             or self.validator not in V.VALIDATORS and "validator"
-            or min(self.mask_keep, self.within_lines, self.min_line or 0, self.max_line or 0) < 0 and "a negative number"
+            or min(self.mask_keep, self.within_lines, self.budget, self.min_line or 0, self.max_line or 0) < 0 and "a negative number"
             or None not in (self.min_line, self.max_line) and self.min_line > self.max_line and "min_line above max_line"
         )
         if wrong:
@@ -123,7 +125,7 @@ def load_rules(entries: Iterable[dict | Rule], base: Path = Path("."), _open: tu
 
 def ruleset_version(rules: Iterable[Rule]) -> str:
     """12 hex digits over all that changes results: names and disabled rules don't count, nor does order."""
-    marks = sorted(json.dumps({k: v for k, v in asdict(r).items() if k not in ("name", "enabled")}, sort_keys=True) for r in rules if r.enabled)
+    marks = sorted(json.dumps({k: v for k, v in asdict(r).items() if k not in ("name", "enabled", "budget")}, sort_keys=True) for r in rules if r.enabled)
     return hashlib.sha256("\n".join(marks).encode()).hexdigest()[:12]
 
 
@@ -175,27 +177,119 @@ def scan(lines: DataFrame, rules: list[Rule], key: bytes) -> DataFrame:
     breaks; their hit lies on the line it starts on and may end beyond it. The matched text leaves only masked and as a
     digest. Lines with null text have no hits; repeated rows give repeated hits (drop them first).
     """
+    return _scanned(lines, rules, key)[0]
+
+
+def scan_with_failures(lines: DataFrame, rules: list[Rule], key: bytes) -> tuple[DataFrame, DataFrame]:
+    """(hits, failures): as :func:`scan`, with the jobs on which a rule used up its budget: job_id, error.
+
+    Failures are facts for :func:`verdict.assess`: a verdict the rules could not finish reaching is none.
+    """
+    hits, over = _scanned(lines, rules, key)
+    if over is None:
+        return hits, lines.sparkSession.createDataFrame([], "job_id string, error string")
+    return hits, over
+
+
+PLACE = ["job_id", "page_number", "line_number", "line_on_page"]
+
+
+def _scanned(lines: DataFrame, rules: list[Rule], key: bytes) -> tuple[DataFrame, DataFrame | None]:
     rules = [r for r in rules if r.enabled]
-    place = ["job_id", "page_number", "line_number", "line_on_page"]
-    per_line = [(i, r) for i, r in enumerate(rules) if r.scope == "line"]
-    whole = [(i, r) for i, r in enumerate(rules) if r.scope == "document"]
-    hits = None
+    numbered = list(enumerate(rules))
+    per_line = [(i, r) for i, r in numbered if r.scope == "line" and not r.budget]
+    whole = [(i, r) for i, r in numbered if r.scope == "document" and not r.budget]
+    bounded = [(i, r) for i, r in numbered if r.budget]
+    found, over = [], None
     if per_line:
-        hits = _spans(lines, "text", per_line, place)
+        found.append(_spans(lines, "text", per_line, PLACE))
     if whole:
-        doc = _document_spans(lines, whole, rules)
-        hits = doc if hits is None else hits.unionByName(doc)
-    if hits is None:
+        docs = full_text(lines)
+        found.append(_placed(_spans(docs, "full_text", whole, ["job_id", "full_text"]), lines, rules))
+    if bounded:
+        spans, over = _bounded_spans(lines, bounded, rules)
+        found.append(spans)
+    if not found:
         raise ValueError("no rule is enabled")
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
     hits = hits.where(_per_rule(rules, lambda r: V.VALIDATORS[r.validator](F.col("raw"))))
     hits = _near_context(hits, lines, rules)
-    return hits.select(
+    hits = hits.select(
         "job_id", "rule_pos", _per_rule(rules, lambda r: r.id).alias("rule_id"), _per_rule(rules, lambda r: r.name or r.id).alias("rule_name"),
         _per_rule(rules, lambda r: r.severity).alias("severity"), _per_rule(rules, lambda r: r.action).alias("action"),
         "page_number", "line_number", "line_on_page", "start", "end",
         V.mask(F.col("raw"), _per_rule(rules, lambda r: r.mask_keep)).alias("masked_text"), V.digest(F.col("raw"), key).alias("match_hmac"),
         _per_rule(rules, lambda r: r.validator).alias("validator"),
     )
+    return hits, over
+
+
+def _bounded_spans(lines: DataFrame, bounded: list[tuple[int, Rule]], rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Spans of the rules with a budget, and the jobs that used one up. The matches are written once, so that both come
+    from one run of the clock."""
+    from inkwarden.session import materialise
+
+    line = [(i, r) for i, r in bounded if r.scope == "line"]
+    whole = [(i, r) for i, r in bounded if r.scope == "document"]
+    kept = None
+    if line:
+        some = lines.where(F.col("text").isNotNull())
+        for_rules = some.withColumn("allowed", F.array(*[F.when(in_window(r), F.lit(i)) for i, r in line]))
+        kept = timed_matches(for_rules.select(*PLACE, F.col("text").alias("body"), "allowed"), PLACE, dict(line))
+    if whole:
+        docs = full_text(lines).withColumn("allowed", F.array(*[F.lit(i) for i, _ in whole]))
+        spans = timed_matches(docs.select("job_id", F.col("full_text").alias("body"), "allowed"), ["job_id"], dict(whole))
+        good = spans.where("NOT over_budget").drop("over_budget").join(full_text(lines), "job_id")
+        placed = _placed(good, lines, rules).withColumn("over_budget", F.lit(False))
+        late = spans.where("over_budget").select("job_id", *[F.lit(None).cast("int").alias(c) for c in PLACE[1:]], "rule_pos", "start", "end", "raw", "over_budget")
+        both = placed.select(*PLACE, "rule_pos", "start", "end", "raw", "over_budget").unionByName(late)
+        kept = both if kept is None else kept.unionByName(both)
+    kept = materialise(kept, "timed-matches")
+    late = kept.where("over_budget").groupBy("job_id").agg(F.min("rule_pos").alias("rule_pos"))
+    error = F.concat(F.lit("rule "), _per_rule(rules, lambda r: r.id), F.lit(" exceeded its time budget"))
+    return kept.where("NOT over_budget").drop("over_budget"), late.select("job_id", error.alias("error"))
+
+
+def timed_matches(rows: DataFrame, keep: list[str], rules: dict[int, Rule]) -> DataFrame:
+    """keep..., rule_pos, start, end, raw, over_budget: matches in ``body`` of the rules in ``allowed``.
+
+    Each document has a rule's budget for all of its lines together; where it is used up there is one row over_budget.
+    Documents lie together, so one task keeps a document's clocks.
+    """
+    held = [(i, r.pattern, r.budget) for i, r in rules.items()]
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{c} {fields[c]}" for c in keep) + ", rule_pos int, start int, end int, raw string, over_budget boolean"
+
+    def run(batches):
+        import time
+
+        import pandas as pd
+        import regex
+
+        known = {i: (regex.compile(p, flags=regex.UNICODE), budget) for i, p, budget in held}
+        job, left = None, {}
+        for batch in batches:
+            out = []
+            for *at, body, allowed in batch[[*keep, "body", "allowed"]].itertuples(index=False, name=None):
+                if at[0] != job:
+                    job, left = at[0], {i: budget for i, (_, budget) in known.items()}
+                for i in allowed:
+                    if i is None or i != i or left[i := int(i)] <= 0:
+                        continue
+                    began = time.monotonic()
+                    try:
+                        out += [(*at, i, m.start(), m.end(), m.group(), False) for m in known[i][0].finditer(body, timeout=left[i])]
+                        left[i] -= time.monotonic() - began
+                    except TimeoutError:
+                        left[i] = 0
+                    if left[i] <= 0:
+                        out.append((*at, i, None, None, None, True))
+            frame = pd.DataFrame(out, columns=[*keep, "rule_pos", "start", "end", "raw", "over_budget"])
+            yield frame.astype({c: "Int32" for c in frame.columns if c in ("start", "end", *PLACE[1:])})
+
+    return rows.repartition("job_id").sortWithinPartitions("job_id").mapInPandas(run, schema)
 
 
 def full_text(lines: DataFrame) -> DataFrame:
@@ -204,9 +298,8 @@ def full_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy("job_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("full_text"))
 
 
-def _document_spans(lines: DataFrame, whole: list[tuple[int, Rule]], rules: list[Rule]) -> DataFrame:
-    docs = full_text(lines)
-    at = _spans(docs, "full_text", whole, ["job_id", "full_text"])
+def _placed(at: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Spans of whole texts (job_id, full_text, rule_pos, start, end, raw) put on the lines they begin on."""
     before = F.substring(F.col("full_text"), F.lit(1), F.col("start"))
     ordinal = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
     base = F.length(before) - F.length(F.substring_index(before, "\n", -1))
@@ -237,34 +330,11 @@ def _near_context(hits: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataF
 
 
 def scan_within_budget(lines: DataFrame, rule: Rule, seconds: float) -> DataFrame:
-    """Matches of one line rule by a regular-expression engine that can be stopped: job_id, line_number, start, end, over_budget.
+    """Matches of one line rule by an engine that can be stopped: job_id, line_number, start, end, over_budget.
 
     For patterns of unknown cost. Each document has ``seconds`` for the rule (0: no limit); when they are used up the
-    document gets one row with over_budget and its job counts as failed.
+    document gets one row with over_budget.
     """
-
-    def run(batches):
-        import time
-
-        import pandas as pd
-        import regex
-
-        pattern = regex.compile(rule.pattern)
-        spent: dict[str, float] = {}
-        for batch in batches:
-            rows = []
-            for job, n, text in zip(batch["job_id"], batch["line_number"], batch["text"], strict=True):
-                left = seconds - spent.get(job, 0.0) if seconds else None
-                if text is None or left is not None and left <= 0:
-                    continue
-                began = time.monotonic()
-                try:
-                    rows += [(job, n, m.start(), m.end(), False) for m in pattern.finditer(text, timeout=left)]
-                    spent[job] = spent.get(job, 0.0) + time.monotonic() - began
-                except TimeoutError:
-                    spent[job] = seconds
-                    rows.append((job, n, None, None, True))
-            yield pd.DataFrame(rows, columns=["job_id", "line_number", "start", "end", "over_budget"]).astype({"start": "Int32", "end": "Int32"})
-
-    placed = lines.select("job_id", "line_number", "text").repartition("job_id")
-    return placed.mapInPandas(run, "job_id string, line_number int, start int, end int, over_budget boolean")
+    bounded = replace(rule, budget=seconds or float("inf"))
+    rows = lines.where(F.col("text").isNotNull()).select("job_id", "line_number", F.col("text").alias("body"), F.array(F.lit(0)).alias("allowed"))
+    return timed_matches(rows, ["job_id", "line_number"], {0: bounded}).select("job_id", "line_number", "start", "end", "over_budget")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,6 @@ def receipts_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule(name: str, **changes) -> R.Rule:
-    from dataclasses import replace
-
     return replace(next(r for r in DEFAULT if r.id == name), **changes)
 
 
@@ -73,41 +73,93 @@ def _pads() -> tuple[str, str]:
     return tuple(bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
 
 
+# DuckDB's classes are ASCII. ``plain_text`` gives a copy of a text, of the same length, on which they find what Unicode classes
+# find on the text itself: digits of other scripts as ASCII ones, other word characters as "_", other white space as a tab, and
+# line ends as line feeds.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def plain_text(text: str) -> str:
+    digits = f"translate({text}, '{V._DIGITS}', '{'0123456789' * len(V._ZEROS)}')"
+    ends = f"regexp_replace({digits}, '[\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')"
+    space = f"regexp_replace({ends}, '[\\x0B\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', chr(9), 'g')"
+    return _words_plain(space)
+
+
+def _words_plain(space: str) -> str:
+    other = "\\x{80}-\\x{10FFFF}"
+    letters = "\\p{L}\\p{M}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}"
+    # ASCII letters are word characters as they are: they are kept by taking only characters beyond ASCII
+    return f"list_aggregate(list_transform(string_split({space}, ''), lambda ch: case when regexp_full_match(ch, '[{other}]') and regexp_full_match(ch, '[{letters}]') then '_' else ch end), 'string_agg', '')"
+
+
+def sql_flat(value: str) -> str:
+    """Compatibility form, folded, letters and numbers only, as far as the characters of the driver tables go."""
+    narrow = f"translate({value}, {_quoted(_WIDE)}, {_quoted(_NARROW)})"
+    return f"regexp_replace(nfc_normalize(replace(lower({narrow}), 'ß', 'ss')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
 def sql_digest(value: str) -> str:
     inner, outer = _pads()
-    flat = f"regexp_replace(lower({value}), '[^a-z0-9]', '', 'g')"
-    return f"left(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({flat})))), 32)"
+    return f"left(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({sql_flat(value)})))), 32)"
 
 
 def sql_mask(value: str, keep: int = 0) -> str:
-    flat = f"regexp_replace({value}, '[^a-zA-Z0-9]', '', 'g')"
+    flat = f"regexp_replace({value}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
     if not keep:
         return f"repeat('•', length({flat}))"
     shown = f"(case when length({flat}) > {keep + 3} then {keep} else 0 end)"
     return f"repeat('•', length({flat}) - {shown}) || right({flat}, {shown})"
 
 
-def sql_hits(rule_id: str, pattern: str, valid: str = "true", where: str = "true", keep: int = 0, source: str = LINES) -> str:
-    """Matches of an ASCII pattern with their offsets, as the prefix sums of the pieces between and the matches before."""
-    return f"""with {source},
-    m as (select job_id, line_number, text, regexp_extract_all(text, '{pattern}') as m, regexp_split_to_array(text, '{pattern}') as seg
-          from l where regexp_matches(text, '{pattern}') and {where}),
-    k as (select *, unnest(generate_series(1, len(m))) as k from m),
-    s as (select job_id, line_number, m[k] as raw,
-          (list_sum(list_transform(seg[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::int as start from k)
-    select job_id, '{rule_id}' as rule_id, line_number, start, (start + length(raw))::int as "end", {sql_mask('raw', keep)} as masked_text,
-           {sql_digest('raw')} as match_hmac from s where {valid}"""
-
-
 SQL_DIGITS = "regexp_replace(raw, '[^0-9]', '', 'g')"
 SQL_LUHN = f"""length({SQL_DIGITS}) between 13 and 19 and list_sum(list_transform(generate_series(1, length({SQL_DIGITS})),
     lambda i: case when i % 2 = 1 then substr(reverse({SQL_DIGITS}), i::int, 1)::int
               else (substr(reverse({SQL_DIGITS}), i::int, 1)::int * 2) // 10 + (substr(reverse({SQL_DIGITS}), i::int, 1)::int * 2) % 10 end)) % 10 = 0"""
 SQL_NHS = f"""length({SQL_DIGITS}) = 10 and (11 - list_sum(list_transform(generate_series(1, 9),
     lambda i: substr({SQL_DIGITS}, i::int, 1)::int * (11 - i))) % 11) % 11 = substr({SQL_DIGITS}, 10, 1)::int"""
-# DuckDB's classes are ASCII: the SQL of single rules covers the plain lines only, their queries all lines.
-ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
+_CODE = "upper(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g'))"
+# letters as two digits, then nine digits at a time: the rest is carried in front of the next ones
+SQL_IBAN = f"""length({_CODE}) between 15 and 34 and list_reduce(list_prepend(0::bigint, list_transform(string_split(substr({_CODE}, 5) || left({_CODE}, 4), ''),
+    lambda c: case when c between '0' and '9' then c::bigint else ascii(c)::bigint - 55 end)),
+    lambda acc, x: case when x < 10 then (acc * 10 + x) % 97 else (acc * 100 + x) % 97 end) = 1"""
+SQL_VALID = {"none": "true", "luhn": SQL_LUHN, "nhs_mod11": SQL_NHS, "iban_mod97": SQL_IBAN}
 SQL_MARK = r"\b(?:OFFICIAL[ -]SENSITIVE|TOP SECRET|SECRET|CONFIDENTIAL)\b"
+# DuckDB has no look-ahead: the pattern without it, and what it forbids as a condition on the match
+SQL_PATTERN = {"us.ssn": (r"\b\d{3}-\d{2}-\d{4}\b", "not regexp_matches(raw, '^(000|666|9)') and substr(raw, 5, 2) <> '00' and right(raw, 4) <> '0000'")}
+
+
+def _sql_rule(r: R.Rule, lines: str) -> str:
+    pattern, valid = SQL_PATTERN.get(r.id, (r.pattern, "true"))
+    place = "lines_on_page - 1 - line_on_page" if r.from_end else "line_on_page"
+    window = f"{place if r.line_scope == 'page' else 'line_number'} between {r.min_line} and {r.max_line}" if r.max_line is not None else "true"
+    if r.context:
+        near = f"regexp_matches(x.p, {_quoted(r.context)})"
+        window += f" and exists (select 1 from {lines} x where x.job_id = {lines}.job_id and abs(x.line_number - {lines}.line_number) <= {r.within_lines} and {near})"
+    q = _quoted(pattern)
+    return f"""select job_id, {_quoted(r.id)} as rule_id, {_quoted(r.name or r.id)} as rule_name, '{r.severity}' as severity, '{r.action}' as action,
+        page_number, line_number, line_on_page, start, (start + length(raw))::int as "end", {sql_mask('own', r.mask_keep)} as masked_text,
+        {sql_digest('own')} as match_hmac, '{r.validator}' as validator
+        from (select *, substr(text, start + 1, length(raw)) as own from (
+          select *, m[k] as raw, (list_sum(list_transform(seg[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::int as start
+          from (select *, unnest(generate_series(1, len(m))) as k from (
+            select *, regexp_extract_all(p, {q}) as m, regexp_split_to_array(p, {q}) as seg from {lines} where regexp_matches(p, {q}) and {window}))))
+        where {valid} and {SQL_VALID[r.validator]}"""
+
+
+def sql_scan(rules: list[R.Rule]) -> str:
+    """CTEs ``l`` (lines with a plain copy) and ``hits`` (all hits of the rules)."""
+    return f"""l as (select distinct on (job_id, line_number) *, {plain_text('text')} as p from text_lines where text is not null),
+    hits as ({" union all ".join(_sql_rule(r, 'l') for r in rules if r.enabled)})"""
+
+
+def sql_hits(rules: list[R.Rule]) -> str:
+    return f"""with {sql_scan(rules)} select job_id, rule_id, line_number, start, "end", masked_text, match_hmac from hits"""
 
 
 @query("select md5(cast(doc_id as varchar)) as job_id, (i - 1)::int as line_number, ((i - 1) // 25 + 1)::int as page_number, "
@@ -119,89 +171,109 @@ def lines_numbered(spark, d):
     return readers.text_lines(docs, "job_id", "text").drop("source", "confidence")
 
 
-@query(sql_hits("pan.generic", r"\b(?:\d[ -]?){12,18}\d\b", SQL_LUHN, ASCII, 4))
-def hits_pan_luhn(spark, d):
-    return R.scan(lines_of(spark, d), [rule("pan.generic")], KEY).select(*HIT)
-
-
-@query(sql_hits("pii.email", r"\b[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}\b", where=ASCII))
-def hits_email(spark, d):
-    return R.scan(lines_of(spark, d), [rule("pii.email")], KEY).select(*HIT)
-
-
-@query(sql_hits("us.ssn", r"\b\d{3}-\d{2}-\d{4}\b", "not regexp_matches(raw, '^(000|666|9)') and substr(raw, 5, 2) <> '00' and right(raw, 4) <> '0000'", ASCII))
-def hits_ssn(spark, d):
-    return R.scan(lines_of(spark, d), [rule("us.ssn")], KEY).select(*HIT)
-
-
-@query(sql_hits("uk.nhs", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", SQL_NHS, ASCII))
-def hits_nhs_mod11(spark, d):
-    return R.scan(lines_of(spark, d), [rule("uk.nhs")], KEY).select(*HIT)
-
+PART = R.Rule("ref.part", r"\b\d{2}-\d{2}-\d{2}\b", context=r"(?i)\bpart\s*no\b")
+SINGLE = {
+    "hits_pan_luhn": rule("pan.generic"), "hits_email": rule("pii.email"), "hits_ssn": rule("us.ssn"), "hits_nhs_mod11": rule("uk.nhs"),
+    "hits_nino": rule("uk.nino"), "hits_iban": rule("fin.iban"), "hits_password": rule("cred.password_assignment"),
+    "hits_header_window": rule("mark.banner_header"), "hits_footer_window": rule("mark.banner_footer"), "hits_near_context": PART,
+}
 
-@query(sql_hits("uk.nino", r"\b[ABCEGHJKLMNOPRSTWXYZ][ABCEGHJKLMNPRSTWXYZ] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b", where=ASCII))
-def hits_nino(spark, d):
-    return R.scan(lines_of(spark, d), [rule("uk.nino")], KEY).select(*HIT)
 
+def _single(name: str, r: R.Rule) -> None:
+    QUERIES[name] = lambda spark, d: R.scan(lines_of(spark, d), [r], KEY).select(*HIT)
+    SQL[name] = sql_hits([r])
 
-@query(sql_hits("cred.password_assignment", r"(?i)\b(?:password|passwd|pwd|passphrase)\s*[:=]\s*\S{6,}", where=ASCII))
-def hits_password(spark, d):
-    return R.scan(lines_of(spark, d), [rule("cred.password_assignment")], KEY).select(*HIT)
 
+for _name, _rule in SINGLE.items():
+    _single(_name, _rule)
 
-@query(sql_hits("mark.banner_header", SQL_MARK, where=ASCII + " and line_on_page between 0 and 3"))
-def hits_header_window(spark, d):
-    return R.scan(lines_of(spark, d), [rule("mark.banner_header")], KEY).select(*HIT)
+WRAPPED = R.Rule("uk.nino", r"\b[ABCEGHJKLMNOPRSTWXYZ][ABCEGHJKLMNPRSTWXYZ]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", scope="document")
 
 
-@query(sql_hits("mark.banner_footer", SQL_MARK, where=ASCII + " and lines_on_page - 1 - line_on_page between 0 and 2"))
-def hits_footer_window(spark, d):
-    return R.scan(lines_of(spark, d), [rule("mark.banner_footer")], KEY).select(*HIT)
-
-
-@query(sql_hits("ref.part", r"\b\d{2}-\d{2}-\d{2}\b", where=ASCII + """ and exists (select 1 from l x where x.job_id = l.job_id
-       and abs(x.line_number - l.line_number) <= 2 and regexp_matches(x.text, '(?i)\\bpart\\s*no\\b'))"""))
-def hits_near_context(spark, d):
-    part = R.Rule("ref.part", r"\b\d{2}-\d{2}-\d{2}\b", context=r"(?i)\bpart\s*no\b")
-    return R.scan(lines_of(spark, d), [part], KEY).select(*HIT)
-
-
-@query(sql_hits("uk.nino", r"\b[ABCEGHJKLMNOPRSTWXYZ][ABCEGHJKLMNPRSTWXYZ]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", where="true",
-       source=LINES.replace("l as", "l0 as") + ", l as (select job_id, 0 as line_number, string_agg(coalesce(text, ''), chr(10) order by line_number) as text from l0 group by 1)")
-       .replace("select job_id, 'uk.nino'", "select s.job_id, 'uk.nino'").replace("line_number, start, (start + length(raw))::int as \"end\"",
-       "(length(left(t.text, start)) - length(replace(left(t.text, start), chr(10), '')))::int as line_number, "
-       "(start - (length(left(t.text, start)) - length(split_part(left(t.text, start), chr(10), -1))))::int as start, "
-       "(start + length(raw) - (length(left(t.text, start)) - length(split_part(left(t.text, start), chr(10), -1))))::int as \"end\"")
-       .replace("from s where true", "from s join l t using (job_id)"))
+@query(f"""with l0 as (select distinct on (job_id, line_number) * from text_lines),
+    l as (select job_id, 0 as page_number, 0 as line_number, 0 as line_on_page, 0 as lines_on_page, text, {plain_text('text')} as p from
+          (select job_id, string_agg(coalesce(text, ''), chr(10) order by line_number) as text from l0 group by 1)),
+    hits as ({_sql_rule(WRAPPED, 'l')}),
+    t as (select hits.*, left(l.text, start) as before from hits join l using (job_id))
+    select job_id, rule_id, (length(before) - length(replace(before, chr(10), '')))::int as line_number,
+           (start - (length(before) - length(split_part(before, chr(10), -1))))::int as start,
+           ("end" - (length(before) - length(split_part(before, chr(10), -1))))::int as "end", masked_text, match_hmac from t""")
 def hits_document_scope(spark, d):
     """A value that may be broken over two lines; it counts on the line it begins on. Line numbers are without gaps here."""
-    wrapped = R.Rule("uk.nino", r"\b[ABCEGHJKLMNOPRSTWXYZ][ABCEGHJKLMNPRSTWXYZ]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", scope="document")
-    return R.scan(lines_of(spark, d), [wrapped], KEY).select(*HIT)
+    return R.scan(lines_of(spark, d), [WRAPPED], KEY).select(*HIT)
 
 
-@query()
+@query(f"with {sql_scan(DEFAULT)} select job_id, rule_id, rule_name, severity, action, page_number, line_number, line_on_page, start, \"end\", masked_text, match_hmac, validator from hits")
 def hits_default_rules(spark, d):
     """All enabled default rules over all lines in one pass."""
-    return R.scan(lines_of(spark, d), DEFAULT, KEY)
-
-
-@query()
+    return R.scan(lines_of(spark, d), DEFAULT, KEY).drop("rule_pos")
+
+
+@query(f"with {sql_scan(DEFAULT)} select job_id, rule_id, line_number, start, \"end\" from hits where rule_id in ('pii.email', 'uk.nhs')")
+def hits_with_budget(spark, d):
+    """Two of the rules run by an engine that can be stopped, with a generous budget: the same hits, no job failed."""
+    rules = [replace(rule(x), budget=600.0) for x in ("pii.email", "uk.nhs")]
+    hits, failures = R.scan_with_failures(lines_of(spark, d), rules, KEY)
+    return hits.join(failures, "job_id", "left_anti").select("job_id", "rule_id", "line_number", "start", "end")
+
+
+def facts_of(spark: SparkSession, d: str) -> DataFrame:
+    """What extraction said of each job; where it failed there is neither text nor a page count."""
+    jobs = table(spark, d, "job_contexts").groupBy("job_id").agg(
+        F.max("page_count").alias("page_count"), F.max("ocr_page_count").alias("ocr_page_count"), F.bool_or("degraded").alias("degraded"),
+        F.max(F.when(F.col("full_text").isNull(), F.col("reason"))).alias("error"),
+    )
+    return jobs
+
+
+_RANK = "case severity when 'INFO' then 1 when 'LOW' then 2 when 'MEDIUM' then 3 when 'HIGH' then 4 when 'CRITICAL' then 5 end"
+_SEVERITY = "case {0} when 1 then 'INFO' when 2 then 'LOW' when 3 then 'MEDIUM' when 4 then 'HIGH' when 5 then 'CRITICAL' end"
+SQL_VERDICTS = f"""{sql_scan(DEFAULT)},
+    f as (select job_id, max(page_count) as pages, max(ocr_page_count) as ocr_pages, bool_or(degraded) as bad, max(case when full_text is null then reason end) as error
+          from job_contexts group by 1),
+    s as (select job_id, count(distinct page_number) as p, count(distinct case when lower(trim(source)) = 'ocr' then page_number end) as o, count(*) as n,
+          count(*) filter (where text is not null and regexp_matches({plain_text('text')}, '\\S')) as written, min(confidence) as c
+          from (select distinct on (job_id, line_number) * from text_lines) group by 1),
+    r as (select job_id, count(*) as hit_count, max({_RANK}) as top, string_agg(distinct rule_id, ',' order by rule_id) as rule_ids,
+          count(*) filter (where action = 'quarantine') as q from hits group by 1),
+    v as (select coalesce(f.job_id, s.job_id) as job_id, coalesce(pages, p, 0)::int as page_count, coalesce(ocr_pages, o, 0)::int as ocr_page_count, coalesce(n, 0)::int as line_count,
+          coalesce(written, 0) as written, c as min_ocr_confidence, coalesce(bad, false) as degraded, error, coalesce(q, 0) as q, top, coalesce(hit_count, 0)::int as hit_count,
+          coalesce(rule_ids, '') as rule_ids from f full join s using (job_id) left join r on r.job_id = coalesce(f.job_id, s.job_id)),
+    verdicts as (select job_id, page_count, ocr_page_count, 0 as failed_page_count, line_count, min_ocr_confidence, degraded,
+      case when error is not null then 'failed' when page_count > 0 and written = 0 or degraded or q > 0 then 'quarantine' else 'archive' end as disposition,
+      case when error is not null then error when page_count > 0 and written = 0 then 'no_text_extracted' when degraded then 'degraded_extraction' when q > 0 then 'dlp_hit' end as reason,
+      hit_count > 0 as flagged, {_SEVERITY.format('top')} as highest_severity, hit_count, rule_ids from v)"""
+
+
+@query(f"with {SQL_VERDICTS} select * from verdicts")
 def verdicts(spark, d):
-    """The flagship: lines, hits, one verdict a document."""
+    """The flagship: lines, hits, one verdict for every job, those without text included."""
     lines = lines_of(spark, d)
-    return verdict.assess(lines, R.scan(lines, DEFAULT, KEY)).drop("hits").withColumn("rule_ids", F.concat_ws(",", "rule_ids"))
+    return verdict.assess(lines, R.scan(lines, DEFAULT, KEY), facts_of(spark, d)).drop("hits").withColumn("rule_ids", F.concat_ws(",", "rule_ids"))
+
+
+@query(f"""with {SQL_VERDICTS} select job_id, string_agg(rule_id || ':' || line_number || ':' || start || ':' || masked_text, '|' order by list_position({[r.id for r in DEFAULT if r.enabled]}, rule_id),
+       line_number, start) as hits from hits group by 1""")
+def hits_in_order(spark, d):
+    """The hits of each job in the order an assessment keeps them: by rule, line and place."""
+    rolled = verdict.rollup(R.scan(lines_of(spark, d), DEFAULT, KEY))
+    each = F.transform("hits", lambda h: F.concat_ws(":", h["rule_id"], h["line_number"], h["start"], h["masked_text"]))
+    return rolled.select("job_id", F.array_join(each, "|").alias("hits"))
 
 
-@query()
+@query(f"""with {sql_scan(DEFAULT)}, d as (select distinct rule_id, job_id, line_number, start, masked_text from hits),
+       n as (select *, row_number() over (partition by rule_id order by job_id, line_number, start, masked_text) as k from d)
+       select rule_id, h.hits, string_agg(masked_text, '|' order by k) as samples from n join (select rule_id, count(*) as hits from hits group by 1) h using (rule_id)
+       where k <= 5 group by 1, 2""")
 def rule_test_report(spark, d):
     return verdict.rule_report(R.scan(lines_of(spark, d), DEFAULT, KEY)).withColumn("samples", F.concat_ws("|", "samples"))
 
 
 @query(f"""with {LINES} select job_id, count(distinct page_number)::int as page_count,
        count(distinct case when lower(trim(source)) = 'ocr' then page_number end)::int as ocr_page_count, count(*)::int as line_count,
-       min(confidence) as min_ocr_confidence from l group by 1""")
+       min(confidence) as min_ocr_confidence, round(avg(confidence), 5) as mean_ocr_confidence from l group by 1""")
 def page_statistics(spark, d):
-    return verdict.page_stats(lines_of(spark, d)).drop("mean_ocr_confidence")
+    return verdict.page_stats(lines_of(spark, d)).drop("text_line_count").withColumn("mean_ocr_confidence", F.round("mean_ocr_confidence", 5))
 
 
 @query(f"""with {HITS} select job_id, count(*)::int as hit_count,

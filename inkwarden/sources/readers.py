@@ -132,11 +132,16 @@ def extract_lines(docs: DataFrame, read: LineSource, key: str = "job_id", conten
 
 
 def parse_key_values(text: Column) -> Column:
-    """Lines of ``key=value`` or ``key: value``, trimmed; the first sign of a line divides it; the last of equal keys wins."""
-    pairs = F.transform(F.split(text, "\n"), lambda x: F.regexp_extract_all(x, F.lit(r"^\s*([^=:]*?)\s*[=:]\s*(.*?)\s*$"), F.lit(0)))
-    keys = lambda x: F.regexp_extract(x, r"^\s*([^=:]*?)\s*[=:]", 1)
-    value = lambda x: F.regexp_extract(x, r"^[^=:]*[=:]\s*(.*?)\s*$", 1)
-    entries = F.transform(F.flatten(pairs), lambda x: F.struct(keys(x).alias("key"), value(x).alias("value")))
+    """Lines of ``key=value`` or ``key: value``, trimmed; a line with an equals sign is divided there, any other at its first
+    colon; the last of equal keys wins. Lines without either, and empty keys, say nothing."""
+    rows = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike("[=:]"))
+    entries = F.transform(
+        rows,
+        lambda x: F.struct(
+            F.regexp_replace(F.when(x.contains("="), F.substring_index(x, "=", 1)).otherwise(F.substring_index(x, ":", 1)), r"^\s+|\s+$", "").alias("key"),
+            F.regexp_replace(x, r"^(?:[^=]*=|[^=:]*:)\s*|\s+$", "").alias("value"),
+        ),
+    )
     return F.map_from_entries(F.filter(entries, lambda e: e["key"] != ""))
 
 
@@ -151,7 +156,16 @@ def parse_xml(text: Column, schema: str) -> Column:
     return F.from_xml(F.when(~text.rlike(r"(?i)<!\s*DOCTYPE"), text), schema)
 
 
-PARSERS = {"text": parse_key_values, "json": parse_json, "xml": parse_xml}
+def parse_nothing(text: Column) -> Column:
+    return F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+
+
+PARSERS = {"text": parse_key_values, "json": parse_json, "xml": parse_xml, "none": parse_nothing}
+
+
+def parser(kind: str | None) -> Callable[..., Column]:
+    """The parser of a companion format; none and unknown formats say nothing."""
+    return PARSERS.get(kind or "none", parse_nothing)
 
 
 def allowlisted(json_text: Column, paths: list[str], most: int = 4096) -> Column:

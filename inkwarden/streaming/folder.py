@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from inkwarden.streaming.ingest import settled
+from inkwarden.session import file_system
+from inkwarden.sources.readers import exists
+from inkwarden.streaming.ingest import settle_step
 
 
 class _Reader(SimpleDataSourceStreamReader):
@@ -52,13 +54,24 @@ def listings(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ()) -
     return spark.readStream.format("folder_listings").option("path", folder).option("suffixes", ",".join(suffixes)).load()
 
 
-def on_ready(sightings_root: str, take, polls: int = 2, grace: int = 0):
-    """foreachBatch function: keeps the sightings and hands files that have settled to ``take(df, batch_id)``."""
+STATE = "path string, size long, poll int, since int, ready boolean, taken boolean"
+
+
+def on_ready(state_root: str, take, polls: int = 2, grace: int = 0):
+    """foreachBatch function: keeps each poll's state and hands files that have settled to ``take(df, batch_id)``, each once.
+
+    Only the last poll's state is read, and only two are kept. A batch that runs again replaces its own state.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{sightings_root}/batch={batch_id}")
-        seen = spark.read.option("basePath", sightings_root).schema("poll int, path string, size long").parquet(f"{sightings_root}/batch=*")
-        take(settled(seen, polls, grace), batch_id)
+        before = spark.createDataFrame([], STATE)
+        if exists(spark, f"{state_root}/batch={batch_id - 1}"):
+            before = spark.read.schema(STATE).parquet(f"{state_root}/batch={batch_id - 1}")
+        settle_step(before, batch, polls, grace).write.mode("overwrite").parquet(f"{state_root}/batch={batch_id}")
+        now = spark.read.schema(STATE).parquet(f"{state_root}/batch={batch_id}")
+        take(now.where("ready").select("path", "size"), batch_id)
+        fs, old = file_system(spark, f"{state_root}/batch={batch_id - 2}")
+        fs.delete(old, True)
 
     return work

@@ -33,4 +33,4 @@ def test_small_functions(spark):
     assert column(spark, ["=1", "a", "-x", None], V.csv_safe) == ["'=1", "a", "'-x", None]
     assert column(spark, ["LOW", "CRITICAL", "odd", None], V.severity_rank) == [2, 5, None, None]
     assert column(spark, ["a  b\n", "", None], V.flat_space) == ["a b", "", None]
-    assert column(spark, ["abcd", "ab"], lambda c: V.capped(c, 3)) == ["abc…", "ab"]
+    assert column(spark, ["abcd", "ab"], lambda c: V.capped(c, 3)) == ["abc…[truncated]", "ab"]

@@ -133,7 +133,7 @@ def test_companions(spark):
     ).first()
     pair = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}), ({"a": "1"}, None)], "d map<string,string>, c map<string,string>")
     assert [r.m for r in pair.select(readers.merged_metadata(F.col("d"), F.col("c")).alias("m")).collect()] == [{"a": "1", "b": "3"}, {"a": "1"}]
-    assert row.t == {"a": "2", "b": "x=y"} and row.j == {"d.id": "7"} and row.x is None and row.v == 5
+    assert row.t == {"a": "2", "b: x": "y"} and row.j == {"d.id": "7"} and row.x is None and row.v == 5
 
 
 def test_sniff(spark):
@@ -157,7 +157,8 @@ def test_extraction_failure_is_a_row(spark):
 def test_sinks(spark):
     rows = assessments(spark, [job(1, 1, 1, rules=["r" * 50] * 3), job(2, 1, 1)])
     sent = sinks.syslog_message(rows, "h", most=250).collect()
-    assert all(len(r.message.encode()) <= 250 for r in sent) and any("hits_truncated" in r.message for r in sent)
+    assert all("hits_truncated" in r.message and json.loads(r.message[r.message.index("{") :]) for r in sent)
+    assert not any("truncated" in r.message for r in sinks.syslog_message(rows, "h").collect())
 
     def send(job, body):
         if job.startswith("2"):
@@ -196,7 +197,8 @@ def test_settled_files(spark):
 
 
 def test_permissions(spark):
-    assert Q.allowed(["viewer"], "search") and not Q.allowed(["viewer"], "purge")
+    assert Q.allowed(["viewer"], "jobs.list") and not Q.allowed(["viewer"], "jobs.purge") and len(Q.PERMISSIONS) == 16
+    assert Q.allowed(["dlp_admin"], "dlp.reveal") and not Q.allowed(["investigator", "auditor"], "dlp.reveal")
     with pytest.raises(ValueError):
         Q.allowed(["viewer"], "odd")
     df = spark.createDataFrame([("archive", None, "archive/x", "s"), ("archive", True, "archive/x", "s"), (None, None, None, "s")], "disposition string, release_pending boolean, archive_path string, snippet string")
