@@ -22,7 +22,6 @@ from inkwarden.session import materialise
 BUCKET_ROWS = 20_000
 FAN_IN = 16
 SIZEABLE = 0.01  # part of a source's target
-STATE = "source string, bucket int, row_id long, tokens long, p double, whole boolean"
 
 
 def clean_source(source: Column) -> Column:
@@ -30,27 +29,27 @@ def clean_source(source: Column) -> Column:
 
 
 def pivotal(p: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds probabilities so that all but at most one are 0 or 1; expectations and the weighted sum are kept."""
+    """Rounds probabilities so that all but at most one are 0 or 1; expectations and the weighted sum are kept.
+
+    Of two fractions that meet one becomes exactly 0 or 1, so fractions of any smallness are treated alike.
+    """
     p, weight = p.astype(float).copy(), weight.astype(float)
     draws = rng.random(len(p))
     held = -1
     for i in range(len(p)):
-        if p[i] <= 1e-12 or p[i] >= 1 - 1e-12:
-            p[i] = round(p[i])
+        if not 0 < p[i] < 1:
             continue
         if held < 0:
             held = i
             continue
-        up = min((1 - p[held]) * weight[held], p[i] * weight[i])
-        down = min(p[held] * weight[held], (1 - p[i]) * weight[i])
-        shift = up if draws[i] < down / (up + down) else -down
-        p[held] += shift / weight[held]
-        p[i] -= shift / weight[i]
-        for k in (held, i):
-            if p[k] <= 1e-9 or p[k] >= 1 - 1e-9:
-                p[k] = round(p[k])
-        loose = [k for k in (held, i) if 0 < p[k] < 1]
-        held = loose[0] if loose else -1
+        room, mass = (1 - p[held]) * weight[held], p[i] * weight[i]  # how far the held one can rise, the other fall
+        have, space = p[held] * weight[held], (1 - p[i]) * weight[i]
+        up, down = min(room, mass), min(have, space)
+        if draws[i] * (up + down) < down:
+            p[held], p[i] = (1.0 if room <= mass else p[held] + up / weight[held]), (0.0 if mass <= room else p[i] - up / weight[i])
+        else:
+            p[held], p[i] = (0.0 if have <= space else p[held] - down / weight[held]), (1.0 if space <= have else p[i] + down / weight[i])
+        held = next((k for k in (held, i) if 0 < p[k] < 1), -1)
     return p
 
 
@@ -59,7 +58,7 @@ def _round(group: pd.DataFrame, seed: int) -> pd.DataFrame:
     bucket = int(group["bucket"].iloc[0])
     rng = np.random.default_rng([seed, bucket, *group["source"].iloc[0].encode()])
     p = pivotal(group["p"].to_numpy(), group["tokens"].to_numpy(), rng)
-    return group.assign(p=p, whole=(p == 0) | (p == 1))[["source", "bucket", "row_id", "tokens", "p", "whole"]]
+    return group.assign(p=p)
 
 
 def targets_with_sizes(documents: DataFrame, targets: DataFrame, source: str, tokens: str) -> DataFrame:
@@ -94,7 +93,6 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, source: str, tokens:
     bounds = sized.agg(
         F.sum("target_share").alias("share"),
         F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("room"),
-        F.max("documents").alias("largest"),
     ).first()
     empty = kept.limit(0).select(F.col("_key").alias(key), "source", "tokens", F.lit(0).alias("copies"))
     if not bounds["share"]:
@@ -102,44 +100,48 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, source: str, tokens:
     # room is the total at raw shares; present shares sum to `share`, so the reachable total is room * share
     total = total_tokens if total_tokens is not None else bounds["room"] * bounds["share"]
     target = F.least(F.col("max_repeats") * F.col("tokens"), F.col("target_share") / F.lit(bounds["share"]) * F.lit(float(total)))
-    rates = sized.select("source", "max_repeats", target.alias("target"), F.round(target / F.col("tokens"), 9).alias("rate"))
-    slots = max(1, math.ceil(bounds["largest"] / BUCKET_ROWS))
+    rates = sized.select("source", "max_repeats", target.alias("target"), (target / F.col("tokens")).alias("rate"))
     split = kept.join(rates, "source").withColumn("big", F.col("tokens") > F.lit(SIZEABLE) * F.col("target"))
-    # at most 1 / (SIZEABLE * rate) documents of a source are big
-    big = materialise(_copies(split.where("big"), "rate", 1, seed), "big")
+    big = materialise(_copies(split.where("big"), "rate", seed), "big")
     done = big.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("done"))
     small = split.where("NOT big").groupBy("source").agg(F.sum("tokens").alias("small"))
     left = (F.col("target") - F.coalesce("done", F.lit(0))) / F.col("small")
     again = rates.join(small, "source").join(done, "source", "left").select(
-        "source", F.round(F.greatest(F.lit(0.0), F.least(left, F.col("max_repeats").cast("double"))), 9).alias("rate_small")
+        "source", F.greatest(F.lit(0.0), F.least(left, F.col("max_repeats").cast("double"))).alias("rate_small")
     )
-    others = _copies(split.where("NOT big").join(again, "source"), "rate_small", slots, seed + 1)
-    copies = big.select("row_id", "copies").unionByName(others.select("row_id", "copies")).where("copies > 0")
-    return kept.join(copies, "row_id").select(F.col("_key").alias(key), "source", "tokens", "copies")
+    others = _copies(split.where("NOT big").join(again, "source"), "rate_small", seed + 1)
+    return big.unionByName(others).where("copies > 0").select(F.col("_key").alias(key), "source", "tokens", "copies")
 
 
 def _rounder(seed: int):
     return lambda group: _round(group, seed)
 
 
-def _copies(rows: DataFrame, rate: str, slots: int, seed: int) -> DataFrame:
-    """source, row_id, tokens, copies: the whole part of the rate and the rounded fraction."""
-    start = rows.select(
-        "source", F.pmod(F.xxhash64("row_id"), F.lit(slots)).cast("int").alias("bucket"), "row_id", "tokens",
+def _copies(rows: DataFrame, rate: str, seed: int) -> DataFrame:
+    """_key, source, tokens, copies: the whole part of the rate and the rounded fraction.
+
+    Each source is dealt to as many buckets as it needs; every bucket leaves one fraction at most, and those are paired on
+    in a tree.
+    """
+    slots = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)).cast("int").alias("slots"))
+    start = rows.join(slots, "source").select(
+        "source", F.pmod(F.xxhash64("row_id"), F.col("slots")).cast("int").alias("bucket"), "row_id", "_key", "tokens",
         (F.col(rate) - F.floor(rate)).alias("p"), F.floor(rate).cast("int").alias("base"),
     )
-    state = materialise(start.drop("base").groupBy("source", "bucket").applyInPandas(_rounder(seed), STATE), "rounded")
-    decided, loose = state.where("whole"), state.where("NOT whole")
-    while slots > 1:
-        slots = math.ceil(slots / FAN_IN)
-        step = loose.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int")).drop("whole")
-        state = materialise(step.groupBy("source", "bucket").applyInPandas(_rounder(seed), STATE), "rounded")
-        decided, loose = decided.unionByName(state.where("whole")), state.where("NOT whole")
+    schema = start.schema
+    loose = F.col("p").between(0, 1) & ~F.col("p").isin(0.0, 1.0)
+    state = materialise(start.groupBy("source", "bucket").applyInPandas(_rounder(seed), schema), "rounded")
+    decided, left = state.where(~loose), state.where(loose)
+    level = 1 + (state.agg(F.max("bucket")).first()[0] or 0)
+    while level > 1:
+        level = math.ceil(level / FAN_IN)
+        step = left.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int"))
+        state = materialise(step.groupBy("source", "bucket").applyInPandas(_rounder(seed), schema), "rounded")
+        decided, left = decided.unionByName(state.where(~loose)), state.where(loose)
     # one fraction a source at most is left; it is drawn by its probability
-    draw = F.pmod(F.xxhash64("source", "row_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
-    last = loose.withColumn("p", F.when(draw < F.col("p"), 1.0).otherwise(0.0))
-    extra = decided.unionByName(last).select("row_id", F.col("p").cast("int").alias("extra"))
-    return start.join(extra, "row_id").select("source", "row_id", "tokens", (F.col("base") + F.col("extra")).alias("copies"))
+    draw = F.pmod(F.xxhash64("source", "row_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    last = left.withColumn("p", F.when(draw < F.col("p"), 1.0).otherwise(0.0))
+    return decided.unionByName(last).select("_key", "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("copies"))
 
 
 def mix_report(mixed: DataFrame, documents: DataFrame, targets: DataFrame, source: str, tokens: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Online packing: the array of fill levels counts the open containers of each level, and a document goes where the sum of
 squares of those counts becomes least. Documents arrive in hashed order, in groups of bounded size that are packed side
-by side; containers a group leaves clearly underfilled are combined with those of other groups by the same rule, in a
-tree. Only a document above the capacity is split.
+by side; containers a group leaves clearly underfilled, and into which another one would still fit, are combined by the
+same rule, again in groups of bounded size, for as long as that saves containers. Only a document above the capacity is
+split.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from inkwarden.session import materialise
 
 GROUP_ROWS = 20_000
-FAN_IN = 16
 FULL_ENOUGH = 0.99
-MAX_SPECS = 1000
+LEAST_SAVED = 0.001  # a level of combining that saves less of its containers is the last
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -52,28 +51,22 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-PLACED = "spec_name string, capacity int, slot int, container string, item string, tokens int"
-
-
 def _packer(tag: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda group: _pack(group, tag)
 
 
 def _pack(group: pd.DataFrame, tag: str) -> pd.DataFrame:
-    group = group.sort_values(["arrival", "item"])
-    capacity = int(group["capacity"].iloc[0])
+    """One group of one container size, in order of arrival; its rows with the container each goes to."""
+    group = group.sort_values(["arrival", "tokens"])
+    number = sum_of_squares(group["tokens"].to_numpy(), int(group["capacity"].iloc[0]))
     slot = int(group["slot"].iloc[0])
-    number = sum_of_squares(group["tokens"].to_numpy(), capacity)
-    return pd.DataFrame(
-        {
-            "spec_name": group["spec_name"],
-            "capacity": group["capacity"],
-            "slot": slot,
-            "container": [f"{tag}-{slot}-{n}" for n in number],
-            "item": group["item"],
-            "tokens": group["tokens"],
-        }
-    )
+    return group.drop(columns=["arrival", "slot"]).assign(container=[f"{tag}-{slot}-{n}" for n in number])
+
+
+def _in_groups(rows: DataFrame, group_rows: int, salt: int) -> DataFrame:
+    """rows with ``slot``: hashed groups of about ``group_rows`` within each container size, whatever their number."""
+    count = rows.groupBy("spec_name", "capacity").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).alias("_slots"))
+    return rows.join(count, ["spec_name", "capacity"]).withColumn("slot", F.pmod(F.xxhash64("arrival", F.lit(salt)), F.col("_slots")).cast("int")).drop("_slots")
 
 
 def pieces(documents: DataFrame, specs: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -83,9 +76,7 @@ def pieces(documents: DataFrame, specs: DataFrame, key: str, tokens: str) -> Dat
     without a key are documents as well.
     """
     d = documents.where(F.col(tokens) > 0).select(F.col(key).alias("doc"), F.col(tokens).cast("long").alias("size"))
-    known = specs.where(F.col("capacity_tokens") > 0).select("spec_name", "capacity_tokens").distinct().limit(MAX_SPECS + 1).collect()
-    if len(known) > MAX_SPECS:
-        raise ValueError(f"more than {MAX_SPECS} container sizes")
+    known = specs.where(F.col("capacity_tokens") > 0).select("spec_name", "capacity_tokens").distinct().collect()  # parameters, a row each
     each = [F.struct(F.lit(r[0]).alias("spec_name"), F.lit(r[1]).cast("int").alias("capacity")) for r in sorted(known, key=str)]
     s = F.array(*each) if each else F.lit(None).cast("array<struct<spec_name:string,capacity:int>>")
     return d.select("doc", "size", F.inline(s)).select(
@@ -96,40 +87,55 @@ def pieces(documents: DataFrame, specs: DataFrame, key: str, tokens: str) -> Dat
 def pack(documents: DataFrame, specs: DataFrame, key: str, tokens: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every piece with its container: spec_name, capacity, container, <key>, piece, start, tokens.
 
-    Rows of equal key are told apart by a number, so none is lost. No documents or no specs give no rows.
+    Rows of equal key are documents of their own. No documents or no specs give no rows. A task packs about ``group_rows``
+    pieces or containers, however many of them are left to combine.
     """
-    rows = pieces(documents, specs, key, tokens)
-    named = rows.withColumn("item", F.concat_ws("/", F.coalesce(F.col("doc").cast("string"), F.lit("")), "piece"))
-    named = materialise(named.withColumn("row_id", F.monotonically_increasing_id()), "pieces")
-    largest = named.groupBy("spec_name").count().agg(F.max("count")).first()[0]
-    if not largest:
-        return named.select("spec_name", "capacity", F.lit("").alias("container"), F.col("doc").alias(key), "piece", "start", "tokens")
+    rows = pieces(documents, specs, key, tokens).drop("size").withColumn("arrival", F.xxhash64("doc", "piece"))
     # whole containers need no search
-    full = named.where("tokens = capacity").select("row_id", F.concat(F.lit("full-"), F.col("row_id").cast("string")).alias("container"))
-    slots = max(1, math.ceil(largest / group_rows))
-    arrival = F.xxhash64("doc", "piece")
-    items = named.where("tokens < capacity").select(
-        "spec_name", "capacity", arrival.alias("arrival"), F.pmod(F.xxhash64("item", F.lit(7)), F.lit(slots)).cast("int").alias("slot"),
-        F.col("row_id").cast("string").alias("item"), "tokens",
-    )
-    placed = materialise(items.groupBy("spec_name", "slot").applyInPandas(_packer("c0"), PLACED), "placed")
-    names = placed.select("spec_name", F.col("item").cast("long").alias("row_id"), "container")
-    level = 0
-    while slots > 1:
+    full = rows.where("tokens = capacity").drop("arrival").withColumn("container", F.concat(F.lit("full-"), F.expr("uuid()")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("arrival").schema.fields) + ", container string"
+    items = _in_groups(rows.where("tokens < capacity"), group_rows, 7)
+    placed = materialise(items.groupBy("spec_name", "capacity", "slot").applyInPandas(_packer("c0"), schema), "placed")
+    full = materialise(full, "full")
+    moves = _combined(placed, group_rows)
+    if moves is not None:
+        names = ["spec_name", "capacity", "container"]
+        placed = placed.join(moves, names, "left").withColumn("container", F.coalesce("into", "container")).drop("into")
+    return placed.unionByName(full).select("spec_name", "capacity", "container", F.col("doc").alias(key), "piece", "start", "tokens")
+
+
+def _combined(placed: DataFrame, group_rows: int) -> DataFrame | None:
+    """(spec_name, capacity, container, into): underfilled containers that go together into a new one; none where nothing fits."""
+    names = ["spec_name", "capacity", "container"]
+    bins = placed.groupBy(*names).agg(F.sum("tokens").cast("int").alias("tokens"))
+    bins = materialise(bins.where(F.col("tokens") < F.col("capacity") * FULL_ENOUGH), "loose")
+    moves, level = None, 0
+    while True:
         level += 1
-        slots = math.ceil(slots / FAN_IN)
-        bins = placed.groupBy("spec_name", "capacity", "slot", "container").agg(F.sum("tokens").cast("int").alias("tokens"))
-        loose = bins.where(F.col("tokens") < F.col("capacity") * FULL_ENOUGH).select(
-            "spec_name", "capacity", F.xxhash64("container").alias("arrival"), F.floor(F.col("slot") / FAN_IN).cast("int").alias("slot"),
-            F.col("container").alias("item"), "tokens",
+        # a container into which not even the emptiest other one fits stays as it is
+        least = bins.groupBy("spec_name", "capacity").agg(F.min("tokens").alias("least"))
+        fitting = bins.join(least, ["spec_name", "capacity"])
+        fitting = fitting.where(F.col("tokens") + F.col("least") <= F.col("capacity")).drop("least")
+        grouped = materialise(_in_groups(fitting.withColumn("arrival", F.xxhash64("container")), group_rows, level), "fitting")
+        sizes = grouped.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("spec_name", "capacity", "slot").alias("groups"), F.countDistinct("spec_name", "capacity").alias("specs")).first()
+        if sizes["n"] < 2:
+            return moves
+        packed = grouped.withColumnRenamed("container", "was").groupBy("spec_name", "capacity", "slot").applyInPandas(
+            _packer(f"c{level}"), "spec_name string, capacity int, was string, tokens int, container string"
         )
-        placed = materialise(loose.groupBy("spec_name", "slot").applyInPandas(_packer(f"c{level}"), PLACED), "placed")
-        moved = placed.select("spec_name", F.col("item").alias("container"), F.col("container").alias("into"))
-        names = names.join(moved, ["spec_name", "container"], "left").select(
-            "spec_name", "row_id", F.coalesce("into", "container").alias("container")
-        )
-    where = names.select("row_id", "container").unionByName(full)
-    return named.join(where, "row_id").select("spec_name", "capacity", "container", F.col("doc").alias(key), "piece", "start", "tokens")
+        packed = materialise(packed, "combined")
+        step = packed.select("spec_name", "capacity", F.col("was").alias("container"), F.col("container").alias("into"))
+        if moves is None:
+            moves = step
+        else:
+            later = step.select("spec_name", "capacity", F.col("container").alias("into"), F.col("into").alias("_then"))
+            first = step.join(moves.select("spec_name", "capacity", F.col("into").alias("container")).distinct(), names, "left_anti")
+            moves = moves.join(later, ["spec_name", "capacity", "into"], "left").select(*names, F.coalesce("_then", "into").alias("into")).unionByName(first)
+            moves = materialise(moves, "moves")
+        bins = materialise(packed.groupBy(*names).agg(F.sum("tokens").cast("int").alias("tokens")).where(F.col("tokens") < F.col("capacity") * FULL_ENOUGH), "loose")
+        left = packed.select(*names).distinct().count()
+        if sizes["groups"] == sizes["specs"] or sizes["n"] - left < LEAST_SAVED * sizes["n"]:
+            return moves
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

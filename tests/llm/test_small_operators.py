@@ -114,6 +114,26 @@ def test_pack_round_trip(spark, group_rows):
     assert P.pack(df, specs.limit(0), "doc_id", "tokens").count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[600], [600, 350, 120], [501]])
+def test_no_task_gathers_what_cannot_be_combined(spark, monkeypatch, sizes):
+    """However many containers are left loose, a group has about group_rows of them."""
+    largest = []
+    keep = P.materialise
+
+    def seen(df, name):
+        out = keep(df, name)
+        if name == "fitting":
+            largest.append(out.groupBy("spec_name", "slot").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(P, "materialise", seen)
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") % len(sizes) + 1).cast("int")).alias("tokens"))
+    specs = spark.createDataFrame([("s", 1000)], "spec_name string, capacity_tokens int")
+    got = P.fill_report(P.pack(df, specs, "doc_id", "tokens", 200)).first()
+    assert max(largest, default=0) <= 400 and got.fullest <= 1000 and got.pieces == 6000
+    assert got.containers <= {1: 6000, 3: 4100}[len(sizes)]
+
+
 def test_tokens(spark):
     texts = ["", None, "Hello world", "é" * 2000, "<|endoftext|>"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -133,6 +153,21 @@ def test_pivotal_keeps_mass_and_expectation():
     assert abs(runs.mean(axis=0) - 0.3).max() < 0.06
 
 
+def test_small_rates_are_kept(spark):
+    p = M.pivotal(np.full(4000, 2.5e-10), np.ones(4000), np.random.default_rng(1))
+    assert p.sum() == pytest.approx(1e-6, rel=1e-6) and ((p > 0) & (p < 1)).sum() == 1
+    assert M.pivotal(np.full(40_000, 1e-4), np.ones(40_000), np.random.default_rng(1)).sum() == pytest.approx(4, abs=1e-6)
+
+
+def test_sizeable_documents_are_dealt_to_buckets(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_ROWS", 50)
+    docs = [(i, "a", 10) for i in range(3000)] + [(9000 + i, "b", 10) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = M.mix(df, targets, "doc_id", "source", "tokens").groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("m"))
+    assert {r.source: (abs(r.t - 200) <= 10, r.m) for r in got.collect()} == {"a": (True, 1), "b": (True, 1)}
+
+
 def test_mix(spark):
     rng = random.Random(2)
     docs = [(i, rng.choice(["A", "a ", "A", "b", "b", "c", None, "other"]), rng.randint(1, 60)) for i in range(3000)] + [(5, "a", 0), (6, "a", None), (None, "a", 3)]
