@@ -9,7 +9,8 @@ both (prefix principle, the prefix extended so that more than one must be shared
   small sets on equal subsets; a large set, whose subsets would be too many, scans the inverted lists of the single
   heavy shingles instead, against all sets.
 
-The boundary between light and heavy is the one of least estimated cost, from the counts of the whole collection.
+Both boundaries, between light and heavy shingles and between small and large sets, are those of least estimated cost, from
+the counts of the whole collection. Lists are met block by block, so a shingle of very many sets is the work of many tasks.
 Candidates that share enough are verified on the whole sets. No list, set or candidate is cut short.
 """
 
@@ -18,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwarden.session import materialise
+from inkwarden.session import discard, materialise
 
-LARGE = 48
-CUTS = (8, 16, 32, 64, 128, 256, 512, 1024, 4096, 1 << 40)
+CUTS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 1 << 40)
+BLOCK = 512  # sets of a list that meet in one task
 
 
 def words(text: Column) -> Column:
@@ -32,34 +33,30 @@ def words(text: Column) -> Column:
 def shingles(w: Column, size: int) -> Column:
     """Distinct hashes of ``size`` consecutive words; fewer words have none.
 
-    ``w`` must be a column of words already computed: inside the lambda an expression would run again for each shingle.
+    The words are read from arrays that begin one word later each, so that no expression runs again for each shingle.
     """
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(w) - F.lit(size)),
-        lambda i: F.xxhash64(*[F.element_at(w, i + F.lit(k + 1)) for k in range(size)]),
-    )
-    return F.when(F.size(w) >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<long>"))
+    runs = F.arrays_zip(*[F.slice(w, k + 1, F.greatest(F.size(w) - F.lit(size - 1), F.lit(0))).alias(f"w{k}") for k in range(size)])
+    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(size)])))
 
 
 def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(membership: key, class_id) and (sets: class_id, grams, n).
+    """(membership: key, class_id) and (sets: class_id, set_id, grams, n).
 
     A class holds the records of one and the same shingle set; its id is the least key. Records whose text is null or
-    too short for one shingle belong to no class. A key with several texts belongs to the class of each.
+    too short for one shingle belong to no class. A key with several texts belongs to the class of each. Texts are read
+    where they lie and never shuffled: only their shingles leave the scan.
     """
-    w = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    texts = w.groupBy(F.xxhash64("_text").alias("_h1"), F.sha2("_text", 256).alias("_h2")).agg(F.first("_text").alias("_text"))
-    worded = materialise(texts.select("_h2", words(F.col("_text")).alias("_words")), "words")
-    grams = worded.select("_h2", F.array_sort(shingles(F.col("_words"), size)).alias("grams")).where(F.size("grams") > 0)
-    grams = materialise(grams.withColumn("_set", F.sha2(F.to_json("grams"), 256)), "grams")
-    by_text = w.select("_key", F.sha2("_text", 256).alias("_h2")).distinct()
-    linked = by_text.join(grams.select("_h2", "_set"), "_h2")
-    least = linked.groupBy("_set").agg(F.min("_key").alias("class_id"))
-    membership = materialise(linked.join(least, "_set").select(F.col("_key").alias(key), "class_id", "_set").distinct(), "classes")
-    one = grams.groupBy("_set").agg(F.first("grams").alias("grams"))
-    sets = one.join(membership.select("_set", "class_id").distinct(), "_set")
-    sets = sets.select("class_id", F.xxhash64("_set").alias("set_id"), "grams", F.size("grams").alias("n"))
-    return membership.drop("_set"), materialise(sets, "sets")
+    w = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("_words"))
+    grams = w.select("_key", F.array_sort(shingles(F.col("_words"), size)).alias("grams")).where(F.size("grams") > 0)
+    read = materialise(grams.withColumn("_set", F.sha2(F.to_json("grams"), 256)), "grams")
+    least = read.groupBy("_set").agg(F.min("_key").alias("class_id"))
+    membership = materialise(read.select("_key", "_set").join(least, "_set").select(F.col("_key").alias(key), "class_id", "_set").distinct(), "classes")
+    # the member that gave the class its name brings the set along; if it came several times, one of its rows does
+    own = read.join(least.select("_set", F.col("class_id").alias("_key")), ["_set", "_key"]).dropDuplicates(["_set"])
+    sets = own.select(F.col("_key").alias("class_id"), F.xxhash64("_set").alias("set_id"), "grams", F.size("grams").alias("n"))
+    sets = materialise(sets, "sets")
+    discard(read)
+    return membership.drop("_set"), sets
 
 
 def _ceil(x: Column) -> Column:
@@ -76,7 +73,7 @@ def _need(n: Column, spare: float, threshold: float) -> Column:
     return F.least(F.greatest(F.lit(2), F.floor(n * F.lit(spare)).cast("int") + 1), _overlap(n, threshold))
 
 
-def candidates(sets: DataFrame, threshold: float, spare: float = 0.06, large: int = LARGE) -> DataFrame:
+def candidates(sets: DataFrame, threshold: float, spare: float = 0.06) -> DataFrame:
     """(low, high) set ids, low being the smaller set, of every pair that can reach the threshold."""
     frequency = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # A shingle of one set only can't be shared, but keeps its place at the head of the order: it shortens the prefix.
@@ -89,25 +86,26 @@ def candidates(sets: DataFrame, threshold: float, spare: float = 0.06, large: in
     as_larger = F.greatest(F.lit(0), n - _ceil(n * t) + need - alone)
     as_smaller = F.greatest(F.lit(0), n - _ceil(n * F.lit(2 * threshold / (1 + threshold))) + need - alone)
     heads = listed.select(
-        "set_id", "n", F.slice("listed", F.lit(1), as_larger).alias("head"), as_smaller.cast("int").alias("short")
-    ).where(F.size("head") > 0)
+        "set_id", "n", F.size("listed").alias("m"), F.slice("listed", F.lit(1), as_larger).alias("head"), as_smaller.cast("int").alias("short")
+    ).where((F.size("head") > 0) & (F.size("listed") >= _ceil(n * t)))
     heads = materialise(heads, "heads")
-    cut = light_boundary(heads, large)
+    cut, large = boundaries(heads)
     heavy_count = F.size(F.filter("head", lambda x: x["df"] > F.lit(cut)))
     # a set that needs one shared shingle only has no 2-subset to meet by: its single heavy shingles are scanned
-    heads = heads.withColumn("is_large", (heavy_count > large) | (_overlap(n, threshold) == 1))
+    split = heads.withColumn("is_large", (heavy_count > large) | (_overlap(n, threshold) == 1))
 
-    tokens = heads.select("set_id", "n", "short", "is_large", F.posexplode("head").alias("pos", "t")).select(
-        "set_id", "n", "is_large", (F.col("pos") < F.col("short")).alias("first"), F.col("t.df").alias("df"), F.col("t.gram").alias("gram")
+    tokens = split.select("set_id", "n", "m", "short", "is_large", F.posexplode("head").alias("pos", "t")).select(
+        "set_id", "n", "m", "is_large", "pos", (F.col("pos") < F.col("short")).alias("first"), F.col("t.df").alias("df"), F.col("t.gram").alias("gram")
     )
     light, heavy = tokens.where(F.col("df") <= cut), tokens.where(F.col("df") > cut)
-    ways = [_meet(light, light, ["gram"], threshold, "light")]
+    ways = [_meet(light, light, ["gram"], threshold, "light")] if cut > 1 else []
     if cut < CUTS[-1]:
         big, small = heavy.where("is_large"), heavy.where("NOT is_large")
+        pairs = _subsets(split.where("NOT is_large"), cut)
         ways += [
             _meet(big, heavy, ["gram"], threshold, "listed"),
             _meet(small, big, ["gram"], threshold, "listed"),
-            _meet(*[_subsets(heads.where("NOT is_large"), cut)] * 2, ["gram", "gram2"], threshold, "subsets"),
+            _meet(pairs, pairs, ["gram", "gram2"], threshold, "subsets"),
         ]
     met = ways[0]
     for way in ways[1:]:
@@ -124,43 +122,70 @@ def candidates(sets: DataFrame, threshold: float, spare: float = 0.06, large: in
 
 
 def _meet(left: DataFrame, right: DataFrame, on: list[str], threshold: float, way: str) -> DataFrame:
-    """Pairs (smaller set from ``left``) that have an equal shingle, or subset, at the head."""
-    a = left.where("first").select(*on, F.col("set_id").alias("low"), F.col("n").alias("n_low"))
-    b = right.select(*on, F.col("set_id").alias("high"), F.col("n").alias("n_high"))
+    """Pairs (smaller set from ``left``) that have an equal shingle, or subset, at the head.
+
+    The right side of a list is dealt to blocks of about BLOCK sets, and the left side goes to each of them; the document
+    frequency bounds the length of a list, so nothing has to be counted for it. Pairs are left out whose sizes, or whose
+    shareable shingles before and after the place they meet at, can't give the overlap.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
+    a = left.where("first").select(
+        *on, F.col("set_id").alias("low"), F.col("n").alias("n_low"), F.col("m").alias("m_low"), F.col("pos").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    )
+    b = right.select(
+        *on, F.col("set_id").alias("high"), F.col("n").alias("n_high"), F.col("m").alias("m_high"), F.col("pos").alias("j"), F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block")
+    )
     ordered = (F.col("n_low") < F.col("n_high")) | ((F.col("n_low") == F.col("n_high")) & (F.col("low") < F.col("high")))
     near = F.col("n_low") >= F.col("n_high") * F.lit(threshold) - 1e-9
-    return a.join(b, on).where(ordered & near).select("low", "high", "n_low", F.lit(way).alias("way"))
+    most = F.least("i", "j") + 1 + F.least(F.col("m_low") - F.col("i"), F.col("m_high") - F.col("j")) - 1
+    enough = most >= (F.col("n_low") + F.col("n_high")) * F.lit(threshold / (1 + threshold)) - 1e-9
+    return a.join(b, [*on, "block"]).where(ordered & near & enough).select("low", "high", "n_low", F.lit(way).alias("way"))
 
 
 def _subsets(heads: DataFrame, cut: int) -> DataFrame:
     """2-subsets of the heavy shingles at the head; ``first`` if both lie in the shorter head."""
     heavy = F.filter(
-        F.transform("head", lambda x, i: F.struct(x["gram"].alias("gram"), x["df"].alias("df"), (i < F.col("short")).alias("first"))),
+        F.transform("head", lambda x, i: F.struct(x["gram"].alias("gram"), x["df"].alias("df"), i.alias("pos"), (i < F.col("short")).alias("first"))),
         lambda x: x["df"] > F.lit(cut),
     )
-    one = heads.select("set_id", "n", heavy.alias("h")).select("set_id", "n", "h", F.posexplode("h").alias("i", "a"))
-    two = one.select("set_id", "n", "a", F.explode(F.slice("h", F.col("i") + 2, F.greatest(F.size("h") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    one = heads.select("set_id", "n", "m", heavy.alias("h")).select("set_id", "n", "m", "h", F.posexplode("h").alias("i", "a"))
+    two = one.select("set_id", "n", "m", "a", F.explode(F.slice("h", F.col("i") + 2, F.greatest(F.size("h") - F.col("i") - 1, F.lit(0)))).alias("b"))
     return two.select(
-        "set_id", "n", (F.col("a.first") & F.col("b.first")).alias("first"),
+        "set_id", "n", "m", F.col("a.pos").alias("pos"), (F.col("a.first") & F.col("b.first")).alias("first"), F.least("a.df", "b.df").alias("df"),
         F.least("a.gram", "b.gram").alias("gram"), F.greatest("a.gram", "b.gram").alias("gram2"),
     )
 
 
-def light_boundary(heads: DataFrame, large: int, row_cost: float = 4.0) -> int:
-    """The document frequency up to which scanning lists costs least in all.
+def boundaries(heads: DataFrame, row_cost: float = 4.0) -> tuple[int, int]:
+    """(cut, large): the document frequency up to which shingles are light, and the number of heavy shingles up to which a
+    set is small, that cost least together.
 
-    Scanning costs about half the square of a list's length; enumerating costs the subsets of the small sets and their
-    shuffle (``row_cost`` times a met pair). One aggregation over the heads; a handful of sums come to the driver.
+    Scanning a list costs about half of its length for each of its entries; a small set costs its subsets and their shuffle
+    (``row_cost`` times a met pair), a large one the lists of its heavy shingles. Sets are counted by cut and by the power
+    of two their heavy shingles fill: one aggregation, of which a few hundred sums come to the driver.
     """
-    entries = heads.select("set_id", F.explode("head.df").alias("df"))
-    lists = entries.agg(*[F.sum(F.when(F.col("df") <= c, F.col("df") / 2)).alias(f"s{c}") for c in CUTS]).first()
-    counts = [F.size(F.filter("head", lambda x, c=c: x["df"] > F.lit(c))) for c in CUTS]
-    subsets = heads.agg(
-        *[F.sum(F.when(k <= large, k * (k - 1) / 2).otherwise(0)).alias(f"e{c}") for k, c in zip(counts, CUTS, strict=True)],
-        *[F.sum(F.when(k > large, k * F.lit(c))).alias(f"l{c}") for k, c in zip(counts, CUTS, strict=True)],
-    ).first()
-    cost = {c: (lists[f"s{c}"] or 0) + row_cost * (subsets[f"e{c}"] or 0) + (subsets[f"l{c}"] or 0) for c in CUTS}
-    return min(CUTS, key=lambda c: (cost[c], -c))
+    dfs = F.transform("head", lambda x: x["df"])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, d: acc + d)
+
+    def side(cut: int) -> Column:
+        light, heavy = F.filter(dfs, lambda d: d <= F.lit(cut)), F.filter(dfs, lambda d: d > F.lit(cut))
+        return F.struct(F.lit(cut).cast("long").alias("cut"), F.size(heavy).alias("k"), (total(light) / 2).alias("light"), total(heavy).alias("scan"))
+
+    sides = [side(c) for c in CUTS]
+    each = heads.select(F.inline(F.array(*sides)))
+    rows = (
+        each.groupBy("cut", F.ceil(F.log2(F.greatest(F.col("k"), F.lit(1)))).cast("int").alias("power"))
+        .agg(F.sum("light").alias("light"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan"))
+        .collect()
+    )
+    powers = sorted({r["power"] for r in rows})
+    costs = {
+        (c, p): sum(r["light"] + (row_cost * r["subsets"] if r["power"] <= p else r["scan"]) for r in rows if r["cut"] == c)
+        for c in CUTS
+        for p in [-1, *powers]
+    }
+    cut, power = min(costs, key=lambda x: (costs[x], -x[0], x[1])) if rows else (CUTS[-1], 0)
+    return cut, (2**power if power >= 0 else 0)
 
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
@@ -170,7 +195,7 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(side("low"), "low").join(side("high"), "high")
     common = F.size(F.array_intersect("grams_low", "grams_high"))
     either = F.size("grams_low") + F.size("grams_high") - F.col("common")
-    return (
+    found = (
         both.withColumn("common", common)
         .withColumn("likeness", F.col("common") / either)
         .where(F.col("common") >= F.lit(threshold) * either - 1e-9)
@@ -179,6 +204,9 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
         )
         .distinct()
     )
+    found = materialise(found, "links")
+    discard(pairs)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -209,10 +237,13 @@ def groups(membership: DataFrame, links: DataFrame, key: str) -> DataFrame:
         spread = edges.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("offer"))
         stepped = labels.join(spread, "node").select("node", F.col("label").alias("was"), F.least("label", "offer").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        old = labels
         moved = materialise(
             stepped.join(jump, "label", "left").select("node", "was", F.coalesce(F.least("root", "label"), "label").alias("label")), "labels"
         )
         labels = moved.select("node", "label")
+        labels._stored_at = moved._stored_at
+        discard(old)
         if moved.where("was <> label").isEmpty():
             break
     degree = edges.groupBy(F.col("a").alias("class_id")).agg(F.countDistinct("b").alias("links"))

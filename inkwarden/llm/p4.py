@@ -39,12 +39,30 @@ def p4_document_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p4_document_groups": p4_document_groups}
+
+
+def _likeness_sql(source: str, key: str, text: str, size: int) -> str:
+    """Every pair of records with a common shingle, counted: for small tables."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return rf"""t as (select distinct {key} as k, regexp_extract_all(lower({text}), '[\p{{L}}\p{{Nd}}]+') as w from {source} where {text} is not null),
+        g as (select distinct k, {gram} as gram from (select k, w, unnest(generate_series(1, len(w) - {size - 1})) as i from t)),
+        n as (select k, count(*) as n from g group by 1),
+        c as (select a.k as a, b.k as b, count(*) as common from g a join g b on a.gram = b.gram and a.k < b.k group by 1, 2),
+        p as (select a, b, common, x.n + y.n - common as either from c join n x on a = x.k join n y on b = y.k)"""
+
+
+def _groups_sql(source: str, key: str, text: str, size: int, threshold: float) -> str:
+    return f"""with recursive {_likeness_sql(source, key, text, size)},
+        cls as (select n.k, coalesce(min(p.a), n.k) as class_id from n left join p on p.b = n.k and common = either group by n.k),
+        l as (select distinct x.class_id as a, y.class_id as b from p join cls x on p.a = x.k join cls y on p.b = y.k where common >= {threshold} * either and x.class_id <> y.class_id),
+        e as (select a, b from l union select b, a from l),
+        walk(a, b) as (select class_id, class_id from cls union select walk.a, e.b from walk join e on walk.b = e.a),
+        top as (select a, min(b) as group_id from walk group by 1)
+        select k as {key}, class_id, group_id, (select count(*) from e where e.a = class_id) as links from cls join top on top.a = class_id"""
+
+
 SQL: dict[str, str] = {
-    # every pair of jobs with a common word triple, counted: for small tables
-    "p4_found": r"""with t as (select distinct job_id, regexp_extract_all(lower(full_text), '[\p{L}\p{Nd}]+') as w from job_contexts where full_text is not null),
-        g as (select distinct job_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram
-              from (select job_id, w, unnest(generate_series(1, len(w) - 2)) as i from t)),
-        n as (select job_id, count(*) as n from g group by 1),
-        c as (select a.job_id as job_id_a, b.job_id as job_id_b, count(*) as common from g a join g b on a.gram = b.gram and a.job_id < b.job_id group by 1, 2)
-        select job_id_a, job_id_b from c join n x on job_id_a = x.job_id join n y on job_id_b = y.job_id where common >= 0.5 * (x.n + y.n - common)"""
+    "p4_found": f"with {_likeness_sql('job_contexts', 'job_id', 'full_text', 3)} select a as job_id_a, b as job_id_b from p where common >= 0.5 * either",
+    "p4_groups": _groups_sql("job_contexts", "job_id", "full_text", 3, 0.5),
+    "p4_document_groups": _groups_sql("documents", "doc_id", "text", 5, 0.8),
 }

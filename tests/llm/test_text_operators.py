@@ -39,13 +39,10 @@ def corpus(seed, n):
     return docs + [(None, "a b c d"), ("null", None), ("short", "a b"), ("long", " ".join(common * 500)), docs[0], ("copy", docs[0][1])]
 
 
-def pairs(spark, docs, size, threshold, **kw):
+def pairs(spark, docs, size, threshold):
     df = spark.createDataFrame(docs, "id string, text string").withColumn("n", F.lit(1)).withColumn("class_id", F.lit("clash"))
     membership, sets = N.classes(df, "id", "text", size)
-    links = N.similar_classes(sets, threshold) if not kw else None
-    if kw:
-        cand = N.candidates(sets, threshold, **kw).distinct()
-        return cand, sets, membership
+    links = N.similar_classes(sets, threshold)
     m = [(r.id, r.class_id) for r in membership.collect()]
     linked = {(r.class_a, r.class_b) for r in links.collect()}
     return {tuple(sorted((a, b))) for a, x in m for b, y in m if a < b and (x == y or (min(x, y), max(x, y)) in linked)}
@@ -60,12 +57,12 @@ def test_all_links_are_found(spark):
 def test_every_boundary_finds_all_links(spark, monkeypatch):
     docs = corpus(5, 60)
     want = brute(docs, 2, 0.5)
-    for cut, large in ((2, 3), (2, 1000), (8, 0)):
-        monkeypatch.setattr(N, "light_boundary", lambda heads, big, cut=cut: cut)
-        monkeypatch.setattr(N, "LARGE", large)
+    for cut, large, block in ((1, 1000, 512), (2, 3, 3), (2, 1000, 2), (8, 0, 4), (1, 0, 512)):
+        monkeypatch.setattr(N, "boundaries", lambda heads, cut=cut, large=large: (cut, large))
+        monkeypatch.setattr(N, "BLOCK", block)
         df = spark.createDataFrame(docs, "id string, text string")
         membership, sets = N.classes(df, "id", "text", 2)
-        found = N.candidates(sets, 0.5, large=large)
+        found = N.candidates(sets, 0.5)
         names = {r.set_id: r.class_id for r in sets.collect()}
         classes = {tuple(sorted((names[r.low], names[r.high]))) for r in found.collect()}
         member = {r.id: r.class_id for r in membership.collect()}
@@ -76,11 +73,29 @@ def test_pairs_that_share_one_shingle(spark, monkeypatch):
     docs = [("a", "x y z"), ("b", "x y z u"), ("c", "q x y z"), ("d", "q x y z u"), ("e", "p q r"), ("f", "p q s r")]
     want = brute(docs, 3, 0.5)
     assert ("a", "b") in want and ("a", "d") not in want
-    for cut in (0, 8, N.CUTS[-1]):
-        monkeypatch.setattr(N, "light_boundary", lambda heads, large, cut=cut: cut)
+    for cut in (1, 8, N.CUTS[-1]):
+        monkeypatch.setattr(N, "boundaries", lambda heads, cut=cut: (cut, 48))
         assert pairs(spark, docs, 3, 0.5) == want, cut
 
 
+def test_boundaries_follow_the_cost(spark):
+    """Long lists make shingles heavy; many heavy shingles make a set large."""
+    head = "array<struct<df:long,gram:long>>"
+    few = [(i, [{"df": 100_000, "gram": k} for k in range(5)]) for i in range(50)]
+    many = [(100 + i, [{"df": 40, "gram": k} for k in range(400)]) for i in range(50)]
+    rare = [(200 + i, [{"df": 2, "gram": k} for k in range(60)]) for i in range(50)]
+    choose = lambda rows: N.boundaries(spark.createDataFrame(rows, f"set_id int, head {head}"))
+    cut, large = choose(few + many + rare)
+    assert 2 <= cut < 100_000 and 5 <= large < 400
+    assert choose(rare)[0] >= 2 and choose([]) == (N.CUTS[-1], 1)
+
+
+def test_a_shingle_of_all_sets_is_met_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    docs = [(f"k{i:03d}", f"same old words a{i} b{i // 2} c{i // 2} d{i // 2}") for i in range(120)]
+    assert pairs(spark, docs, 1, 0.6) == brute(docs, 1, 0.6)
+
+
 def test_groups_and_empty(spark):
     docs = [("a", "x y z u v w q"), ("b", "x y z u v w r"), ("c", "x y z u v w r s"), ("d", "other words stand here alone now")]
     df = spark.createDataFrame(docs, "id string, text string")
