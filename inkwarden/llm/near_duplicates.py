@@ -35,8 +35,11 @@ def shingles(w: Column, size: int) -> Column:
 
     The words are read from arrays that begin one word later each, so that no expression runs again for each shingle.
     """
-    runs = F.arrays_zip(*[F.slice(w, k + 1, F.greatest(F.size(w) - F.lit(size - 1), F.lit(0))).alias(f"w{k}") for k in range(size)])
-    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(size)])))
+    many = F.greatest(F.size(w) - F.lit(size - 1), F.lit(0))
+    out = F.transform(F.slice(w, F.lit(1), many), lambda x: F.xxhash64(x))
+    for k in range(1, size):
+        out = F.zip_with(out, F.slice(w, F.lit(k + 1), many), lambda x, y: F.xxhash64(x, y))
+    return F.array_distinct(out)
 
 
 def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +56,7 @@ def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame,
     membership = materialise(read.select("_key", "_set").join(least, "_set").select(F.col("_key").alias(key), "class_id", "_set").distinct(), "classes")
     # the member that gave the class its name brings the set along; if it came several times, one of its rows does
     own = read.join(least.select("_set", F.col("class_id").alias("_key")), ["_set", "_key"]).dropDuplicates(["_set"])
-    sets = own.select(F.col("_key").alias("class_id"), F.xxhash64("_set").alias("set_id"), "grams", F.size("grams").alias("n"))
+    sets = own.select(F.col("_key").alias("class_id"), F.monotonically_increasing_id().alias("set_id"), "grams", F.size("grams").alias("n"))
     sets = materialise(sets, "sets")
     discard(read)
     return membership.drop("_set"), sets
@@ -75,9 +78,10 @@ def _need(n: Column, spare: float, threshold: float) -> Column:
 
 def candidates(sets: DataFrame, threshold: float, spare: float = 0.06) -> DataFrame:
     """(low, high) set ids, low being the smaller set, of every pair that can reach the threshold."""
-    frequency = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    frequency = sets.select(F.explode("grams").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    frequency = materialise(frequency.withColumn("gram", F.monotonically_increasing_id()), "frequencies")  # small numbers travel lighter than hashes
     # A shingle of one set only can't be shared, but keeps its place at the head of the order: it shortens the prefix.
-    shared = sets.select("set_id", "n", F.explode("grams").alias("gram")).join(frequency, "gram")
+    shared = sets.select("set_id", "n", F.explode("grams").alias("hash")).join(frequency, "hash")
     listed = shared.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("listed"))
     n, t = F.col("n"), F.lit(threshold)
     alone = F.col("n") - F.size("listed")
