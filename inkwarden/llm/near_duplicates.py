@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from inkwarden.session import discard, materialise
 
-CUTS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 1 << 40)
+CUTS = (1, 4, 16, 64, 256, 1024, 4096, 16_384, 65_536, 1 << 40)
 BLOCK = 512  # sets of a list that meet in one task
 
 

@@ -11,8 +11,9 @@ from inkwarden.session import table
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = table(spark, sf_dir, "subject_areas").select("subject")
-    return assign(documents, fit(documents, table(spark, sf_dir, "subject_labels"))).join(known, "subject", "left_semi")
+    areas, labels = table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_labels")
+    found = assign(documents, fit(documents, labels, areas), labels)
+    return found.join(areas.select("subject"), "subject", "left_semi")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,53 +1,51 @@
-"""Subject areas of documents, from weighted subject terms.
-
-Terms are runs of one to three words that readers' labels tie to subjects. They are learned on a bounded sample of
-labelled documents, then once more on the sample's own predictions for further documents, which brings in terms that
-labels alone show too seldom. All documents are then matched with one automaton; the number of documents each term is in
-is counted over all of them and gives its rarity; each sentence is about the subject its terms point to most, a term of
-several subjects leaning to the one the rest of the document is about. A document has every subject whose share of the
-sentences exceeds that subject's threshold, calibrated on the labelled sample.
+"""Subject areas of documents, from curated and learned weighted subject terms.
+
+Terms are runs of one to three words. Curated ones come with the subjects, as the words of their descriptions; others are
+learned from readers' labels: all labelled documents are counted, term by subject, and a term tells of a subject if
+documents with it have the subject clearly more often than others. All documents are then matched with one automaton of all
+terms. The number of documents each term is in, over all of them, gives its rarity. Each sentence is about the subject its
+terms point to most, a term of several subjects leaning to the one the rest of the document is about; a document has every
+subject whose share of the sentences exceeds that subject's threshold. Thresholds are calibrated on the labelled documents,
+matched and scored exactly as all others are.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwarden.session import materialise
 
-MAX_LABELLED = 4_000
-MAX_UNLABELLED = 3_000
-THRESHOLDS = (0.26, 0.28, 0.3, 0.32)
+LEAST_DOCUMENTS, LEAST_Z, LEAST_RATE = 2, 4.0, 0.3
+CURATED_WEIGHT = 0.5
+GRID = np.arange(0.05, 0.951, 0.01)
+POOLED = 30.0  # labels of all subjects together count this many beside a subject's own, so that few labels don't decide alone
+END = "\x01"
 
-_SENTENCE = regex.compile(r"(?<=[.!?…])\s+|\n+")
-_WORD = regex.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
+def plain_sentences(text: Column) -> Column:
+    """Words in lower case, each with two spaces before and after, and END between sentences. Numbers are no words."""
+    cut = F.regexp_replace(F.lower(text), r"(?<=[.!?…])\s+|\n+", END)
+    words = F.regexp_replace(cut, rf"(?:[^\p{{L}}{END}-]|(?<!\p{{L}})-|-(?!\p{{L}}))+", "  ")
+    return F.concat(F.lit("  "), F.regexp_replace(words, f" *{END}[ {END}]*", f"  {END}  "), F.lit("  "))
 
-def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence; numbers are no words. Sentences without words don't count."""
-    out = []
-    for s in _SENTENCE.split(text.lower()):
-        w = list(map(sys.intern, _WORD.findall(s)))
-        if w:
-            out.append(w)
-    return out
 
-
-def _grams(doc: list[list[str]]) -> set[str]:
+def _grams(plain: str) -> list[str]:
+    """Distinct terms of one to three words that don't reach over a sentence."""
     out: set[str] = set()
-    for w in doc:
+    for s in plain.split(END):
+        w = s.split()
         out.update(w)
-        for n in (2, 3):
-            out.update(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
-    return out
+        out.update(map(" ".join, zip(w, w[1:], strict=False)))
+        out.update(map(" ".join, zip(w, w[1:], w[2:], strict=False)))
+    return sorted(out)
 
 
 @dataclass
@@ -55,53 +53,69 @@ class Lexicon:
     subjects: list[str]
     terms: list[str]
     weight: np.ndarray  # terms x subjects, 0 where a term doesn't tell of a subject
-    rarity: np.ndarray
-    threshold: np.ndarray
-
-
-def learn_terms(docs: list[list[list[str]]], labels: list[set[str]], subjects: list[str], least: int, z_least: float, p_least: float):
-    """(terms, weights): a term tells of a subject if documents with the term have it clearly more often than others."""
-    every: dict[str, int] = {}
-    sets = [np.array([every.setdefault(g, len(every)) for g in _grams(d)], dtype=np.int32) for d in docs]
-    n = np.zeros(len(every), dtype=np.int32)
-    for s in sets:
-        n[s] += 1
-    names = sorted(g for g, i in every.items() if n[i] >= least)
-    ids = {g: i for i, g in enumerate(names)}
-    place = np.full(len(every), -1, dtype=np.int32)
-    place[[every[g] for g in names]] = np.arange(len(names))
-    del every
-    at = {s: k for k, s in enumerate(subjects)}
-    seen = np.zeros((len(ids), len(subjects)))
-    count = np.zeros(len(ids))
-    base = np.zeros(len(subjects))
-    for s, lab in zip(sets, labels, strict=True):
-        own = [at[x] for x in lab if x in at]
-        base[own] += 1
-        rows = place[s]
-        rows = rows[rows >= 0]
-        count[rows] += 1
-        for k in own:
-            seen[rows, k] += 1
-    base = base / max(1, len(docs))
-    p = (seen + 2 * base) / (count[:, None] + 2)
-    z = (seen - count[:, None] * base) / np.sqrt(count[:, None] * base * (1 - base) + 1e-9)
-    weight = np.where((p >= p_least) & (p >= 2 * base) & (z >= z_least), p, 0.0)
-    # a longer term that says no more than the term within it is left out
-    keep = []
-    for g, i in ids.items():
-        if not weight[i].any():
-            continue
-        w = g.split(" ")
-        k = int(weight[i].argmax())
-        inner = [" ".join(w[1:]), " ".join(w[:-1])] if len(w) > 1 else []
-        if not any(x in ids and weight[ids[x], k] >= weight[i, k] - 0.1 for x in inner):
-            keep.append(i)
-    return [names[i] for i in keep], weight[keep]
+
+
+def curated_terms(areas: DataFrame) -> DataFrame:
+    """(subject, term): the words of the subjects' names and descriptions, short ones aside."""
+    words = F.split(F.regexp_replace(F.lower(F.concat_ws(" ", "subject", "description")), r"[^\p{L}]+", " "), " ")
+    known = areas.where(F.col("subject").isNotNull()).select("subject", F.explode(F.array_distinct(words)).alias("term"))
+    return known.where(F.length("term") > 3).where(~F.col("term").isin("their", "with", "work"))
+
+
+def given_subjects(labels: DataFrame) -> DataFrame:
+    """(doc_id, subjects): each labelled document once, with the subjects readers gave it; none for the label "none"."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    return known.withColumn("subjects", F.filter("subjects", lambda s: s != "none"))
+
+
+def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame | None = None) -> Lexicon:
+    """Terms and weights. Every labelled document is counted where it lies; only terms that tell of a subject come to the driver."""
+    spark = documents.sparkSession
+    given = given_subjects(labels)
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", plain_sentences(F.col("text")).alias("plain"))
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "subjects": b["subjects"], "terms": b["plain"].map(_grams)})
+
+    # a document delivered twice under one id is one labelled document
+    labelled = texts.join(given, "doc_id").dropDuplicates(["doc_id"])
+    held = materialise(labelled.mapInPandas(grams, "doc_id long, subjects array<string>, terms array<string>"), "labelled-terms")
+    base = held.select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+    total = held.count()
+    rate = {r["subject"]: r["n"] / total for r in base.collect()}  # a row each subject
+    curated = [] if areas is None else [(r["subject"], r["term"]) for r in curated_terms(areas).collect()]
+    subjects = sorted(rate.keys() | {s for s, _ in curated})
+    if not subjects:
+        return Lexicon([], [], np.zeros((0, 0)))
+    each = held.select(F.explode("terms").alias("term"), "subjects")
+    seen = [F.count_if(F.array_contains("subjects", s)).alias(f"s{k}") for k, s in enumerate(subjects)]
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n"), *seen).where(F.col("n") >= LEAST_DOCUMENTS)
+    tells = []
+    for k, s in enumerate(subjects):
+        b = rate.get(s, 0.0)
+        p = (F.col(f"s{k}") + 2 * b) / (F.col("n") + 2)
+        z = (F.col(f"s{k}") - F.col("n") * b) / F.sqrt(F.col("n") * b * (1 - b) + 1e-9)
+        tells.append(F.when((p >= LEAST_RATE) & (p >= 2 * b) & (z >= LEAST_Z), p).otherwise(0.0))
+    rows = counts.select("term", F.array(*tells).alias("weight")).where(F.exists("weight", lambda w: w > 0)).collect()
+    weight = {r["term"]: np.array(r["weight"]) for r in rows}
+    for s, term in curated:
+        own = weight.setdefault(term, np.zeros(len(subjects)))
+        if not own.any():
+            own[subjects.index(s)] = CURATED_WEIGHT
+    terms = sorted(t for t in weight if not _said_within(t, weight))
+    return Lexicon(subjects, terms, np.array([weight[t] for t in terms]).reshape(len(terms), len(subjects)))
+
+
+def _said_within(term: str, weight: dict[str, np.ndarray]) -> bool:
+    """Whether a longer term says no more than the term within it."""
+    w = term.split(" ")
+    k = int(weight[term].argmax())
+    return len(w) > 1 and any(i in weight and weight[i][k] >= weight[term][k] - 0.1 for i in (" ".join(w[1:]), " ".join(w[:-1])))
 
 
 class Matcher:
-    """Leftmost-longest terms of a sentence, whole words only."""
+    """Leftmost-longest terms of many documents at a time, whole words only."""
 
     def __init__(self, terms: list[str]):
         import ahocorasick
@@ -113,66 +127,56 @@ class Matcher:
         if self.any:
             self.automaton.make_automaton()
 
-    def __call__(self, words: list[str]) -> list[int]:
-        return [i for _, i in self.automaton.iter_long(f" {'  '.join(words)} ")] if self.any else []
-
-
-def shares(matched: list[list[int]], sentence_count: int, weight: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Share of the sentences that are about each subject. ``matched`` holds the sentences that have terms."""
-    out = np.zeros(weight.shape[1])
-    if not matched or not sentence_count:
+    def __call__(self, plain: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(terms, their sentences) of each document, and its number of sentences with words."""
+        text = END.join(plain)
+        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter_long(text)), dtype=np.int64).reshape(-1, 2) if self.any else np.zeros((0, 2), np.int64)
+        starts = np.cumsum([0, *(len(p) + 1 for p in plain)])
+        doc = np.searchsorted(starts, found[:, 0], side="right") - 1
+        ends = np.array([i for i, c in enumerate(text) if c == END]) if END in text else np.zeros(0, np.int64)
+        sentence = np.searchsorted(ends, found[:, 0])
+        cuts = np.searchsorted(doc, np.arange(1, len(plain)))
+        count = np.array([sum(bool(s.strip()) for s in p.split(END)) for p in plain])
+        return np.split(found[:, 1], cuts), np.split(sentence, cuts), count
+
+
+def shares(terms: list[np.ndarray], sentence: list[np.ndarray], count: np.ndarray, weight: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """documents x subjects: the share of each document's sentences that are about each subject, for a batch at a time."""
+    out = np.zeros((len(terms), weight.shape[1]))
+    sizes = np.array([len(t) for t in terms])
+    if not sizes.sum():
         return out
-    flat = np.concatenate([np.asarray(m, dtype=np.int64) for m in matched])
-    doc = (weight[flat] ** 3 * rarity[flat, None]).sum(axis=0)
-    lean = 0.15 + doc / max(doc.sum(), 1e-9)
-    for m in matched:
-        score = (weight[m] * rarity[m, None]).sum(axis=0) * lean
-        if score.max() > 0:
-            out[int(score.argmax())] += 1
-    return out / sentence_count
-
-
-def _predict(docs: list[list[list[str]]], terms: list[str], weight: np.ndarray) -> list[np.ndarray]:
-    match, even = Matcher(terms), np.ones(len(terms))
-    return [shares([m for m in map(match, d) if m], len(d), weight, even) for d in docs]
-
-
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Lexicon:
-    """Learns terms and thresholds. Reads whole texts of at most max_labelled + max_unlabelled documents, chosen by hash."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isNotNull())
-    known = known.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    labelled = texts.join(F.broadcast(known), "doc_id").toPandas()  # at most max_labelled short rows
-    labelled = labelled.drop_duplicates("doc_id").sort_values("doc_id")
-    docs = [sentences(t) for t in labelled["text"]]
-    given = [{s for s in x if s != "none"} for x in labelled["subjects"]]
-    subjects = sorted({s for g in given for s in g})
-    if not subjects:
-        return Lexicon([], [], np.zeros((0, 0)), np.zeros(0), np.zeros(0))
-    terms, weight = learn_terms(docs, given, subjects, least=2, z_least=2.5, p_least=0.25)
-    more = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).toPandas()
-    held = set(labelled["doc_id"])
-    others = [sentences(t) for d, t in zip(more["doc_id"], more["text"], strict=True) if d not in held]
-    taken = [{s for s, v in zip(subjects, share, strict=True) if v >= 0.3} for share in _predict(others, terms, weight)]
-    terms, weight = learn_terms(docs + others, given + taken, subjects, least=3, z_least=4, p_least=0.3)
-    got = np.array(_predict(docs, terms, weight)).reshape(len(docs), len(subjects))
-    threshold = np.full(len(subjects), 0.29)
-    for k, s in enumerate(subjects):
-        truth = np.array([s in g for g in given])
-        if truth.sum() < 30:
-            continue
-        f1 = [2 * (truth & (got[:, k] >= t)).sum() / max(1, truth.sum() + (got[:, k] >= t).sum()) for t in THRESHOLDS]
-        best = np.flatnonzero(np.isclose(f1, max(f1)))
-        threshold[k] = float(np.mean([THRESHOLDS[i] for i in best])) - 1e-6
-    return Lexicon(subjects, terms, weight, np.ones(len(terms)), threshold)
-
-
-def assign(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
+    flat, place = np.concatenate(terms).astype(np.int64), np.concatenate(sentence)
+    doc = np.repeat(np.arange(len(terms)), sizes)
+    w = weight[flat] * rarity[flat, None]
+    about = np.zeros_like(out)
+    np.add.at(about, doc, weight[flat] ** 3 * rarity[flat, None])
+    lean = 0.15 + about / np.maximum(about.sum(axis=1, keepdims=True), 1e-9)
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
+    score = np.add.reduceat(w, first, axis=0) * lean[doc[first]]
+    best = score.argmax(axis=1)
+    good = score[np.arange(len(best)), best] > 0
+    np.add.at(out, (doc[first][good], best[good]), 1)
+    return out / np.maximum(count, 1)[:, None]
+
+
+def calibrate(got: np.ndarray, given: list[set[str]], subjects: list[str]) -> np.ndarray:
+    """Per subject the threshold of the highest F1 on the labelled documents, its own counts and those of all subjects
+    together at the weight of POOLED labels; of equals the middle one."""
+    truth = np.array([[s in g for s in subjects] for g in given]).reshape(len(given), len(subjects))
+    over = np.stack([got >= t - 1e-9 for t in GRID])  # thresholds x documents x subjects
+    right, taken, wanted = (over & truth).sum(axis=1).astype(float), over.sum(axis=1).astype(float), truth.sum(axis=0).astype(float)
+    part = POOLED / max(POOLED, wanted.sum())
+    right, taken, wanted = (x + part * x.sum(axis=-1, keepdims=True) for x in (right, taken, wanted))
+    f1 = 2 * right / np.maximum(taken + wanted, 1e-9)
+    return np.array([GRID[np.flatnonzero(f1[:, k] >= f1[:, k].max() - 1e-12)].mean() - 1e-9 for k in range(len(subjects))])
+
+
+def assign(documents: DataFrame, lexicon: Lexicon, labels: DataFrame) -> DataFrame:
     """doc_id, subject, share: every subject above its threshold. Null and empty texts, and texts without terms, have none.
 
-    Rarity is counted over all documents; as many numbers as there are terms come to the driver. Repeated rows give
-    repeated results.
+    Rarity is counted over all documents; one number a term comes to the driver, and of the labelled documents one small
+    array of shares each, by which the thresholds are calibrated. Repeated rows give repeated results.
     """
     spark = documents.sparkSession
     found = "doc_id long, subject string, share double"
@@ -182,28 +186,40 @@ def assign(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(terms.value)
-        for batch in batches:
-            docs = [sentences(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "sentences": [len(d) for d in docs], "matched": [[m for m in map(matcher, d) if m] for d in docs]}
-            )
-
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    matched = materialise(texts.mapInPandas(match, "doc_id long, sentences int, matched array<array<int>>"), "matched")
-    counted = matched.select(F.explode(F.array_distinct(F.flatten("matched"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = matched.agg(F.count(F.lit(1))).first()[0]
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                t, s, n = matcher(part["plain"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "sentences": n, "terms": t, "places": s})
+
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", plain_sentences(F.col("text")).alias("plain"))
+    matched = materialise(texts.mapInPandas(match, "doc_id long, sentences int, terms array<int>, places array<long>"), "matched")
+    counted = matched.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = matched.count()
     rarity = np.full(len(lexicon.terms), math.log(1 + sizes))
     for r in counted.collect():  # one row a term
         rarity[r["term"]] = math.log(1 + sizes / r["df"])
-    model = spark.sparkContext.broadcast((lexicon.subjects, lexicon.weight, rarity / max(rarity.mean(), 1e-9), lexicon.threshold))
+    rarity = rarity / max(rarity.mean(), 1e-9)
+    model = spark.sparkContext.broadcast((lexicon.subjects, lexicon.weight, rarity))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        _, weight, rare = model.value
+        for b in batches:
+            yield b, shares(b["terms"].tolist(), b["places"].tolist(), b["sentences"].to_numpy(), weight, rare)
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, got in scored(batches):
+            yield pd.DataFrame({"subjects": b["subjects"], "shares": list(got)})
+
+    labelled = matched.join(given_subjects(labels), "doc_id").dropDuplicates(["doc_id"])
+    rows = labelled.mapInPandas(known, "subjects array<string>, shares array<double>").toPandas()
+    got = np.array(rows["shares"].tolist()).reshape(len(rows), len(lexicon.subjects))
+    threshold = calibrate(got, [set(s) for s in rows["subjects"]], lexicon.subjects)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subjects, weight, rare, threshold = model.value
-        for batch in batches:
-            rows = []
-            for doc, n, m in zip(batch["doc_id"], batch["sentences"], batch["matched"], strict=True):
-                share = shares(list(m), n, weight, rare)
-                rows += [(doc, subjects[k], float(share[k])) for k in np.flatnonzero(share >= threshold) if share[k] > 0]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
+        subjects = np.array(model.value[0], dtype=object)
+        for b, got in scored(batches):
+            doc, k = np.nonzero((got >= threshold) & (got > 0))
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc], "subject": subjects[k], "share": got[doc, k]})
 
     return matched.mapInPandas(score, found)

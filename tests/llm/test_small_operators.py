@@ -201,7 +201,7 @@ def test_subjects(spark):
     docs = [(i, text(("law", "sport", None)[i % 3], 4, 4)) for i in range(150)] + [(200, None), (201, ""), (202, text("law", 1, 9)), (203, text("law", 20, 20) * 50)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("subject", F.lit("clash"))
     labels = spark.createDataFrame([(i, ("law", "sport", "none")[i % 3], "r") for i in range(90)] + [(0, "law", "q"), (None, "law", "r"), (3, None, "r")], "doc_id long, subject string, labelled_by string")
-    got = {(r.doc_id, r.subject) for r in SU.assign(df, SU.fit(df, labels)).collect()}
+    got = {(r.doc_id, r.subject) for r in SU.assign(df, SU.fit(df, labels), labels).collect()}
     assert got == {(i, ("law", "sport")[i % 3]) for i in range(150) if i % 3 < 2} | {(203, "law")}
-    assert SU.assign(df, SU.fit(df, labels.limit(0))).count() == 0
-    assert SU.assign(df.limit(0), SU.fit(df, labels)).count() == 0
+    assert SU.assign(df, SU.fit(df, labels.limit(0)), labels).count() == 0
+    assert SU.assign(df.limit(0), SU.fit(df, labels), labels).count() == 0
