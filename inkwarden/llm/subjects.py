@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwarden.session import materialise
@@ -27,14 +28,17 @@ LEAST_DOCUMENTS, LEAST_Z, LEAST_RATE = 2, 4.0, 0.3
 CURATED_WEIGHT = 0.5
 GRID = np.arange(0.05, 0.951, 0.01)
 POOLED = 30.0  # labels of all subjects together count this many beside a subject's own, so that few labels don't decide alone
-END = "\x01"
+# Marks between sentences and texts: characters that count as letters but make up no word of their own.
+END, NEXT = "\u02d0", "\u02d1"
+_CUT = re.compile(r"[.!?…]\s+|\n+")
+_GAP = re.compile(r"[\W\d_]+")
 
 
-def plain_sentences(text: Column) -> Column:
-    """Words in lower case, each with two spaces before and after, and END between sentences. Numbers are no words."""
-    cut = F.regexp_replace(F.lower(text), r"(?<=[.!?…])\s+|\n+", END)
-    words = F.regexp_replace(cut, rf"(?:[^\p{{L}}{END}-]|(?<!\p{{L}})-|-(?!\p{{L}}))+", "  ")
-    return F.concat(F.lit("  "), F.regexp_replace(words, f" *{END}[ {END}]*", f"  {END}  "), F.lit("  "))
+def plain_sentences(texts: Iterable[str]) -> list[str]:
+    """Of each text the words in lower case, two spaces before and after each, and END between sentences. Numbers are no
+    words, and a hyphen parts words. Many texts are worked on as one."""
+    text = f" {NEXT} ".join(t.replace(END, " ").replace(NEXT, " ") for t in texts).lower()
+    return _GAP.sub("  ", f" {_CUT.sub(f' {END} ', text)} ").split(NEXT)
 
 
 def _grams(plain: str) -> list[str]:
@@ -69,17 +73,18 @@ def given_subjects(labels: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame | None = None) -> Lexicon:
-    """Terms and weights. Every labelled document is counted where it lies; only terms that tell of a subject come to the driver."""
+    """Terms and weights. Every labelled document is counted where it lies (a document that comes again counts again); only
+    terms that tell of a subject come to the driver."""
     spark = documents.sparkSession
     given = given_subjects(labels)
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", plain_sentences(F.col("text")).alias("plain"))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "subjects": b["subjects"], "terms": b["plain"].map(_grams)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "subjects": b["subjects"], "terms": [_grams(p) for p in plain_sentences(b["text"])]})
 
-    # a document delivered twice under one id is one labelled document
-    labelled = texts.join(given, "doc_id").dropDuplicates(["doc_id"])
+    # written first, so that its size is known: the labels go to the texts wherever they are few enough
+    labelled = texts.join(materialise(given, "labels"), "doc_id")
     held = materialise(labelled.mapInPandas(grams, "doc_id long, subjects array<string>, terms array<string>"), "labelled-terms")
     base = held.select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
     total = held.count()
@@ -133,7 +138,7 @@ class Matcher:
         found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter_long(text)), dtype=np.int64).reshape(-1, 2) if self.any else np.zeros((0, 2), np.int64)
         starts = np.cumsum([0, *(len(p) + 1 for p in plain)])
         doc = np.searchsorted(starts, found[:, 0], side="right") - 1
-        ends = np.array([i for i, c in enumerate(text) if c == END]) if END in text else np.zeros(0, np.int64)
+        ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") == ord(END))
         sentence = np.searchsorted(ends, found[:, 0])
         cuts = np.searchsorted(doc, np.arange(1, len(plain)))
         count = np.array([sum(bool(s.strip()) for s in p.split(END)) for p in plain])
@@ -163,7 +168,7 @@ def shares(terms: list[np.ndarray], sentence: list[np.ndarray], count: np.ndarra
 def calibrate(got: np.ndarray, given: list[set[str]], subjects: list[str]) -> np.ndarray:
     """Per subject the threshold of the highest F1 on the labelled documents, its own counts and those of all subjects
     together at the weight of POOLED labels; of equals the middle one."""
-    truth = np.array([[s in g for s in subjects] for g in given]).reshape(len(given), len(subjects))
+    truth = np.array([[s in g for s in subjects] for g in given], dtype=bool).reshape(len(given), len(subjects))
     over = np.stack([got >= t - 1e-9 for t in GRID])  # thresholds x documents x subjects
     right, taken, wanted = (over & truth).sum(axis=1).astype(float), over.sum(axis=1).astype(float), truth.sum(axis=0).astype(float)
     part = POOLED / max(POOLED, wanted.sum())
@@ -189,10 +194,10 @@ def assign(documents: DataFrame, lexicon: Lexicon, labels: DataFrame) -> DataFra
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.iloc[at : at + 1000]
-                t, s, n = matcher(part["plain"].tolist())
+                t, s, n = matcher(plain_sentences(part["text"]))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "sentences": n, "terms": t, "places": s})
 
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", plain_sentences(F.col("text")).alias("plain"))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     matched = materialise(texts.mapInPandas(match, "doc_id long, sentences int, terms array<int>, places array<long>"), "matched")
     counted = matched.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sizes = matched.count()
@@ -211,7 +216,7 @@ def assign(documents: DataFrame, lexicon: Lexicon, labels: DataFrame) -> DataFra
         for b, got in scored(batches):
             yield pd.DataFrame({"subjects": b["subjects"], "shares": list(got)})
 
-    labelled = matched.join(given_subjects(labels), "doc_id").dropDuplicates(["doc_id"])
+    labelled = matched.join(materialise(given_subjects(labels), "labels"), "doc_id")
     rows = labelled.mapInPandas(known, "subjects array<string>, shares array<double>").toPandas()
     got = np.array(rows["shares"].tolist()).reshape(len(rows), len(lexicon.subjects))
     threshold = calibrate(got, [set(s) for s in rows["subjects"]], lexicon.subjects)
