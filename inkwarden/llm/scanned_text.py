@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 from inkwarden.llm.boosting import Boosted
 from inkwarden.llm.personal_data import scan_copy
@@ -31,9 +32,10 @@ for _printed, _read in CONFUSIONS:
 
 _TOKEN = re.compile(r"[^\W_][^\s]*")
 _EDGE = re.compile(r"^[^\w@]+|[^\w@]+$")
-_CODE = re.compile(r"^[a-z]?\d[\d.,/:-]*[a-z]?$|^\d+(?:st|nd|rd|th)$|^@|://|@.+\.|\.\w+@|\d{3}|\d[.,/:]\d|[+%<>]")
-_MARKS = "-‐‑‒–¬­−=~"
-_BROKEN = re.compile(rf"([^\W\d_][\w@]*(?:-\w+)*)[{_MARKS}]\s*$")
+CODE = r"^[a-z]?\d[\d.,/:-]*[a-z]?$|^\d+(?:st|nd|rd|th)$|^@|://|@.+\.|\.\w+@|\d{3}|\d[.,/:]\d|[+%<>]"
+_CODE = re.compile(CODE)
+MARKS = "-‐‑‒–¬­−=~"
+_BROKEN = re.compile(rf"([^\W\d_][\w@]*(?:-\w+)*)[{MARKS}]\s*$")
 _FIRST = re.compile(r"^\W{0,2}([^\W_][\w@]*)")
 
 
@@ -116,18 +118,16 @@ class Ranker:
     def __init__(self, model: Boosted | None):
         self.model = model
 
-    def best(self, read: str, found: list[tuple[str, int, int]], seen: int) -> tuple[str, float] | None:
-        """The best candidate (word, shared q-grams, count) if its odds are even or better."""
-        near = [c for c in found if abs(len(c[0]) - len(read)) <= 3]
-        if not near or self.model is None:
-            return None
-        rows = [features(read, w, shared, n, seen) for w, shared, n in near]
-        close = [i for i, r in enumerate(rows) if r[0] <= 2.0]
-        if not close:
-            return None
-        z = self.model.score(np.array([rows[i] for i in close]))
-        k = int(z.argmax())
-        return (near[close[k]][0], float(z[k])) if z[k] > 0 else None
+    def scored(self, pairs: pd.DataFrame) -> pd.DataFrame:
+        """(word, candidate, odds) of the pairs (word, ocr, candidate, count, shared) whose odds are even or better; a whole
+        batch is scored at once."""
+        rows = [features(*r) for r in pairs[["word", "candidate", "shared", "count", "ocr"]].itertuples(index=False, name=None)]
+        if not rows or self.model is None:
+            return pairs.iloc[:0][["word", "candidate"]].assign(odds=0.0)
+        x = np.array(rows)
+        odds = self.model.score(x)
+        good = (x[:, 0] <= 2.0) & (odds > 0)
+        return pairs.loc[good, ["word", "candidate"]].assign(odds=odds[good])
 
 
 def garble(word: str, rng: np.random.Generator) -> str:
@@ -147,7 +147,7 @@ def train_ranker(vocabulary: dict[str, int], strange: list[str], seed: int = 5,
     """
     rng = np.random.default_rng(seed)
     known = sorted(w for w in vocabulary if len(w) > 2)
-    if len(known) < 50:
+    if not known:
         return Ranker(None)
     index = defaultdict(list)
     for w in known:
@@ -156,7 +156,7 @@ def train_ranker(vocabulary: dict[str, int], strange: list[str], seed: int = 5,
     weight = np.array([math.log1p(vocabulary[w]) for w in known])
     picked = rng.choice(known, size=min(most, 2 * len(known)), p=weight / weight.sum())
     cases = [(g, w) for w in picked.tolist() if (g := garble(w, rng)) != w and g not in vocabulary]
-    hidden = rng.choice(known, size=min(most, len(known) // 3), replace=False).tolist()
+    hidden = rng.choice(known, size=min(most, -(-len(known) // 3)), replace=False).tolist()
     cases += [(w, "") for w in hidden] + [(w, "") for w in strange[: most // 2]]
     rows, target = [], []
     for read, right in cases:
@@ -211,24 +211,6 @@ def _number(m: re.Match) -> int | None:
     return int(digits) if digits.isdigit() else None
 
 
-MAX_EDGE = 200
-
-
-def edge_lines(lines: list[Line], depth: int = 3) -> list[int]:
-    """Place among the written lines of its page from the nearer edge (0, 1, ...), 99 within the page or if empty."""
-    out = [99] * len(lines)
-    by_page = defaultdict(list)
-    for i, x in enumerate(lines):
-        if x.text.strip():
-            by_page[x.page].append(i)
-    for rows in by_page.values():
-        for k, i in enumerate(rows):
-            near = min(k, len(rows) - 1 - k)
-            if near < depth:
-                out[i] = near
-    return out
-
-
 def numbered(text: str) -> tuple[str, int, str, bool] | None:
     """(piece, number, kind, whether it stands alone) of the first piece that could be a page number, in a scanning copy."""
     for m in _NUMBERED.finditer(text):
@@ -239,31 +221,6 @@ def numbered(text: str) -> tuple[str, int, str, bool] | None:
     return None
 
 
-def page_numbers(lines: list[Line], edge: list[int]) -> dict[int, str]:
-    """Edge lines that carry the printed number of their page: {line: the piece of text}."""
-    found = []
-    for i, x in enumerate(lines):
-        if edge[i] == 99 or len(x.text) > MAX_EDGE:
-            continue
-        if got := numbered(scan_copy(x.text).strip()):
-            piece, n, kind, alone = got
-            found.append((i, piece, n - x.page, kind, alone))
-    # the printed number runs with the page: the same distance on most pages
-    pages = defaultdict(set)
-    for i, _, shift, kind, _ in found:
-        pages[(shift, kind)].add(lines[i].page)
-    total = len({x.page for x in lines})
-    out = {}
-    for i, piece, shift, kind, alone in found:
-        often = len(pages[(shift, kind)])
-        if kind == "word" and (alone or edge[i] <= 1) or (often >= 2 and (alone or kind == "mark" or edge[i] <= 1)):
-            if shift == 0 or often >= 2 or total == 1 and kind == "word":
-                out[i] = piece
-        elif shift == 0 and alone and edge[i] <= 1:
-            out[i] = piece
-    return out
-
-
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -292,65 +249,62 @@ def good_heads(rows: list[list[float]], model: Boosted | None) -> list[bool]:
     return [not (f[6] and not f[8]) and not f[7] for f in rows]
 
 
-def running_heads(lines: list[Line], edge: list[int], numbers: dict[int, str], model: Boosted | None = None, train: bool = False) -> tuple[dict[int, str], list]:
-    """Edge lines that are, or hold, a text printed at an edge of two or more pages. With ``train`` also rows of the others."""
-    piece: dict[int, str] = {}
-    for i, x in enumerate(lines):
-        if edge[i] < 99 and len(x.text) <= MAX_EDGE and (text := head_piece(scan_copy(x.text).strip(), numbers.get(i))):
-            piece[i] = text
-    folded = {i: fold(text) for i, text in piece.items()}
-    on: dict[str, set[int]] = defaultdict(set)
-    for i, key in folded.items():
-        on[key].add(lines[i].page)
-    total = len({x.page for x in lines})
-    rows, heads = [], {}
-    for i, text in piece.items():
-        key = folded[i]
-        sure = len(on[key]) >= 2
-        if not sure and not train:
-            continue
-        f = head_features(Line(text, lines[i].page, 0, 0, True, 0), key, edge[i], len(on[key]), total)
-        good = sure and good_heads([f], model)[0]
-        rows.append((f, sure))
-        if good:
-            heads[i] = key
-    keys = {k for k in heads.values() if len(k) >= 6}
-    for i, text in folded.items():
-        if keys and i not in heads and any(k in text for k in keys):
-            heads[i] = text
-    return heads, rows
-
-
-def pair_features(a: str, b: str, mark: str, full: float, known: dict[str, int]) -> list[float]:
-    """``a`` and ``b`` are the parts in lower case; known gives counts of whole words."""
-    joined, compound = known.get(a + b, 0), known.get(f"{a}-{b}", 0)
-    return [
-        math.log1p(joined), math.log1p(compound), math.log1p(known.get(a, 0)), math.log1p(known.get(b, 0)), float(len(a)), float(len(b)),
-        float(mark == "-"), full, float(b in ("and", "or", "und", "et", "to", "oder")),
-    ]
+# Stated cases of head_features (without the counts of pages) and whether such a text is a head: a line that ends like a
+# sentence or begins in lower case is none unless it is divided by marks.
+HEAD_CASES = (
+    [[float(place), 0.0, 0.0, float(size), up, up, float(end), float(low), float(bar)] for place in (0, 1) for size in (12, 40) for up in (0.2, 1.0) for end in (0, 1) for low in (0, 1) for bar in (0, 1)],
+    [not (end and not bar) and not low for _ in (0, 1) for _ in (12, 40) for _ in (0.2, 1.0) for end in (0, 1) for low in (0, 1) for bar in (0, 1)],
+)
+JOINERS = ("and", "or", "und", "et", "to", "oder")
+# Stated cases of the features of a break and whether the word goes on: if it is known as a whole, or its parts aren't words
+# of their own and the second isn't a joining word.
+BREAK_CASES = (
+    [[w, c, a, b, 4.0, 4.0, 1.0, 0.95, float(j)] for w in (0.0, 2.0) for c in (0.0, 2.0) for a in (0.0, 2.0) for b in (0.0, 2.0) for j in (0, 1)] * 2,
+    [bool(w or c or not (a and b) and not j) for w in (0.0, 2.0) for c in (0.0, 2.0) for a in (0.0, 2.0) for b in (0.0, 2.0) for j in (0, 1)] * 2,
+)
 
 
-def broken_words(lines: list[Line], aside: set[int], known: dict[str, int], model: Boosted | None) -> tuple[dict[int, tuple[int, str]], list]:
-    """{line: (line it goes on on, joined word)}; also rows (features, weak label or None) to train on."""
-    body = [i for i, x in enumerate(lines) if x.text.strip() and i not in aside]
-    width = max((len(lines[i].text) for i in body), default=1)
-    out, rows = {}, []
-    for i, j in zip(body, body[1:], strict=False):
-        m = _BROKEN.search(lines[i].text)
-        if not m:
-            continue
-        n = _FIRST.search(scan_copy(lines[j].text))
-        if not n:
-            continue
-        a, b = scan_copy(m.group(1)).lower(), n.group(1).lower()
-        mark = lines[i].text.rstrip()[-1]
-        last = a.split("-")[-1]
-        f = pair_features(last, b, mark, len(lines[i].text) / width, known)
-        whole, parts = f[0] > 0 or f[1] > 0, f[2] > 0 and f[3] > 0
-        rows.append((f, True if whole and not (parts and f[0] == 0 and f[1] == 0) else False if parts else None))
-        if n.group(1)[:1].isupper() and not m.group(1).isupper():
-            continue
-        good = model.score(np.array([f]))[0] > 0 if model else whole or not parts and not f[8]
-        if good:
-            out[i] = (j, last + b if f[0] >= f[1] else f"{last}-{b}")
-    return out, rows
+def break_parts(text: str, after: str) -> tuple[str, str, str, bool] | None:
+    """Of a line that ends in a broken word and (the scanning copy of) the next: the last part of the word and the next line's
+    first word, in lower case, the mark, and whether a capital speaks against going on."""
+    m, n = _BROKEN.search(text), _FIRST.search(after)
+    if not m or not n:
+        return None
+    capital = n.group(1)[:1].isupper() and not m.group(1).isupper()
+    return scan_copy(m.group(1).split("-")[-1]).lower(), n.group(1).lower(), text.rstrip()[-1], capital
+
+
+def joined_word(text: str, b: str, f: list[float]) -> str:
+    """The word over the break at the end of ``text``, with a hyphen where its features know it with one."""
+    head = _BROKEN.search(text).group(1)
+    last = head.split("-")[-1]
+    low = scan_copy(last).lower()
+    word = low + b if f[0] >= f[1] else f"{low}-{b}"
+    return head[: len(head) - len(last)] + (word.capitalize() if last[:1].isupper() else word)
+
+
+def repaired(text: str, fixes, ends: bool, joined: str | None) -> str:
+    """A line with misread words replaced, the word joined over the break before it at its head, and without the part of a
+    word that goes on on the next line. White space is made plain."""
+    out = " ".join(_replaced(text.strip(), dict(fixes) if fixes is not None else {}).split())
+    if joined:
+        out = joined + _FIRST.sub("", out, count=1)
+    if ends and (m := _BROKEN.search(out)):
+        out = out[: m.start()].rstrip()
+    return out
+
+
+def _replaced(text: str, fixes: dict[str, str]) -> str:
+    if not fixes:
+        return text
+    out = []
+    for token in text.split(" "):
+        plain = scan_copy(token)
+        word = word_of(plain)
+        new = fixes.get(word)
+        if new and (at := plain.lower().find(word)) >= 0:
+            old = plain[at : at + len(word)]
+            new = new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[:1].isupper() else new
+            token = plain[:at] + new + plain[at + len(word) :]
+        out.append(token)
+    return " ".join(out)

@@ -1,75 +1,96 @@
-"""Repairing scanned text over tables of text lines."""
+"""Repairing scanned text over tables of text lines.
+
+Lines lie in blocks of one job each, so that a job of any length is many tasks' work; what goes on over the border of a block
+(the next line of the running text, a paragraph, a broken word) is handed on through one small row a block, and heads and page
+numbers are counted by job. No result depends on where the borders are.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwarden.llm import scanned_text as S
 from inkwarden.llm.boosting import Boosted
-from inkwarden.llm.personal_data_spark import CHUNK, COLUMNS, _groups, by_chunk, chunks
 from inkwarden.session import materialise
 
-MAX_VOCABULARY = 60_000
-SAMPLE_LINES = 20_000
+BLOCK = 400
+SAMPLE_ROWS = 20_000  # at most so many weakly labelled rows are fitted on
+TRAIN_WORDS, STRANGE_WORDS = 8_000, 1_000  # words the ranker's training cases are made of
+LINE = ["job", "block", "n", "text"]
+_BREAK = rf"(?U)([\w&&[^\d_]][\w@]*(?:-\w+)*)[{S.MARKS}]\s*$"
+
+
+@F.pandas_udf(T.StringType())
+def _copied(texts: pd.Series) -> pd.Series:
+    return texts.map(S.scan_copy, na_action="ignore")
 
 
-def with_source(lines: DataFrame) -> DataFrame:
-    """text_lines with ``scanned`` (source ocr in any case); other columns of the same name are replaced."""
-    return lines.select(*COLUMNS, F.coalesce(F.lower(F.trim("source")) == "ocr", F.lit(False)).alias("scanned"), "confidence")
+_copied = _copied.asNondeterministic()  # worked out once a line, wherever it is used
 
 
-def _ints(column: pd.Series, missing: int) -> list[int]:
-    return [missing if v is None or v != v else int(v) for v in column.tolist()]
+def _slots(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _lines(g: pd.DataFrame) -> list[S.Line]:
-    top = _ints(g["line_on_page"], 0)
-    foot = [n - 1 - t for n, t in zip(_ints(g["lines_on_page"], 1), top, strict=True)]
-    conf = g["confidence"].tolist() if "confidence" in g else [1.0] * len(g)
-    return [S.Line(*x) for x in zip(g["text"].tolist(), _ints(g["page_number"], 1), top, foot, g["scanned"].tolist(), conf, strict=True)]
+def read_lines(text_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, words). Lines once each: job (empty where null), block, n (-1 where null), page, top, foot, text, copy (a scanning
+    copy where it may differ from the text), scanned, written, broken. Null texts are left out.
 
+    Words: job, n, text and tokens, the pieces of the line without the parts of words that are broken over lines.
+    """
+    n = F.coalesce("line_number", F.lit(-1))
+    top = F.coalesce("line_on_page", F.lit(0))
+    rows = text_lines.where(F.col("text").isNotNull()).select(
+        F.coalesce("job_id", F.lit("")).alias("job"), F.floor(n / BLOCK).cast("int").alias("block"), n.alias("n"), F.coalesce("page_number", F.lit(1)).alias("page"), top.alias("top"), (F.coalesce("lines_on_page", F.lit(1)) - 1 - top).alias("foot"), "text",
+        F.coalesce(F.lower(F.trim("source")) == "ocr", F.lit(False)).alias("scanned"),
+    )
+    rows = rows.repartition("job", "block").dropDuplicates(LINE)
+    plain = F.col("text").rlike(r"^[\t\n\f\r\x20-\x7e]*$")
+    rows = rows.withColumns({"copy": _copied(F.when(~plain, F.col("text"))), "written": F.col("text").rlike(r"(?U)\S"), "broken": F.col("text").rlike(_BREAK)})
+    rows = materialise(rows, "lines")
+    before = _with_neighbour(rows.where("written").select(*LINE, "broken", "copy"), ["broken"], after=False)
+    line = F.coalesce("copy", "text")
+    tokens = F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
+    head, tail = (F.when(c, 1).otherwise(0) for c in (F.coalesce("near.broken", F.lit(False)), line.rlike(_BREAK)))
+    whole = F.slice(tokens, head + 1, F.greatest(F.lit(0), F.size(tokens) - head - tail))
+    words = before.select("job", "n", "text", whole.alias("tokens"))
+    return rows, materialise(words.where(F.size("tokens") > 0), "line-words")
 
-def line_words(lines: DataFrame) -> DataFrame:
-    """(job_id, line_number, scanned, words): the whole words of each line that could have been misread."""
 
-    def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = []
-        for g in groups:
-            broken = False
-            for job, n, text, scanned, chunk in zip(g["job_id"], g["line_number"], g["text"], g["scanned"], g["chunk"], strict=True):
-                words = S.words_of(text, broken)
-                if text.strip():
-                    broken = bool(S._BROKEN.search(text))
-                if words and (-1 if pd.isna(n) else n) // CHUNK == chunk:
-                    rows.append((job, n, scanned, words))
-        return pd.DataFrame(rows, columns=["job_id", "line_number", "scanned", "words"])
+def _with_neighbour(rows: DataFrame, fields: list[str], after: bool) -> DataFrame:
+    """rows with ``near``: the fields of the job's next row (or the one before), whatever block it lies in."""
+    place = F.struct("n", "text")
+    inside = Window.partitionBy("job", "block").orderBy("n", "text")
+    step, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    ends = rows.groupBy("job", "block").agg(edge(F.struct(*fields), place).alias("end"))
+    blocks = ends.select("job", "block", step("end").over(Window.partitionBy("job").orderBy("block")).alias("_far"))
+    return rows.withColumn("_near", step(F.struct(*fields)).over(inside)).join(blocks, ["job", "block"]).withColumn("near", F.coalesce("_near", "_far")).drop("_near", "_far")
 
-    schema = "job_id string, line_number int, scanned boolean, words array<string>"
-    return chunks(lines, ("scanned",)).mapInPandas(lambda b: by_chunk(b, work), schema)
 
+# --- words ---
 
-def word_counts(words: DataFrame) -> DataFrame:
-    one = words.select("scanned", F.explode("words").alias("word"))
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
-    return one.groupBy("word").agg(count(~F.col("scanned"))("native"), count(F.col("scanned"))("ocr"))
 
+def wordlike(word: Column) -> Column:
+    """As :func:`scanned_text.is_wordlike`."""
+    letters = F.length(F.regexp_replace(word, r"[^\p{L}]", ""))
+    return (F.length(word) > 2) & (letters >= 2) & (2 * letters > F.length(word)) & ~word.rlike("(?U)" + S.CODE) & ~word.rlike("[./]")
 
-def vocabulary(types: DataFrame, most: int = MAX_VOCABULARY) -> dict[str, int]:
-    """Trusted words with counts: of letters only and seen twice or more on born-digital lines, the most frequent first.
 
-    Where hardly any line is born digital, words seen five times or more anywhere are trusted instead.
-    """
-    spelled = types.where(F.col("word").rlike(r"^[\p{L}]+(-[\p{L}]+)*$"))
-    sizes = types.agg(F.sum("native").alias("n"), F.sum("ocr").alias("o")).first()
-    count = F.col("native") if (sizes["n"] or 0) * 20 >= (sizes["o"] or 0) else F.col("native") + F.col("ocr")
-    least = 2 if (sizes["n"] or 0) * 20 >= (sizes["o"] or 0) else 5
-    rows = spelled.select("word", count.alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
-    return {r["word"]: r["n"] for r in rows}
+def token_words(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word, native, ocr): each different piece once, with the word in it and its counts by kind of line. Words are
+    made out of pieces here, once each, not line by line."""
+    marked = words.join(lines.select("job", "n", "text", "scanned"), ["job", "n", "text"])
+    each = marked.select("scanned", F.explode("tokens").alias("token"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    types = each.groupBy("token").agg(count(~F.col("scanned")).alias("native"), count(F.col("scanned")).alias("ocr"))
+    word = F.lower(F.regexp_replace("token", r"(?U)^[^\w@]+|[^\w@]+$", ""))
+    return types.select("token", word.alias("word"), "native", "ocr").where(wordlike(F.col("word")))
 
 
 def folded(word: Column) -> Column:
@@ -84,74 +105,57 @@ def _grams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 2), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def corrections(types: DataFrame, known: dict[str, int], ranker: S.Ranker) -> DataFrame:
+def corrections(types: DataFrame, trusted: DataFrame, ranker: S.Ranker) -> DataFrame:
     """(word, replacement, odds) for the untrusted words of scanned lines that are misread trusted words.
 
-    Candidates share half of the q-grams of the folded forms; every such pair is ranked.
+    ``types``: word, native, ocr; ``trusted``: word, count. Candidates share half of the q-grams of the folded forms, whose
+    lengths differ by three at most. The join meets words on q-grams and the length wanted; on either side the q-grams that
+    most trusted words have are left out as far as such a pair must share another one. Every pair that qualifies is ranked.
     """
     spark = types.sparkSession
     schema = "word string, replacement string, odds double"
-    if not known or ranker.model is None:
+    if ranker.model is None:
         return spark.createDataFrame([], schema)
-    trusted = spark.createDataFrame(pd.DataFrame({"candidate": list(known), "count": list(known.values())}))
-    strange = types.where("ocr > 0").join(F.broadcast(trusted), F.col("word") == F.col("candidate"), "left_anti")  # MAX_VOCABULARY rows at most
-    listed = trusted.withColumn("f", folded(F.col("candidate"))).select(
-        "candidate", "count", F.length("candidate").alias("n_c"), F.length("f").alias("m_c"), F.explode(_grams(F.col("f"))).alias("gram")
-    )
-    asked = strange.withColumn("f", folded(F.col("word"))).select(
-        "word", "ocr", F.length("word").alias("n_w"), F.length("f").alias("m_w"), F.explode(_grams(F.col("f"))).alias("gram")
-    )
+    prepared = trusted.select(F.col("word").alias("candidate"), "count", folded(F.col("word")).alias("f"))
+    prepared = prepared.select("candidate", "count", F.length("f").alias("m_c"), _grams(F.col("f")).alias("grams_c"))
+    common = prepared.select(F.explode("grams_c").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    strange = types.where("ocr > 0").join(trusted, "word", "left_anti").select("word", "ocr", folded(F.col("word")).alias("f"))
+    strange = strange.select("word", "ocr", F.length("f").alias("m_w"), _grams(F.col("f")).alias("grams_w"))
+
+    def rarest(rows: DataFrame, key: list[str], grams: str, size: str) -> DataFrame:
+        """The q-grams of which any partner has one: all but those that may go unshared, rarest first."""
+        least = F.greatest(F.lit(1), F.ceil((F.col(size) - 2) / 2))  # shared with a word shorter by three
+        each = rows.select(*key, size, F.size(grams).alias("_g"), F.explode(grams).alias("gram")).join(common, "gram")
+        missing = F.col("_g") - F.count(F.lit(1)).over(Window.partitionBy(*key))  # q-grams of no trusted word stand first
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("df", "gram"))
+        return each.withColumn("_place", place + missing).where(F.col("_place") <= F.col("_g") - least + 1).select(*key, size, "gram")
+
+    asked = rarest(strange, ["word"], "grams_w", "m_w")
+    listed = rarest(prepared, ["candidate"], "grams_c", "m_c")
+    listed = listed.select("candidate", "gram", F.explode(F.sequence(F.col("m_c") - 3, F.col("m_c") + 3)).alias("m_w"))
+    met = asked.join(listed, ["gram", "m_w"]).select("word", "candidate").distinct()
+    shared = F.size(F.array_intersect("grams_w", "grams_c"))
     pairs = (
-        asked.join(listed, "gram")
-        .where(F.abs(F.col("n_w") - F.col("n_c")) <= 3)
-        .groupBy("word", "ocr", "candidate", "count", "m_w", "m_c")
-        .agg(F.count(F.lit(1)).cast("int").alias("shared"))
-        .where(F.col("shared") * 2 >= F.least("m_w", "m_c") + 1)
-        .groupBy("word", "ocr")
-        .agg(F.collect_list(F.struct("candidate", "shared", "count")).alias("found"))
+        met.join(prepared, "candidate")
+        .join(strange, "word")
+        .where(F.abs(F.length("word") - F.length("candidate")) <= 3)
+        .select("word", "ocr", "candidate", "count", shared.cast("int").alias("shared"), F.least("m_w", "m_c").alias("m"))
+        .where(F.col("shared") * 2 >= F.col("m") + 1)
+        .select("word", "ocr", "candidate", "count", "shared")
     )
     held = spark.sparkContext.broadcast(ranker)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for word, seen, found in zip(batch["word"], batch["ocr"], batch["found"], strict=True):
-                best = held.value.best(word, [(x["candidate"], x["shared"], x["count"]) for x in found], seen)
-                if best:
-                    rows.append((word, *best))
-            yield pd.DataFrame(rows, columns=["word", "replacement", "odds"])
+        for b in batches:
+            yield held.value.scored(b)
 
     # few bytes, much work a row: spread over tasks whatever the size
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(slots, "word").mapInPandas(rank, schema)
-
-
-def train_line_models(lines: DataFrame, known: dict[str, int], sample_lines: int = SAMPLE_LINES) -> tuple[Boosted | None, Boosted | None]:
-    """(pair model, head model), from weak labels on whole documents chosen by hash; at most twice ``sample_lines`` lines."""
-    parts = max(1, math.ceil(lines.count() / sample_lines))
-    some = lines.where(F.pmod(F.xxhash64(F.coalesce("job_id", F.lit(""))), F.lit(parts)) == 0)
-    rows = some.withColumn("chunk", F.lit(0)).limit(2 * sample_lines).toPandas().dropna(subset=["text"])
-    if not len(rows):
-        return None, None
-    pair_rows, head_rows = [], []
-    for g in _groups(rows.sort_values(["job_id", "line_number", "text"])):
-        body = _lines(g)
-        edge = S.edge_lines(body)
-        numbers = S.page_numbers(body, edge)
-        heads, seen = S.running_heads(body, edge, numbers, train=True)
-        if len({x.page for x in body}) >= 3:
-            head_rows += [(f, f[1] >= 3) for f, sure in seen if f[1] != 2]
-        pair_rows += [(f, y) for f, y in S.broken_words(body, {*numbers, *heads}, known, None)[1] if y is not None]
-    return _fit(pair_rows), _fit([([f[0], 0.0, 0.0, *f[3:]], y) for f, y in head_rows])
-
-
-def _fit(rows: list) -> Boosted | None:
-    import numpy as np
-
-    y = np.array([float(r[1]) for r in rows])
-    if len(rows) < 60 or y.sum() < 15 or (1 - y).sum() < 15:
-        return None
-    return Boosted(trees=30).fit(np.array([r[0] for r in rows]), y)
+    odds = pairs.repartition(_slots(types), "word", "candidate").mapInPandas(rank, "word string, candidate string, odds double")
+    best = odds.groupBy("word").agg(F.max_by("candidate", F.struct("odds", "candidate")).alias("replacement"), F.max("odds").alias("odds"))
+    return best.select("word", "replacement", "odds")
+
+
+# --- furniture ---
 
 
 class HeadModel:
@@ -167,52 +171,44 @@ class HeadModel:
 
 
 def edge_rows(lines: DataFrame) -> DataFrame:
-    """(job, n, page, text, near, piece, shift, kind, alone, plain, plain_key, cut, cut_key): the edge lines of whole pages.
+    """(job, block, n, page, text, scanned, near, piece, shift, kind, alone, plain, plain_key, cut, cut_key): the edge lines of pages.
 
     ``near`` is the place from the nearer edge; piece to alone tell of a possible page number; plain and cut are the text
     with it and without it, with their folded forms. A page may go on over blocks: each gives its first and last lines.
     """
-    columns = ["job", "n", "page", "text", "piece", "shift", "kind", "alone", "plain", "plain_key", "cut", "cut_key"]
+    columns = ["job", "block", "n", "page", "text", "scanned", "copy"]
+    both = lambda w: [F.row_number().over(w.orderBy(*by)) for by in (("n", "text"), (F.desc("n"), F.desc("text")))]
+    rows = lines.where("written").select(*columns)
+    for w in (Window.partitionBy("job", "block", "page"), Window.partitionBy("job", "page")):
+        top, foot = both(w)
+        rows = rows.withColumn("near", F.least(top, foot) - 1).where("near < 3")
 
     def of(text: str, page: int) -> tuple:
-        if len(text) > S.MAX_EDGE:
-            return (None,) * 8
-        copy = S.scan_copy(text).strip()
+        copy = text.strip()
         piece, number, kind, alone = S.numbered(copy) or (None,) * 4
         plain, cut = S.head_piece(copy, None), S.head_piece(copy, piece)
         return piece, None if number is None else number - page, kind, alone, plain, plain and S.fold(plain), cut, cut and S.fold(cut)
 
-    def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = []
-        for g in groups:
-            number, pages = _ints(g["line_number"], -1), _ints(g["page_number"], 1)
-            job, chunk = g["job_id"].iloc[0] or "", g["chunk"].iloc[0]
-            held: dict[int, list] = {}
-            for n, page, text in zip(number, pages, g["text"], strict=True):
-                if n // CHUNK == chunk and text.strip():
-                    held.setdefault(page, []).append((n, text))
-            for page, own in held.items():
-                for n, text in own if len(own) <= 6 else own[:3] + own[-3:]:
-                    rows.append((job, n, page, text, *of(text, page)))
-        return pd.DataFrame(rows, columns=columns).astype({"shift": "Int64"})
-
-    schema = ("job string, n int, page int, text string, piece string, shift int, kind string, alone boolean, plain string, "
-              "plain_key string, cut string, cut_key string")
-    found = chunks(lines).mapInPandas(lambda b: by_chunk(b, work), schema)
-    page = Window.partitionBy("job", "page")
-    top, foot = (F.row_number().over(page.orderBy(*by)) for by in (("n", "text"), (F.desc("n"), F.desc("text"))))
-    return found.withColumn("near", F.least(top, foot) - 1).where("near < 3")
-
-
-def furniture(lines: DataFrame, head) -> DataFrame:
-    """(job_id, line_number, text, number, head): lines with a page number or a running head, decided over whole jobs.
-
-    job_id is empty where it is null, line_number -1. The same decisions as in :func:`scanned_text.page_numbers` and
-    :func:`scanned_text.running_heads`, from counts by job, so a job of any length is many tasks' work.
+    made = ["piece", "shift", "kind", "alone", "plain", "plain_key", "cut", "cut_key"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [of(c, p) for c, p in zip(b["copy"], b["page"], strict=True)]
+            yield b.drop(columns="copy").assign(**{c: [f[k] for f in found] for k, c in enumerate(made)}).astype({"shift": "Int64"})
+
+    schema = ("job string, block int, n int, page int, text string, scanned boolean, near int, piece string, shift int, kind string, alone boolean, "
+              "plain string, plain_key string, cut string, cut_key string")
+    return rows.withColumn("copy", F.coalesce("copy", "text")).select(*columns[:-1], "near", "copy").mapInPandas(work, schema)
+
+
+def numbered_edges(lines: DataFrame) -> DataFrame:
+    """(job, block, n, text, scanned, near, total, number, piece, key, on): edge lines with the decision on page numbers, what
+    else is printed on them, and on how many pages of the job that is printed at an edge.
+
+    The same decisions as in :func:`scanned_text.page_numbers`, from counts by job, so a job of any length is many tasks' work.
     """
     edges = materialise(edge_rows(lines), "edge-lines")
-    job = F.coalesce("job_id", F.lit("")).alias("job")
-    totals = lines.groupBy(job).agg(F.countDistinct(F.coalesce("page_number", F.lit(1))).cast("int").alias("total"))
+    totals = lines.groupBy("job").agg(F.countDistinct("page").cast("int").alias("total"))
     runs = edges.where("kind IS NOT NULL").groupBy("job", "shift", "kind").agg(F.countDistinct("page").alias("often"))
     marked = edges.join(totals, "job").join(runs, ["job", "shift", "kind"], "left")
     number = F.expr(
@@ -220,28 +216,53 @@ def furniture(lines: DataFrame, head) -> DataFrame:
         "THEN shift = 0 OR often >= 2 OR (total = 1 AND kind = 'word') ELSE shift = 0 AND alone AND near <= 1 END"
     )
     marked = marked.withColumn("number", number).select(
-        "job", "n", "page", "text", "near", "total", "number", F.expr("if(number, cut, plain)").alias("piece"), F.expr("if(number, cut_key, plain_key)").alias("key")
+        "job", "block", "n", "page", "text", "scanned", "near", "total", "number", F.expr("if(number, cut, plain)").alias("piece"), F.expr("if(number, cut_key, plain_key)").alias("key")
     )
     marked = materialise(marked, "numbered-lines")
-    seen = marked.where("key IS NOT NULL").groupBy("job", "key").agg(F.countDistinct("page").cast("int").alias("on")).where("on >= 2")
-    held = lines.sparkSession.sparkContext.broadcast(head)
+    seen = marked.where("key IS NOT NULL").groupBy("job", "key").agg(F.countDistinct("page").cast("int").alias("on"))
+    return materialise(marked.join(seen, ["job", "key"], "left").select("job", "block", "n", "text", "scanned", "near", "total", "number", "piece", "key", "on"), "edges")
+
+
+def _head_features(rows: pd.DataFrame) -> list[list[float]]:
+    return [
+        S.head_features(S.Line(piece, 0, 0, 0, True, 0), key, near, on, total)
+        for piece, key, near, on, total in zip(rows["piece"], rows["key"], rows["near"], rows["on"], rows["total"], strict=True)
+    ]
+
+
+def _sample(rows: DataFrame, *key: str) -> pd.DataFrame:
+    """At most SAMPLE_ROWS rows, chosen by the hash of their place."""
+    return rows.orderBy(F.xxhash64(*key), *key).limit(SAMPLE_ROWS).toPandas()
+
+
+def train_heads(edges: DataFrame) -> HeadModel:
+    """From weak labels: what is printed on three pages or more of a job of three pages or more is a head, what is printed on one isn't."""
+    rows = _sample(edges.where("key IS NOT NULL AND total >= 3 AND on <> 2").drop("block", "scanned", "number"), "job", "n", "text")
+    f = [[x[0], 0.0, 0.0, *x[3:]] for x in _head_features(rows)]
+    return HeadModel(_fit(f, (rows["on"] >= 3).tolist(), S.HEAD_CASES))
+
+
+def _fit(rows: list[list[float]], target: list[bool], cases: tuple[list[list[float]], list[bool]]) -> Boosted:
+    """Boosted trees over the weakly labelled rows and a few stated cases, which decide where there is little else."""
+    x, y = np.array([*rows, *cases[0]]), np.array([*target, *cases[1]], dtype=float)
+    return Boosted(trees=30).fit(x, y)
+
+
+def furniture(edges: DataFrame, head: HeadModel) -> DataFrame:
+    """(job, block, n, text, scanned, number, head): lines with a page number or a running head, decided over whole jobs."""
+    held = edges.sparkSession.sparkContext.broadcast(head)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            again = b["on"].notna()
-            rows = b[again]
-            f = [
-                S.head_features(S.Line(text, 0, 0, 0, True, 0), key, near, on, total)
-                for text, key, near, on, total in zip(rows["piece"], rows["key"], rows["near"], rows["on"], rows["total"], strict=True)
-            ]
+            again = b["key"].notna() & (b["on"].fillna(0) >= 2)
             good = again.copy()
-            good[again] = S.good_heads(f, held.value)
-            yield b[["job", "n", "text", "number", "key"]].assign(head=good.astype(bool))
+            good[again] = S.good_heads(_head_features(b[again]), held.value)
+            yield b[["job", "block", "n", "text", "scanned", "number", "key"]].assign(head=good.astype(bool))
 
-    schema = "job string, n int, text string, number boolean, key string, head boolean"
-    judged = materialise(marked.join(seen, ["job", "key"], "left").select("job", "n", "text", "near", "total", "number", "piece", "key", "on").mapInPandas(score, schema), "judged-lines")
+    schema = "job string, block int, n int, text string, scanned boolean, number boolean, key string, head boolean"
+    judged = materialise(edges.mapInPandas(score, schema), "judged-lines")
     keys = judged.where("head AND length(key) >= 6").select("job", "key").distinct()
-    others = judged.where("NOT head AND key IS NOT NULL").withColumn("part", F.floor(F.col("n") / (50 * CHUNK)).cast("int"))
+    others = judged.where("NOT head AND key IS NOT NULL").withColumn("part", F.floor(F.col("block") / 50).cast("int"))
     others = others.join(keys.select("job").distinct(), "job", "left_semi").select("job", "part", F.lit(1).alias("after"), "key", "n", "text")
     sent = others.select("job", "part").distinct().join(keys, "job").select(
         "job", "part", F.lit(0).alias("after"), "key", F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("text")
@@ -265,147 +286,144 @@ def furniture(lines: DataFrame, head) -> DataFrame:
 
     holding = both.mapInPandas(within, "job string, n int, text string").withColumn("holds", F.lit(True))
     decided = judged.join(holding, ["job", "n", "text"], "left").withColumn("head", F.expr("head OR coalesce(holds, false)")).where("number OR head")
-    return materialise(decided.select(F.col("job").alias("job_id"), F.col("n").alias("line_number"), "text", "number", "head"), "furniture")
+    return materialise(decided.select("job", "block", "n", "text", "scanned", "number", "head"), "furniture")
+
+
+def body_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines that are no furniture. The furniture of a block is brought to it as one row, so the lines stay where they lie."""
+    aside = found.groupBy("job", "block").agg(F.collect_set(F.struct("n", "text")).alias("_aside"))
+    rows = lines.join(aside, ["job", "block"], "left")
+    return rows.where(~F.coalesce(F.array_contains("_aside", F.struct("n", "text")), F.lit(False))).drop("_aside")
+
 
+# --- broken words ---
 
-def with_furniture(lines: DataFrame, head) -> DataFrame:
-    """lines with ``number`` and ``head``, null or true."""
-    found = furniture(lines, head).toDF("_job", "_n", "_text", "number", "head")
-    same = (F.coalesce("job_id", F.lit("")) == F.col("_job")) & (F.coalesce("line_number", F.lit(-1)) == F.col("_n")) & (F.col("text") == F.col("_text"))
-    return lines.join(found, same, "left").drop("_job", "_n", "_text")
 
+def break_pairs(body: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Lines that end in a broken word, with the next line of the running text and what is known of the parts.
 
-def analyse(g: pd.DataFrame, known: dict[str, int], pair):
-    body = _lines(g)
-    numbers, heads = ([i for i, x in enumerate(g[c]) if x is True or x == 1] for c in ("number", "head"))
-    broken, _ = S.broken_words(body, {*numbers, *heads}, known, pair)
-    return body, numbers, heads, broken
+    job, block, n, text, scanned, next_n, next_text, b, capital, f (features), y (weak label or null).
+    """
+    written = body.where("written")
+    width = written.groupBy("job").agg(F.max(F.length("text")).alias("width"))
+    near = _with_neighbour(written.select(*LINE, "scanned", "copy", "broken"), ["n", "text", "copy"], after=True).where("broken AND near IS NOT NULL")
+    rows = near.join(width, "job").select(*LINE, "scanned", "width", F.col("near.n").alias("next_n"), F.col("near.text").alias("next_text"), F.coalesce("near.copy", "near.text").alias("next_copy"))
 
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [S.break_parts(t, c) for t, c in zip(b["text"], b["next_copy"], strict=True)]
+            keep = [g is not None for g in got]
+            out = b[keep].drop(columns="next_copy")
+            yield out.assign(**{c: [g[k] for g in got if g] for k, c in enumerate(("last", "b", "mark", "capital"))})
+
+    schema = "job string, block int, n int, text string, scanned boolean, width int, next_n int, next_text string, last string, b string, mark string, capital boolean"
+    rows = materialise(rows.mapInPandas(parts, schema), "broken-lines")
+    forms = F.array(F.concat("last", "b"), F.concat_ws("-", "last", "b"), F.col("last"), F.col("b"))
+    asked = rows.select(F.explode(forms).alias("word")).distinct().join(trusted, "word")
+    counts = materialise(asked.select("word", "count"), "known-parts")
+    for k, form in enumerate((F.concat("last", "b"), F.concat_ws("-", "last", "b"), F.col("last"), F.col("b"))):
+        rows = rows.join(counts.select(F.col("word").alias(f"_w{k}"), F.col("count").alias(f"k{k}")), form == F.col(f"_w{k}"), "left").drop(f"_w{k}")
+    log = lambda k: F.log1p(F.coalesce(f"k{k}", F.lit(0)).cast("double"))
+    f = F.array(
+        log(0), log(1), log(2), log(3), F.length("last").cast("double"), F.length("b").cast("double"), (F.col("mark") == "-").cast("double"),
+        F.length("text") / F.col("width"), F.col("b").isin(*S.JOINERS).cast("double"),
+    )
+    whole, both = F.col("k0").isNotNull() | F.col("k1").isNotNull(), F.col("k2").isNotNull() & F.col("k3").isNotNull()
+    y = F.when(whole, True).when(both, False)
+    return materialise(rows.select(*LINE, "scanned", "next_n", "next_text", "b", "capital", f.alias("f"), y.alias("y")), "break-pairs")
 
-def find_line_kinds(lines: DataFrame, known: dict[str, int], pair, head) -> DataFrame:
-    """(job_id, line_number, kind) for hyphen_break, running_head and page_number on scanned lines."""
-    lines = with_furniture(lines, head and HeadModel(head))
-    held = lines.sparkSession.sparkContext.broadcast((known, pair))
 
-    def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = []
-        for g in groups:
-            _, numbers, heads, broken = analyse(g, *held.value)
-            job, number, scanned, chunk = (g[c].to_numpy() for c in ("job_id", "line_number", "scanned", "chunk"))
-            for kind, at in (("page_number", numbers), ("running_head", heads), ("hyphen_break", broken)):
-                rows += [(job[i], number[i], kind) for i in at if scanned[i] and number[i] // CHUNK == chunk[i]]
-        return pd.DataFrame(rows, columns=["job_id", "line_number", "kind"])
+def broken_words(pairs: DataFrame) -> DataFrame:
+    """(job, block, n, text, scanned, next_n, next_text, joined): the breaks that are real, with the word that is joined over them."""
+    rows = _sample(pairs.where("y IS NOT NULL").select("job", "n", "text", "f", "y"), "job", "n", "text")
+    held = pairs.sparkSession.sparkContext.broadcast(_fit(rows["f"].tolist(), rows["y"].tolist(), S.BREAK_CASES))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.array(b["f"].tolist()).reshape(len(b), -1)
+            good = (held.value.score(x) > 0) & ~b["capital"].to_numpy(dtype=bool) if len(b) else np.zeros(0, bool)
+            out = b[good]
+            words = [S.joined_word(*r) for r in out[["text", "b", "f"]].itertuples(index=False, name=None)]
+            yield out[["job", "block", "n", "text", "scanned", "next_n", "next_text"]].assign(joined=words)
 
-    found = chunks(lines, ("scanned", "confidence", "number", "head")).mapInPandas(lambda b: by_chunk(b, work), "job_id string, line_number int, kind string")
-    return found.distinct()
+    return pairs.mapInPandas(score, "job string, block int, n int, text string, scanned boolean, next_n int, next_text string, joined string")
 
 
 class Repair:
     """Everything learned from one table of lines, and the corrections of its words."""
 
     def __init__(self, text_lines: DataFrame):
-        self.lines = with_source(text_lines).where(F.col("text").isNotNull())
-        self.words = materialise(line_words(self.lines), "line-words")
-        self.types = materialise(word_counts(self.words), "word-types")
-        self.known = vocabulary(self.types)
-        strange = self.types.where("ocr > 0 AND native = 1").orderBy(F.xxhash64("word"), "word").limit(1000)
-        self.ranker = S.train_ranker(dict(list(self.known.items())[:8000]), [r["word"] for r in strange.collect()])
-        self.fixes = materialise(corrections(self.types, self.known, self.ranker), "corrections")
-        self.pair, self.head = train_line_models(self.lines, self.known)
+        self.lines, self.words = read_lines(text_lines)
+        self.tokens = materialise(token_words(self.lines, self.words), "token-words")
+        types = self.tokens.groupBy("word").agg(F.sum("native").alias("native"), F.sum("ocr").alias("ocr"))
+        self.types = materialise(types, "word-types")
+        spelled = self.types.where((F.col("native") >= 2) & F.col("word").rlike(r"^[\p{L}]+(-[\p{L}]+)*$"))
+        self.trusted = materialise(spelled.select("word", F.col("native").alias("count")), "trusted-words")
+        known = self.trusted.orderBy(F.desc("count"), "word").limit(TRAIN_WORDS).collect()
+        strange = self.types.where("ocr > 0 AND native = 1").orderBy(F.xxhash64("word"), "word").limit(STRANGE_WORDS)
+        self.ranker = S.train_ranker({r["word"]: r["count"] for r in known}, [r["word"] for r in strange.collect()])
+        self.fixes = materialise(corrections(self.types, self.trusted, self.ranker), "corrections")
+        edges = numbered_edges(self.lines)
+        self.aside = furniture(edges, train_heads(edges))
+        self.breaks = materialise(broken_words(break_pairs(body_lines(self.lines, self.aside), self.trusted)), "broken-words")
 
     def misread(self) -> DataFrame:
-        """(job_id, line_number, word, replacement). Trusted words are set aside first, so no frequent word is shuffled."""
-        spark = self.lines.sparkSession
-        each = self.words.where("scanned").select("job_id", "line_number", F.explode(F.array_distinct("words")).alias("word"))
-        if self.known:
-            trusted = spark.createDataFrame(pd.DataFrame({"word": list(self.known)}))
-            each = each.join(F.broadcast(trusted), "word", "left_anti")  # MAX_VOCABULARY rows at most
-        return each.join(self.fixes, "word")
+        """(job, n, text, word, replacement) on scanned lines. Few pieces have a correction; they go to the lines."""
+        few = materialise(self.tokens.where("ocr > 0").join(self.fixes, "word").select("token", "word", "replacement"), "token-corrections")
+        each = self.words.select("job", "n", "text", F.explode(F.array_distinct("tokens")).alias("token")).join(few, "token")
+        return each.join(self.lines.where("scanned").select("job", "n", "text"), ["job", "n", "text"], "left_semi")
 
     def kinds(self) -> DataFrame:
-        """(job_id, line_number, kind) of all four kinds."""
-        misread = self.misread().select("job_id", "line_number", F.lit("misread").alias("kind")).distinct()
-        return find_line_kinds(self.lines, self.known, self.pair, self.head).unionByName(misread)
+        """(job_id, line_number, kind) of all four kinds, on scanned lines."""
+        tell = lambda rows, kind: rows.select("job", "n", "text", F.lit(kind).alias("kind"))
+        aside = self.aside.where("scanned")
+        found = (
+            tell(self.misread(), "misread")
+            .unionByName(tell(self.breaks.where("scanned"), "hyphen_break"))
+            .unionByName(tell(aside.where("head"), "running_head"))
+            .unionByName(tell(aside.where("number"), "page_number"))
+        )
+        return found.select(F.expr("nullif(job, '')").alias("job_id"), F.expr("nullif(n, -1)").alias("line_number"), "kind").distinct()
 
     def paragraphs(self) -> DataFrame:
         """(job_id, line_number, paragraph): each document as paragraphs, by the line they begin on.
 
         Furniture is left out, broken words are joined, misread words of scanned lines replaced (capitals kept). A
-        paragraph ends at an empty line within a page, or at a line that ends a sentence well short of the full width; it
-        never runs on past a block of CHUNK lines. Born-digital lines are joined as well but their words stay.
+        paragraph ends at an empty line within a page, or at a line that ends a sentence well short of the full width.
+        Born-digital lines are joined as well but their words stay.
         """
-        fixes = self.misread().groupBy("job_id", "line_number").agg(
-            F.map_from_entries(F.collect_set(F.struct("word", "replacement"))).alias("fixes")
-        )
-        lines = self.lines.join(fixes, ["job_id", "line_number"], "left")
-        lines = with_furniture(lines, self.head and HeadModel(self.head))
-        held = lines.sparkSession.sparkContext.broadcast((self.known, self.pair))
-
-        def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
-            rows = []
-            for g in groups:
-                body, numbers, heads, broken = analyse(g, *held.value)
-                own = (g["line_number"] // CHUNK == g["chunk"]).to_numpy()
-                rows += paragraphs_of(g, body, {*numbers, *heads}, broken, own)
-            return pd.DataFrame(rows, columns=["job_id", "line_number", "paragraph"])
-
-        schema = "job_id string, line_number int, paragraph string"
-        return chunks(lines, ("scanned", "confidence", "fixes", "number", "head")).mapInPandas(lambda b: by_chunk(b, work), schema)
-
-
-def _replaced(text: str, fixes: dict[str, str] | None) -> str:
-    if not fixes:
-        return text
-    fixes = dict(fixes)
-    out = []
-    for token in text.split(" "):
-        plain = S.scan_copy(token)
-        word = S.word_of(plain)
-        new = fixes.get(word)
-        if new and (at := plain.lower().find(word)) >= 0:
-            old = plain[at : at + len(word)]
-            new = new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[:1].isupper() else new
-            token = plain[:at] + new + plain[at + len(word) :]
-        out.append(token)
-    return " ".join(out)
-
-
-def paragraphs_of(g: pd.DataFrame, body: list[S.Line], aside: set[int], broken: dict, own) -> list[tuple]:
-    width = max((len(x.text) for i, x in enumerate(body) if i not in aside), default=1)
-    rows, current, start, carried = [], [], None, None
-    job, number, fixes = g["job_id"].iloc[0], g["line_number"].to_numpy(), list(g["fixes"])
-
-    def close():
-        nonlocal current, start
-        if current:
-            rows.append((job, start, " ".join(x for x in current if x)))
-        current, start = [], None
-
-    for i, x in enumerate(body):
-        if not own[i] or i in aside:
-            continue
-        text = " ".join(_replaced(x.text.strip(), fixes[i]).split())
-        if not text:
-            if x.top > 1 and x.foot > 1 and carried is None:
-                close()
-            continue
-        if carried is not None and i == carried[0]:
-            rest = S._FIRST.sub("", text, count=1)
-            text = f"{carried[1]}{rest}"
-            carried = None
-        if i in broken and own[broken[i][0]]:
-            m = S._BROKEN.search(text)
-            if m:
-                head = m.group(1)
-                joined = broken[i][1]
-                first = head[: len(head) - len(head.split("-")[-1])]
-                last = head.split("-")[-1]
-                carried = (broken[i][0], first + (joined.capitalize() if last[:1].isupper() else joined))
-                text = text[: m.start()].rstrip()
-        if start is None:
-            start = int(number[i])
-        current.append(text)
-        if carried is None and text[-1:] in ".!?:" and len(x.text) < 0.75 * width:
-            close()
-    close()
-    return rows
+        fixes = self.misread().groupBy("job", "n", "text").agg(F.map_from_entries(F.collect_set(F.struct("word", "replacement"))).alias("fixes"))
+        ends = self.breaks.select("job", "n", "text", F.lit(True).alias("ends"))
+        begins = self.breaks.select("job", F.col("next_n").alias("n"), F.col("next_text").alias("text"), "joined")
+        changes = fixes.join(ends, ["job", "n", "text"], "full").join(begins, ["job", "n", "text"], "full")
+        per_block = changes.withColumn("block", F.floor(F.col("n") / BLOCK).cast("int")).groupBy("job", "block")
+        per_block = per_block.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("n", "text").alias("at"), F.struct("fixes", "ends", "joined").alias("change")))).alias("_changes"))
+        body = body_lines(self.lines, self.aside)
+        width = body.where("written").groupBy("job").agg(F.max(F.length("text")).alias("width"))
+        rows = body.join(per_block, ["job", "block"], "left").withColumn("c", F.try_element_at("_changes", F.struct("n", "text"))).drop("_changes")
+        flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+        new = F.when(F.col("c").isNull(), flat).otherwise(_repaired("text", "c.fixes", F.coalesce("c.ends", F.lit(False)), "c.joined"))
+        rows = rows.withColumn("new", new).join(width, "job", "left")
+        ends_here = F.coalesce("c.ends", F.lit(False))
+        closes = F.col("written") & ~ends_here & F.col("new").rlike(r"[.!?:]$") & (F.length("text") < 0.75 * F.col("width"))
+        rows = materialise(rows.select(*LINE, "written", "new", ends_here.alias("ends"), closes.alias("closes"), ((F.col("top") > 1) & (F.col("foot") > 1)).alias("inner")), "body")
+        rows = rows.repartition("job", "block")
+        before = Window.partitionBy("job", "block").orderBy("n", "text").rowsBetween(Window.unboundedPreceding, -1)
+        by_block = Window.partitionBy("job").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        last = rows.where("written").groupBy("job", "block").agg(F.max_by("ends", F.struct("n", "text")).alias("e"))
+        every = rows.select("job", "block").distinct().join(last, ["job", "block"], "left")
+        every = every.select("job", "block", F.last("e", ignorenulls=True).over(by_block).alias("_open"))
+        rows = rows.join(every, ["job", "block"]).withColumn("open", F.coalesce(F.last(F.when(F.col("written"), F.col("ends")), ignorenulls=True).over(before), "_open", F.lit(False)))
+        mark = F.when(F.col("written"), F.col("closes")).otherwise(F.col("inner") & ~F.col("open")).cast("int")
+        rows = rows.withColumn("mark", mark)
+        sums = rows.groupBy("job", "block").agg(F.sum("mark").alias("m"))
+        sums = sums.select("job", "block", F.coalesce(F.sum("m").over(by_block), F.lit(0)).alias("_before"))
+        rows = rows.join(sums, ["job", "block"]).withColumn("part", F.col("_before") + F.coalesce(F.sum("mark").over(before), F.lit(0)))
+        listed = F.array_sort(F.collect_list(F.struct("n", "text", "new")))
+        out = rows.where("written AND new <> ''").groupBy("job", "part").agg(F.min("n").alias("n"), F.array_join(F.transform(listed, lambda x: x["new"]), " ").alias("paragraph"))
+        return out.select(F.expr("nullif(job, '')").alias("job_id"), F.expr("nullif(n, -1)").alias("line_number"), "paragraph")
+
+
+@F.pandas_udf(T.StringType())
+def _repaired(text: pd.Series, fixes: pd.Series, ends: pd.Series, joined: pd.Series) -> pd.Series:
+    return pd.Series([S.repaired(t, f, e, j) for t, f, e, j in zip(text, fixes, ends, joined, strict=True)], dtype=object)

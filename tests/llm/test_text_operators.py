@@ -7,9 +7,9 @@ from inkwarden.llm import near_duplicates as N
 from inkwarden.llm import personal_data as P
 from inkwarden.llm import personal_data_spark as PS
 from inkwarden.llm import scanned_text as S
+from inkwarden.llm import scanned_text_spark as SS
 from inkwarden.llm.boosting import Boosted
-from inkwarden.llm.scanned_text_spark import Repair, find_line_kinds
-from inkwarden.llm.scanned_text_spark import with_source as scanned
+from inkwarden.llm.scanned_text_spark import Repair
 
 # --- near duplicates ---
 
@@ -262,10 +262,41 @@ def test_heads_and_page_numbers_over_whole_jobs(spark):
     pages[60][0] = "HARBOUR CLINIC annex 7"  # a line that holds the head
     pages[33][4] = "HARBOUR CLINIC"  # at the edge of a block only
     df = table(spark, {"o": pages, "p": [["HARBOUR CLINIC", "x", "y"]]})
-    found = {(r.line_number, r.kind) for r in find_line_kinds(scanned(df), {}, None, None).where("job_id = 'o'").collect()}
+    found = {(r.line_number, r.kind) for r in Repair(df).kinds().where("job_id = 'o'").collect()}
     assert {n for n, k in found if k == "running_head"} == {1 * 12, 110 * 12, 60 * 12}
     assert {n for n, k in found if k == "page_number"} == {6 * 12 - 1, 116 * 12 - 1}
-    assert not find_line_kinds(scanned(df), {}, None, None).where("job_id = 'p'").count()
+    assert not Repair(df).kinds().where("job_id = 'p'").count()
+
+
+def test_borders_of_blocks_change_nothing(spark, monkeypatch):
+    """Heads, page numbers, broken words and paragraphs of a long job come out the same whatever the size of a block."""
+    rng = random.Random(9)
+    pages = []
+    for p in range(1, 13):
+        body = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([3, 8, 8, 8]))) + rng.choice(["", "", "."]) for _ in range(12)]
+        body[rng.randrange(12)] = ""
+        pages.append((["HARBOUR CLINIC"] if p % 4 else []) + body + [f"- {p} -"])
+    for p in (1, 4, 7):
+        pages[p][-2] = f"the {WORDS[p]} of the {WORDS[-p]} was long but the last word is depart-"
+        pages[p + 1][1 if (p + 2) % 4 else 0] = f"ment over the {WORDS[2 * p]} and goes on {WORDS[3 * p]}"
+    native = table(spark, {"n": [[" ".join(WORDS)] * 3]}, "native")
+    df = native.union(table(spark, {"o": pages, None: [["a lone line"]]}))
+    seen = []
+    for size in (5, 17, 400):
+        monkeypatch.setattr(SS, "BLOCK", size)
+        r = Repair(df)
+        seen.append((sorted(map(str, r.kinds().collect())), sorted(map(str, r.paragraphs().collect()))))
+    assert seen[0] == seen[1] == seen[2]
+    assert sum("hyphen_break" in x for x in seen[0][0]) == 3 and sum("running_head" in x for x in seen[0][0]) == 9 and sum("page_number" in x for x in seen[0][0]) == 12
+    assert any("a lone line" in x for x in seen[0][1]) and sum("department" in x for x in seen[0][1]) == 3
+
+
+def test_heads_of_a_long_job_and_long_lines(spark):
+    """Five pages of 300 lines with one head on each, and a head beside a line far longer than any printed one."""
+    pages = [["HARBOUR CLINIC", *[f"body {p} {k} goes on with more" for k in range(298)], ("x " * 150 + f"page {p}")] for p in range(1, 6)]
+    found = Repair(table(spark, {"o": pages})).kinds().collect()
+    assert {r.line_number for r in found if r.kind == "running_head"} >= {300 * p for p in range(5)}
+    assert {r.line_number for r in found if r.kind == "page_number"} == {300 * p + 299 for p in range(5)}
 
 
 def test_repair_of_nothing(spark):
