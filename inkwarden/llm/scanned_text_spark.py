@@ -22,7 +22,7 @@ from inkwarden.session import materialise
 BLOCK = 400
 SAMPLE_ROWS = 20_000  # at most so many weakly labelled rows are fitted on
 TRAIN_WORDS, STRANGE_WORDS = 8_000, 1_000  # words the ranker's training cases are made of
-LINE = ["job", "block", "n", "text"]
+LINE = ["job", "block", "n", "row"]
 _BREAK = rf"(?U)([\w&&[^\d_]][\w@]*(?:-\w+)*)[{S.MARKS}]\s*$"
 
 
@@ -39,10 +39,10 @@ def _slots(df: DataFrame) -> int:
 
 
 def read_lines(text_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, words). Lines once each: job (empty where null), block, n (-1 where null), page, top, foot, text, copy (a scanning
-    copy where it may differ from the text), scanned, written, broken. Null texts are left out.
+    """(lines, words). Lines once each: job (empty where null), block, n (-1 where null), row (a number of its own), page, top, foot,
+    text, copy (a scanning copy where it may differ from the text), scanned, written, broken. Null texts are left out.
 
-    Words: job, n, text and tokens, the pieces of the line without the parts of words that are broken over lines.
+    Words: job, n, row, scanned and tokens, the pieces of the line without the parts of words that are broken over lines.
     """
     n = F.coalesce("line_number", F.lit(-1))
     top = F.coalesce("line_on_page", F.lit(0))
@@ -50,23 +50,28 @@ def read_lines(text_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("job_id", F.lit("")).alias("job"), F.floor(n / BLOCK).cast("int").alias("block"), n.alias("n"), F.coalesce("page_number", F.lit(1)).alias("page"), top.alias("top"), (F.coalesce("lines_on_page", F.lit(1)) - 1 - top).alias("foot"), "text",
         F.coalesce(F.lower(F.trim("source")) == "ocr", F.lit(False)).alias("scanned"),
     )
-    rows = rows.repartition("job", "block").dropDuplicates(LINE)
+    rows = rows.repartition("job", "block").dropDuplicates(["job", "block", "n", "text"])
     plain = F.col("text").rlike(r"^[\t\n\f\r\x20-\x7e]*$")
-    rows = rows.withColumns({"copy": _copied(F.when(~plain, F.col("text"))), "written": F.col("text").rlike(r"(?U)\S"), "broken": F.col("text").rlike(_BREAK)})
+    ends = F.col("text").rlike(rf"(?U)[{S.MARKS}]\s*$")  # most lines need no look at their words
+    rows = rows.withColumns(
+        {
+            "row": F.monotonically_increasing_id(), "copy": _copied(F.when(~plain, F.col("text"))), "broken": ends & F.col("text").rlike(_BREAK),
+            "written": F.when(plain, F.col("text").rlike(r"\S")).otherwise(F.col("text").rlike(r"(?U)\S")),
+        }
+    )
     rows = materialise(rows, "lines")
-    before = _with_neighbour(rows.where("written").select(*LINE, "broken", "copy"), ["broken"], after=False)
-    line = F.coalesce("copy", "text")
-    tokens = F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
-    head, tail = (F.when(c, 1).otherwise(0) for c in (F.coalesce("near.broken", F.lit(False)), line.rlike(_BREAK)))
+    before = _with_neighbour(rows.where("written").select(*LINE, "text", "copy", "scanned", "broken"), ["broken"], after=False)
+    tokens = F.split(F.trim(F.coalesce("copy", "text")), r"\s+")
+    head, tail = (F.when(c, 1).otherwise(0) for c in (F.coalesce("near.broken", F.lit(False)), F.col("broken")))
     whole = F.slice(tokens, head + 1, F.greatest(F.lit(0), F.size(tokens) - head - tail))
-    words = before.select("job", "n", "text", whole.alias("tokens"))
+    words = before.select("job", "n", "row", "scanned", whole.alias("tokens"))
     return rows, materialise(words.where(F.size("tokens") > 0), "line-words")
 
 
 def _with_neighbour(rows: DataFrame, fields: list[str], after: bool) -> DataFrame:
     """rows with ``near``: the fields of the job's next row (or the one before), whatever block it lies in."""
-    place = F.struct("n", "text")
-    inside = Window.partitionBy("job", "block").orderBy("n", "text")
+    place = F.struct("n", "row")
+    inside = Window.partitionBy("job", "block").orderBy("n", "row")
     step, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
     ends = rows.groupBy("job", "block").agg(edge(F.struct(*fields), place).alias("end"))
     blocks = ends.select("job", "block", step("end").over(Window.partitionBy("job").orderBy("block")).alias("_far"))
@@ -82,11 +87,10 @@ def wordlike(word: Column) -> Column:
     return (F.length(word) > 2) & (letters >= 2) & (2 * letters > F.length(word)) & ~word.rlike("(?U)" + S.CODE) & ~word.rlike("[./]")
 
 
-def token_words(lines: DataFrame, words: DataFrame) -> DataFrame:
+def token_words(words: DataFrame) -> DataFrame:
     """(token, word, native, ocr): each different piece once, with the word in it and its counts by kind of line. Words are
     made out of pieces here, once each, not line by line."""
-    marked = words.join(lines.select("job", "n", "text", "scanned"), ["job", "n", "text"])
-    each = marked.select("scanned", F.explode("tokens").alias("token"))
+    each = words.select("scanned", F.explode("tokens").alias("token"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     types = each.groupBy("token").agg(count(~F.col("scanned")).alias("native"), count(F.col("scanned")).alias("ocr"))
     word = F.lower(F.regexp_replace("token", r"(?U)^[^\w@]+|[^\w@]+$", ""))
@@ -171,14 +175,14 @@ class HeadModel:
 
 
 def edge_rows(lines: DataFrame) -> DataFrame:
-    """(job, block, n, page, text, scanned, near, piece, shift, kind, alone, plain, plain_key, cut, cut_key): the edge lines of pages.
+    """(job, block, n, row, page, scanned, near, piece, shift, kind, alone, plain, plain_key, cut, cut_key): the edge lines of pages.
 
     ``near`` is the place from the nearer edge; piece to alone tell of a possible page number; plain and cut are the text
     with it and without it, with their folded forms. A page may go on over blocks: each gives its first and last lines.
     """
-    columns = ["job", "block", "n", "page", "text", "scanned", "copy"]
-    both = lambda w: [F.row_number().over(w.orderBy(*by)) for by in (("n", "text"), (F.desc("n"), F.desc("text")))]
-    rows = lines.where("written").select(*columns)
+    columns = [*LINE, "page", "scanned"]
+    both = lambda w: [F.row_number().over(w.orderBy(*by)) for by in (("n", "row"), (F.desc("n"), F.desc("row")))]
+    rows = lines.where("written").select(*columns, F.coalesce("copy", "text").alias("copy"))
     for w in (Window.partitionBy("job", "block", "page"), Window.partitionBy("job", "page")):
         top, foot = both(w)
         rows = rows.withColumn("near", F.least(top, foot) - 1).where("near < 3")
@@ -196,13 +200,13 @@ def edge_rows(lines: DataFrame) -> DataFrame:
             found = [of(c, p) for c, p in zip(b["copy"], b["page"], strict=True)]
             yield b.drop(columns="copy").assign(**{c: [f[k] for f in found] for k, c in enumerate(made)}).astype({"shift": "Int64"})
 
-    schema = ("job string, block int, n int, page int, text string, scanned boolean, near int, piece string, shift int, kind string, alone boolean, "
+    schema = ("job string, block int, n int, row long, page int, scanned boolean, near int, piece string, shift int, kind string, alone boolean, "
               "plain string, plain_key string, cut string, cut_key string")
-    return rows.withColumn("copy", F.coalesce("copy", "text")).select(*columns[:-1], "near", "copy").mapInPandas(work, schema)
+    return rows.select(*columns, "near", "copy").mapInPandas(work, schema)
 
 
 def numbered_edges(lines: DataFrame) -> DataFrame:
-    """(job, block, n, text, scanned, near, total, number, piece, key, on): edge lines with the decision on page numbers, what
+    """(job, block, n, row, scanned, near, total, number, piece, key, on): edge lines with the decision on page numbers, what
     else is printed on them, and on how many pages of the job that is printed at an edge.
 
     The same decisions as in :func:`scanned_text.page_numbers`, from counts by job, so a job of any length is many tasks' work.
@@ -216,11 +220,11 @@ def numbered_edges(lines: DataFrame) -> DataFrame:
         "THEN shift = 0 OR often >= 2 OR (total = 1 AND kind = 'word') ELSE shift = 0 AND alone AND near <= 1 END"
     )
     marked = marked.withColumn("number", number).select(
-        "job", "block", "n", "page", "text", "scanned", "near", "total", "number", F.expr("if(number, cut, plain)").alias("piece"), F.expr("if(number, cut_key, plain_key)").alias("key")
+        *LINE, "page", "scanned", "near", "total", "number", F.expr("if(number, cut, plain)").alias("piece"), F.expr("if(number, cut_key, plain_key)").alias("key")
     )
     marked = materialise(marked, "numbered-lines")
     seen = marked.where("key IS NOT NULL").groupBy("job", "key").agg(F.countDistinct("page").cast("int").alias("on"))
-    return materialise(marked.join(seen, ["job", "key"], "left").select("job", "block", "n", "text", "scanned", "near", "total", "number", "piece", "key", "on"), "edges")
+    return materialise(marked.join(seen, ["job", "key"], "left").select(*LINE, "scanned", "near", "total", "number", "piece", "key", "on"), "edges")
 
 
 def _head_features(rows: pd.DataFrame) -> list[list[float]]:
@@ -237,7 +241,7 @@ def _sample(rows: DataFrame, *key: str) -> pd.DataFrame:
 
 def train_heads(edges: DataFrame) -> HeadModel:
     """From weak labels: what is printed on three pages or more of a job of three pages or more is a head, what is printed on one isn't."""
-    rows = _sample(edges.where("key IS NOT NULL AND total >= 3 AND on <> 2").drop("block", "scanned", "number"), "job", "n", "text")
+    rows = _sample(edges.where("key IS NOT NULL AND total >= 3 AND on <> 2").select("job", "n", "piece", "key", "near", "total", "on"), "job", "n", "piece")
     f = [[x[0], 0.0, 0.0, *x[3:]] for x in _head_features(rows)]
     return HeadModel(_fit(f, (rows["on"] >= 3).tolist(), S.HEAD_CASES))
 
@@ -249,7 +253,7 @@ def _fit(rows: list[list[float]], target: list[bool], cases: tuple[list[list[flo
 
 
 def furniture(edges: DataFrame, head: HeadModel) -> DataFrame:
-    """(job, block, n, text, scanned, number, head): lines with a page number or a running head, decided over whole jobs."""
+    """(job, block, n, row, scanned, number, head): lines with a page number or a running head, decided over whole jobs."""
     held = edges.sparkSession.sparkContext.broadcast(head)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,16 +261,16 @@ def furniture(edges: DataFrame, head: HeadModel) -> DataFrame:
             again = b["key"].notna() & (b["on"].fillna(0) >= 2)
             good = again.copy()
             good[again] = S.good_heads(_head_features(b[again]), held.value)
-            yield b[["job", "block", "n", "text", "scanned", "number", "key"]].assign(head=good.astype(bool))
+            yield b[[*LINE, "scanned", "number", "key"]].assign(head=good.astype(bool))
 
-    schema = "job string, block int, n int, text string, scanned boolean, number boolean, key string, head boolean"
+    schema = "job string, block int, n int, row long, scanned boolean, number boolean, key string, head boolean"
     judged = materialise(edges.mapInPandas(score, schema), "judged-lines")
     keys = judged.where("head AND length(key) >= 6").select("job", "key").distinct()
     others = judged.where("NOT head AND key IS NOT NULL").withColumn("part", F.floor(F.col("block") / 50).cast("int"))
-    others = others.join(keys.select("job").distinct(), "job", "left_semi").select("job", "part", F.lit(1).alias("after"), "key", "n", "text")
+    others = others.join(keys.select("job").distinct(), "job", "left_semi").select("job", "part", F.lit(1).alias("after"), "key", "row")
     sent = others.select("job", "part").distinct().join(keys, "job").select(
-        "job", "part", F.lit(0).alias("after"), "key", F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("text")
-    )
+        "job", "part", F.lit(0).alias("after"), "key", F.lit(None).cast("long").alias("row")
+    )
     both = sent.unionByName(others).repartition("job", "part").sortWithinPartitions("job", "part", "after")
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,26 +278,26 @@ def furniture(edges: DataFrame, head: HeadModel) -> DataFrame:
         place, held_keys, sizes = None, set(), set()
         for b in batches:
             rows = []
-            for job, part, after, key, n, text in zip(b["job"], b["part"], b["after"], b["key"], b["n"], b["text"], strict=True):
+            for job, part, after, key, row in zip(b["job"], b["part"], b["after"], b["key"], b["row"], strict=True):
                 if place != (job, part):
                     place, held_keys, sizes = (job, part), set(), set()
                 if not after:
                     held_keys.add(key)
                     sizes.add(len(key))
                 elif any(key[i : i + size] in held_keys for size in sizes for i in range(len(key) - size + 1)):
-                    rows.append((job, int(n), text))
-            yield pd.DataFrame(rows, columns=["job", "n", "text"])
+                    rows.append(int(row))
+            yield pd.DataFrame({"row": rows})
 
-    holding = both.mapInPandas(within, "job string, n int, text string").withColumn("holds", F.lit(True))
-    decided = judged.join(holding, ["job", "n", "text"], "left").withColumn("head", F.expr("head OR coalesce(holds, false)")).where("number OR head")
-    return materialise(decided.select("job", "block", "n", "text", "scanned", "number", "head"), "furniture")
+    holding = both.mapInPandas(within, "row long").withColumn("holds", F.lit(True))
+    decided = judged.join(holding, "row", "left").withColumn("head", F.expr("head OR coalesce(holds, false)")).where("number OR head")
+    return materialise(decided.select(*LINE, "scanned", "number", "head"), "furniture")
 
 
 def body_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Lines that are no furniture. The furniture of a block is brought to it as one row, so the lines stay where they lie."""
-    aside = found.groupBy("job", "block").agg(F.collect_set(F.struct("n", "text")).alias("_aside"))
+    aside = found.groupBy("job", "block").agg(F.collect_set("row").alias("_aside"))
     rows = lines.join(aside, ["job", "block"], "left")
-    return rows.where(~F.coalesce(F.array_contains("_aside", F.struct("n", "text")), F.lit(False))).drop("_aside")
+    return rows.where(~F.coalesce(F.array_contains("_aside", F.col("row")), F.lit(False))).drop("_aside")
 
 
 # --- broken words ---
@@ -302,12 +306,12 @@ def body_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
 def break_pairs(body: DataFrame, trusted: DataFrame) -> DataFrame:
     """Lines that end in a broken word, with the next line of the running text and what is known of the parts.
 
-    job, block, n, text, scanned, next_n, next_text, b, capital, f (features), y (weak label or null).
+    job, block, n, row, text, scanned, next_n, next_row, b, capital, f (features), y (weak label or null).
     """
     written = body.where("written")
     width = written.groupBy("job").agg(F.max(F.length("text")).alias("width"))
-    near = _with_neighbour(written.select(*LINE, "scanned", "copy", "broken"), ["n", "text", "copy"], after=True).where("broken AND near IS NOT NULL")
-    rows = near.join(width, "job").select(*LINE, "scanned", "width", F.col("near.n").alias("next_n"), F.col("near.text").alias("next_text"), F.coalesce("near.copy", "near.text").alias("next_copy"))
+    near = _with_neighbour(written.select(*LINE, "text", "scanned", "copy", "broken"), ["n", "row", "text", "copy"], after=True).where("broken AND near IS NOT NULL")
+    rows = near.join(width, "job").select(*LINE, "text", "scanned", "width", F.col("near.n").alias("next_n"), F.col("near.row").alias("next_row"), F.coalesce("near.copy", "near.text").alias("next_copy"))
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -316,7 +320,7 @@ def break_pairs(body: DataFrame, trusted: DataFrame) -> DataFrame:
             out = b[keep].drop(columns="next_copy")
             yield out.assign(**{c: [g[k] for g in got if g] for k, c in enumerate(("last", "b", "mark", "capital"))})
 
-    schema = "job string, block int, n int, text string, scanned boolean, width int, next_n int, next_text string, last string, b string, mark string, capital boolean"
+    schema = "job string, block int, n int, row long, text string, scanned boolean, width int, next_n int, next_row long, last string, b string, mark string, capital boolean"
     rows = materialise(rows.mapInPandas(parts, schema), "broken-lines")
     forms = F.array(F.concat("last", "b"), F.concat_ws("-", "last", "b"), F.col("last"), F.col("b"))
     asked = rows.select(F.explode(forms).alias("word")).distinct().join(trusted, "word")
@@ -330,11 +334,11 @@ def break_pairs(body: DataFrame, trusted: DataFrame) -> DataFrame:
     )
     whole, both = F.col("k0").isNotNull() | F.col("k1").isNotNull(), F.col("k2").isNotNull() & F.col("k3").isNotNull()
     y = F.when(whole, True).when(both, False)
-    return materialise(rows.select(*LINE, "scanned", "next_n", "next_text", "b", "capital", f.alias("f"), y.alias("y")), "break-pairs")
+    return materialise(rows.select(*LINE, "text", "scanned", "next_n", "next_row", "b", "capital", f.alias("f"), y.alias("y")), "break-pairs")
 
 
 def broken_words(pairs: DataFrame) -> DataFrame:
-    """(job, block, n, text, scanned, next_n, next_text, joined): the breaks that are real, with the word that is joined over them."""
+    """(job, block, n, row, scanned, next_n, next_row, joined): the breaks that are real, with the word that is joined over them."""
     rows = _sample(pairs.where("y IS NOT NULL").select("job", "n", "text", "f", "y"), "job", "n", "text")
     held = pairs.sparkSession.sparkContext.broadcast(_fit(rows["f"].tolist(), rows["y"].tolist(), S.BREAK_CASES))
 
@@ -344,9 +348,9 @@ def broken_words(pairs: DataFrame) -> DataFrame:
             good = (held.value.score(x) > 0) & ~b["capital"].to_numpy(dtype=bool) if len(b) else np.zeros(0, bool)
             out = b[good]
             words = [S.joined_word(*r) for r in out[["text", "b", "f"]].itertuples(index=False, name=None)]
-            yield out[["job", "block", "n", "text", "scanned", "next_n", "next_text"]].assign(joined=words)
+            yield out[[*LINE, "scanned", "next_n", "next_row"]].assign(joined=words)
 
-    return pairs.mapInPandas(score, "job string, block int, n int, text string, scanned boolean, next_n int, next_text string, joined string")
+    return pairs.mapInPandas(score, "job string, block int, n int, row long, scanned boolean, next_n int, next_row long, joined string")
 
 
 class Repair:
@@ -354,7 +358,7 @@ class Repair:
 
     def __init__(self, text_lines: DataFrame):
         self.lines, self.words = read_lines(text_lines)
-        self.tokens = materialise(token_words(self.lines, self.words), "token-words")
+        self.tokens = materialise(token_words(self.words), "token-words")
         types = self.tokens.groupBy("word").agg(F.sum("native").alias("native"), F.sum("ocr").alias("ocr"))
         self.types = materialise(types, "word-types")
         spelled = self.types.where((F.col("native") >= 2) & F.col("word").rlike(r"^[\p{L}]+(-[\p{L}]+)*$"))
@@ -368,14 +372,13 @@ class Repair:
         self.breaks = materialise(broken_words(break_pairs(body_lines(self.lines, self.aside), self.trusted)), "broken-words")
 
     def misread(self) -> DataFrame:
-        """(job, n, text, word, replacement) on scanned lines. Few pieces have a correction; they go to the lines."""
+        """(job, n, row, word, replacement) on scanned lines. Few pieces have a correction; they go to the lines."""
         few = materialise(self.tokens.where("ocr > 0").join(self.fixes, "word").select("token", "word", "replacement"), "token-corrections")
-        each = self.words.select("job", "n", "text", F.explode(F.array_distinct("tokens")).alias("token")).join(few, "token")
-        return each.join(self.lines.where("scanned").select("job", "n", "text"), ["job", "n", "text"], "left_semi")
+        return self.words.where("scanned").select("job", "n", "row", F.explode("tokens").alias("token")).join(few, "token").drop("token")
 
     def kinds(self) -> DataFrame:
         """(job_id, line_number, kind) of all four kinds, on scanned lines."""
-        tell = lambda rows, kind: rows.select("job", "n", "text", F.lit(kind).alias("kind"))
+        tell = lambda rows, kind: rows.select("job", "n", F.lit(kind).alias("kind"))
         aside = self.aside.where("scanned")
         found = (
             tell(self.misread(), "misread")
@@ -392,15 +395,15 @@ class Repair:
         paragraph ends at an empty line within a page, or at a line that ends a sentence well short of the full width.
         Born-digital lines are joined as well but their words stay.
         """
-        fixes = self.misread().groupBy("job", "n", "text").agg(F.map_from_entries(F.collect_set(F.struct("word", "replacement"))).alias("fixes"))
-        ends = self.breaks.select("job", "n", "text", F.lit(True).alias("ends"))
-        begins = self.breaks.select("job", F.col("next_n").alias("n"), F.col("next_text").alias("text"), "joined")
-        changes = fixes.join(ends, ["job", "n", "text"], "full").join(begins, ["job", "n", "text"], "full")
-        per_block = changes.withColumn("block", F.floor(F.col("n") / BLOCK).cast("int")).groupBy("job", "block")
-        per_block = per_block.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("n", "text").alias("at"), F.struct("fixes", "ends", "joined").alias("change")))).alias("_changes"))
+        fixes = self.misread().groupBy("job", "n", "row").agg(F.map_from_entries(F.collect_set(F.struct("word", "replacement"))).alias("fixes"))
+        ends = self.breaks.select("job", "n", "row", F.lit(True).alias("ends"))
+        begins = self.breaks.select("job", F.col("next_n").alias("n"), F.col("next_row").alias("row"), "joined")
+        changes = fixes.join(ends, ["job", "n", "row"], "full").join(begins, ["job", "n", "row"], "full")
+        per_block = changes.groupBy("job", F.floor(F.col("n") / BLOCK).cast("int").alias("block"))
+        per_block = per_block.agg(F.map_from_entries(F.collect_list(F.struct("row", F.struct("fixes", "ends", "joined").alias("change")))).alias("_changes"))
         body = body_lines(self.lines, self.aside)
         width = body.where("written").groupBy("job").agg(F.max(F.length("text")).alias("width"))
-        rows = body.join(per_block, ["job", "block"], "left").withColumn("c", F.try_element_at("_changes", F.struct("n", "text"))).drop("_changes")
+        rows = body.join(per_block, ["job", "block"], "left").withColumn("c", F.try_element_at("_changes", F.col("row"))).drop("_changes")
         flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
         new = F.when(F.col("c").isNull(), flat).otherwise(_repaired("text", "c.fixes", F.coalesce("c.ends", F.lit(False)), "c.joined"))
         rows = rows.withColumn("new", new).join(width, "job", "left")
@@ -408,9 +411,9 @@ class Repair:
         closes = F.col("written") & ~ends_here & F.col("new").rlike(r"[.!?:]$") & (F.length("text") < 0.75 * F.col("width"))
         rows = materialise(rows.select(*LINE, "written", "new", ends_here.alias("ends"), closes.alias("closes"), ((F.col("top") > 1) & (F.col("foot") > 1)).alias("inner")), "body")
         rows = rows.repartition("job", "block")
-        before = Window.partitionBy("job", "block").orderBy("n", "text").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("job", "block").orderBy("n", "row").rowsBetween(Window.unboundedPreceding, -1)
         by_block = Window.partitionBy("job").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        last = rows.where("written").groupBy("job", "block").agg(F.max_by("ends", F.struct("n", "text")).alias("e"))
+        last = rows.where("written").groupBy("job", "block").agg(F.max_by("ends", F.struct("n", "row")).alias("e"))
         every = rows.select("job", "block").distinct().join(last, ["job", "block"], "left")
         every = every.select("job", "block", F.last("e", ignorenulls=True).over(by_block).alias("_open"))
         rows = rows.join(every, ["job", "block"]).withColumn("open", F.coalesce(F.last(F.when(F.col("written"), F.col("ends")), ignorenulls=True).over(before), "_open", F.lit(False)))
@@ -419,7 +422,7 @@ class Repair:
         sums = rows.groupBy("job", "block").agg(F.sum("mark").alias("m"))
         sums = sums.select("job", "block", F.coalesce(F.sum("m").over(by_block), F.lit(0)).alias("_before"))
         rows = rows.join(sums, ["job", "block"]).withColumn("part", F.col("_before") + F.coalesce(F.sum("mark").over(before), F.lit(0)))
-        listed = F.array_sort(F.collect_list(F.struct("n", "text", "new")))
+        listed = F.array_sort(F.collect_list(F.struct("n", "row", "new")))
         out = rows.where("written AND new <> ''").groupBy("job", "part").agg(F.min("n").alias("n"), F.array_join(F.transform(listed, lambda x: x["new"]), " ").alias("paragraph"))
         return out.select(F.expr("nullif(job, '')").alias("job_id"), F.expr("nullif(n, -1)").alias("line_number"), "paragraph")
 
