@@ -23,5 +23,11 @@ def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mask_lines(lines, S.train(lines)).select("job_id", "line_number", "masked_text", "kinds")
 
 
-QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked}
+def p2_masked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit with the readable values of its fields replaced by placeholders."""
+    hits = table(spark, sf_dir, "dlp_hits").select("hit_id", "job_id", "line_number", "masked_text", "match_hmac")
+    return S.mask_hits(hits, S.train(table(spark, sf_dir, "text_lines"))).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked, "p2_masked_hits": p2_masked_hits}
 SQL: dict[str, str] = {}

@@ -19,6 +19,11 @@ import numpy as np
 from inkwarden.llm.unicode_forms import LOOKALIKES
 
 KINDS = ("email", "phone", "national_id", "address", "name")
+LABELLERS = {
+    "email": ("tld", "local", "sign"), "phone": ("format", "cue", "bad"), "national_id": ("format", "cue", "bad", "tel"),
+    "address": ("cue", "tail", "start", "number"), "name": ("family", "given", "title", "cue", "after", "ordinary"),
+}
+STATED = 3  # times each single vote is among what the classifier is fitted on
 BREAK = "\x00"  # between documents; no pattern crosses it
 
 # --- a copy of the text in which look-alike forms are plain, with the place of each character in the original ---
@@ -112,6 +117,7 @@ GIVEN = frozenset(
     anders ravi samir hamid idris kofi emre david peter paul john james robert michael daniel martin simon ivan carlos""".split()
 )
 
+_PLACE = re.compile(_STREET + r"|building|house|hall|office|centre|center|park|bridge|station", re.I)
 _NEXT = re.compile(r"\W*(\w+)?\W*(\w+)?")
 _BEFORE = re.compile(r"(\w+)?\W*(\w+)?([^\w\n]*\n?[^\w\n]*)$")
 
@@ -139,13 +145,14 @@ def _around(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-_ID_CUES = frozenset("ssn nhs ni number no hold quotes identity id card insurance social form".split())
-_ID_BAD = frozenset("order invoice part lot file item reference".split())
-_PHONE_CUES = frozenset("tel t phone dial call on fax mobile left telephone ring reached".split())
-_PHONE_BAD = frozenset("order invoice form part lot file item reference card use total between quotes hold number".split())
-_PLACE_CUES = frozenset("to address visited at goes record went".split())
-_NAME_AFTER = frozenset("called and on about closed".split())
-_NAME_CUES = frozenset("dear by with for attendee signed".split())
+# Words of general use before (or after) a value that speak for or against it.
+_ID_CUES = frozenset("ssn nhs ni nino number no identity id insurance social security national".split())
+_ID_BAD = frozenset("order invoice part lot file item reference ref case ticket".split())
+_PHONE_CUES = frozenset("tel telephone t phone dial call fax mobile cell ring reach reached contact".split())
+_PHONE_BAD = frozenset("order invoice form part lot file item reference ref card account".split())
+_PLACE_CUES = frozenset("to at in near from address visited lives".split())
+_NAME_AFTER = frozenset("called and wrote said".split())
+_NAME_CUES = frozenset("dear by with for from attendee signed regards sincerely cc".split())
 
 
 def _emails(text: str) -> Iterable[Span]:
@@ -229,7 +236,6 @@ def _numbers(text: str) -> Iterable[Span]:
                 "format": 1 if not t.isdigit() or t.startswith("0") else -1,
                 "cue": 1 if before & _PHONE_CUES else 0,
                 "bad": -1 if before & _PHONE_BAD else 0,
-                "fiction": 1 if re.search(r"555.?01\d\d|7700.?900|7946.?0|1632.?96|23125|99.?00", t) else 0,
             }
             if len(digits) >= 13 and luhn_valid(digits) and not t.startswith(("+", "00")):
                 votes["bad"] = -1
@@ -258,8 +264,8 @@ def _addresses(text: str) -> Iterable[Span]:
         before = {around[0][3:], *around[1][3:].split(" ")}
         f = [f"shape={shape}", "flat" if m.group("flat") else "no_flat", "tail" if tail and tail.group() else "no_tail"]
         votes = {
-            "cue": 1 if before & _PLACE_CUES else 0, "tail": 1 if tail and tail.group() else 0,
-            "works": -1 if around[3] == "a1=works" else 0, "start": 1 if "line_start" in around else 0,
+            "cue": 1 if before & _PLACE_CUES else 0, "tail": 1 if tail and tail.group() else 0, "start": 1 if "line_start" in around else 0,
+            "number": 1 if m.group("flat") or m.group("house") or m.group("box") else 0,
         }
         yield Span(m.start(), end, "address", f + around, votes)
 
@@ -423,7 +429,7 @@ def _names(text: str, g: Gazetteer) -> Iterable[Span]:
             "given": 1 if "G" in shape else (0 if "T" in shape or "I" in shape else -1),
             "title": 1 if shape[0] == "T" else 0,
             "cue": 1 if around[0][3:] in _NAME_CUES else 0,
-            "after": 1 if around[3][3:] in _NAME_AFTER else (-1 if around[3][3:] in ("works", "depot", "annex", "street", "road") else 0),
+            "after": 1 if around[3][3:] in _NAME_AFTER else (-1 if _PLACE.fullmatch(around[3][3:]) else 0),
             "ordinary": -1 if "O" in shape and (shape[0] == "O" or shape[0] == "G" and not tokens[b][2][1:].islower()) else 0,
         }
         yield Span(start, end, "name", [f"roles={shape}", f"upper={upper}", f"end={tokens[b][2][-4:].lower()}", *around], votes)
@@ -461,10 +467,8 @@ class Model:
     weights: dict[str, dict[str, float]]
 
     def keeps(self, s: Span) -> bool:
-        w = self.weights.get(s.kind)
-        if w is None:
-            return sum(s.votes.values()) > 0
-        return w["bias"] + sum(w.get(f, 0.0) for f in s.features) + sum(w.get(f"{k}:{v}", 0.0) for k, v in s.votes.items()) > 0
+        w = self.weights[s.kind]
+        return w["bias"] + sum(w.get(f, 0.0) for f in s.features) + sum(w.get(f"{k}:{v}", 0.0) for k, v in s.votes.items() if v) > 0
 
 
 def _fit_logistic(rows: list[list[str]], target: np.ndarray, rounds: int = 60, decay: float = 2e-3) -> dict[str, float]:
@@ -493,13 +497,15 @@ def train(text: str, g: Gazetteer | None = None) -> Model:
     for s in candidates(text, g):
         by_kind[s.kind].append(s)
     weights = {}
-    for kind, spans in by_kind.items():
-        if len(spans) < 30:
-            continue
-        names = sorted(spans[0].votes)
-        votes = np.array([[s.votes.get(k, 0) for k in names] for s in spans])
+    for kind in KINDS:
+        spans = by_kind[kind]
+        names = LABELLERS[kind]
+        # beside the spans, every way a single labeller can vote: what a kind of few spans is decided by
+        alone = [{n: v} for n in names for v in (1, -1)] * STATED
+        held = [s.votes for s in spans] + alone
+        votes = np.array([[v.get(k, 0) for k in names] for v in held])
         q = reliabilities(votes)
-        rows = [s.features + [f"{k}:{v}" for k, v in s.votes.items()] for s in spans]
+        rows = [(s.features if s else []) + [f"{k}:{x}" for k, x in v.items() if x] for s, v in zip([*spans, *[None] * len(alone)], held, strict=True)]
         weights[kind] = _fit_logistic(rows, q)
     return Model(g, weights)
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwarden.llm import personal_data as P
 from inkwarden.session import materialise
@@ -138,7 +139,8 @@ def train(lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> P.Model:
     g = P.induce(Counts(materialise(count_names(lines), "name-counts")))
     parts = max(1, math.ceil(lines.count() / sample_lines))
     some = lines.where(F.pmod(F.xxhash64(F.coalesce("job_id", F.lit(""))), F.lit(parts)) == 0)
-    rows = some.select(*COLUMNS, F.lit(0).alias("chunk")).limit(2 * sample_lines).toPandas()
+    order = some.orderBy(F.xxhash64("job_id"), "job_id", "line_number", "text")  # the same lines each time, should they be too many
+    rows = order.select(*COLUMNS, F.lit(0).alias("chunk")).limit(2 * sample_lines).toPandas()
     rows = rows.dropna(subset=["text"]).sort_values(["job_id", "line_number", "text"])
     return P.train("\n".join(reading_order(_groups(rows))[0] if len(rows) else []), g)
 
@@ -197,10 +199,17 @@ def mask_lines(lines: DataFrame, model: P.Model) -> DataFrame:
     return chunks(lines).mapInPandas(lambda b: by_chunk(b, work), schema)
 
 
-def readable_values(hits: DataFrame) -> DataFrame:
-    """Fields of hits that aren't protected as they should be: no pure mask (a tail of four stays allowed), no digest."""
+def _readable() -> tuple:
+    """Whether masked_text, and whether match_hmac, isn't protected as it should be: no pure mask (a tail of four stays
+    allowed), no digest."""
     masked = F.col("masked_text").rlike(r"[\p{L}\p{Nd}]") & ~F.col("masked_text").rlike(r"^[^\p{L}\p{Nd}]*[\p{L}\p{Nd}]{0,4}$")
     digest = F.col("match_hmac").rlike(r"\S") & ~F.col("match_hmac").rlike(r"^\s*[0-9a-fA-F]{32}\s*$")
+    return masked, digest
+
+
+def readable_values(hits: DataFrame) -> DataFrame:
+    """(job_id, line_number, field_name, value) of the fields of hits that show a readable value."""
+    masked, digest = _readable()
     fields = F.array(
         F.when(masked, F.struct(F.lit("masked_text").alias("field_name"), F.col("masked_text").alias("value"))),
         F.when(digest, F.struct(F.lit("match_hmac").alias("field_name"), F.col("match_hmac").alias("value"))),
@@ -210,6 +219,34 @@ def readable_values(hits: DataFrame) -> DataFrame:
     )
 
 
+def _bare(copy: str) -> str:
+    """The value itself in the scanning copy of a field."""
+    return copy.removeprefix("raw:").strip("[]• \t")
+
+
+def mask_hits(hits: DataFrame, model: P.Model) -> DataFrame:
+    """hits with the readable values in masked_text and match_hmac replaced by placeholders; protected fields, and what is
+    readable but no personal information, stay as they are."""
+    held = hits.sparkSession.sparkContext.broadcast(model)
+
+    def masked(values: pd.Series) -> pd.Series:
+        out = values.copy()
+        for i in values.index[values.notna()]:
+            value = values[i]
+            copy = P.scan_copy(value)
+            bare = _bare(copy)
+            at, places = copy.find(bare), P.scan_places(value)
+            for _, start, _, end, kind in sorted(P.find([bare], held.value), reverse=True):
+                out[i] = out[i][: places[at + start]] + P.placeholder(kind) + out[i][places[at + end] :]
+        return out
+
+    fix = F.pandas_udf(masked, T.StringType()).asNondeterministic()
+    for name, open_ in zip(("masked_text", "match_hmac"), _readable(), strict=True):
+        readable = F.coalesce(open_, F.lit(False))
+        hits = hits.withColumn("_fixed", fix(F.when(readable, F.col(name)))).withColumn(name, F.coalesce("_fixed", name)).drop("_fixed")
+    return hits
+
+
 def find_in_hits(hits: DataFrame, model: P.Model) -> DataFrame:
     """(job_id, line_number, field_name, kind) of hits with a readable value."""
     held = hits.sparkSession.sparkContext.broadcast(model)
@@ -218,8 +255,7 @@ def find_in_hits(hits: DataFrame, model: P.Model) -> DataFrame:
         for batch in batches:
             lines: list[str] = []
             for value in batch["value"]:
-                text = P.scan_copy(value)
-                lines += [text.removeprefix("raw:").strip("[]• \t"), P.BREAK]
+                lines += [_bare(P.scan_copy(value)), P.BREAK]
             rows = [(line // 2, kind) for line, _, _, _, kind in P.find(lines, held.value)]
             at = batch.iloc[[r[0] for r in rows]]
             yield at[["job_id", "line_number", "field_name"]].assign(kind=[r[1] for r in rows])

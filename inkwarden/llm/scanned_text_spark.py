@@ -93,6 +93,7 @@ def token_words(words: DataFrame) -> DataFrame:
     each = words.select("scanned", F.explode("tokens").alias("token"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     types = each.groupBy("token").agg(count(~F.col("scanned")).alias("native"), count(F.col("scanned")).alias("ocr"))
+    types = materialise(types, "tokens")  # or the words would be made, and judged, before counting
     word = F.lower(F.regexp_replace("token", r"(?U)^[^\w@]+|[^\w@]+$", ""))
     return types.select("token", word.alias("word"), "native", "ocr").where(wordlike(F.col("word")))
 

@@ -200,6 +200,16 @@ def test_hits(spark):
     df = spark.createDataFrame([("j", i, *r) for i, r in enumerate(rows)], "job_id string, line_number int, masked_text string, match_hmac string")
     got = {(r.line_number, r.field_name, r.kind) for r in PS.find_in_hits(df, MODEL).collect()}
     assert got == {(1, "masked_text", "national_id"), (4, "masked_text", "email"), (4, "match_hmac", "phone")}
+    out = {r.line_number: (r.masked_text, r.match_hmac) for r in PS.mask_hits(df.withColumn("_fixed2", F.lit(1)), MODEL).collect()}
+    assert out[1] == ("•• [NATIONAL_ID]", "RAW") and out[4] == ("[[EMAIL]]", "raw:[PHONE]")
+    assert {k: v for k, v in out.items() if k in (0, 2, 3, 5)} == {k: rows[k] for k in (0, 2, 3, 5)}
+
+
+def test_few_spans_are_decided_by_the_labellers():
+    few = P.train("write to a.b@example.org or call tel 020 7946 0123 now")
+    kinds_of = lambda x: [k for *_, k in P.find([x], few)]
+    assert set(few.weights) == set(P.KINDS)
+    assert kinds_of("mail x.y@example.com") == ["email"] and kinds_of("tel 020 8123 4567") == ["phone"] and kinds_of("nothing here") == []
 
 
 # --- scanned text ---
