@@ -97,18 +97,15 @@ def frequent_items(hits: DataFrame, columns: list[str], key: str, share: float =
         .select("field_name", "item", "count", (F.col("count") + F.col("removed")).alias("count_upper")),
         "frequent",
     )
-    exact = None
-    for c in columns:
-        # at most (1 + slack) / share candidates per column: a proven bound on what is broadcast
-        few = F.broadcast(found.where(F.col("field_name") == c).select(F.col("item").alias(c)))
-        one = (
-            clean.join(few, c)
-            .select(F.lit(c).alias("field_name"), F.col(c).alias("item"), key)
-            .distinct()
-            .groupBy("field_name", "item")
-            .agg(F.count(F.lit(1)).alias("exact_count"))
-        )
-        exact = one if exact is None else exact.unionByName(one)
+    # at most (1 + slack) / share candidates per column: a proven bound on what is broadcast
+    values = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("item")) for c in columns])
+    exact = (
+        clean.select(key, F.inline(values))
+        .join(F.broadcast(found.select("field_name", "item")), ["field_name", "item"])
+        .distinct()
+        .groupBy("field_name", "item")
+        .agg(F.count(F.lit(1)).alias("exact_count"))
+    )
     return (
         found.join(exact, ["field_name", "item"])
         .where(F.col("exact_count") >= share * keys)

@@ -51,7 +51,7 @@ def read_lines(text_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.lower(F.trim("source")) == "ocr", F.lit(False)).alias("scanned"),
     )
     rows = rows.repartition("job", "block").dropDuplicates(["job", "block", "n", "text"])
-    plain = F.col("text").rlike(r"^[\t\n\f\r\x20-\x7e]*$")
+    plain = F.col("text").rlike(r"^[\t\n\f\r\x20-\x7e]*\z")
     ends = F.col("text").rlike(rf"(?U)[{S.MARKS}]\s*$")  # most lines need no look at their words
     rows = rows.withColumns(
         {

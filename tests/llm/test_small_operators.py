@@ -61,6 +61,16 @@ def test_forms():
     assert U.kinds_of("a　b") == ["space"] and U.kinds_of("cаt") == ["lookalike"] and U.kinds_of("Η σύμβαση") == []
 
 
+def test_kinds_in_the_jvm_are_those_of_the_definition(spark):
+    rng = random.Random(8)
+    odd = "Ａｚ\u0301\u0308\u200b\u00ad\u2060\ufeff\u00a0\u2009\u3000\t\u0085\u2028аеорсΑοԱօᎠᏟßéđ½№…中文русский \u200d\u200e"
+    texts = ["".join(rng.choice(odd + "abc XYZ 12 ,.") for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["", "plain", "cаt", "Договор", "ՕK", "Ꭰog"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.kinds for r in U.normalise(df, "text").select("i", "kinds").collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != U.kinds_of(t)] == []
+    assert U.consistent("Ꭰog ՕK") == "dog ok"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_forms_are_stable(text):
