@@ -33,7 +33,7 @@ _DIGITS = "".join(chr(ord(z) + k) for z in _ZEROS for k in range(10))
 
 def digits_of(value: Column) -> Column:
     """Decimal digits only; those of other scripts count as their ASCII forms. Plain text is not translated."""
-    ascii_form = F.when(value.rlike(r"^[\x00-\x7F]*$"), value).otherwise(F.translate(value, _DIGITS, "0123456789" * len(_ZEROS)))
+    ascii_form = F.when(value.rlike(r"^[\x00-\x7F]*\z"), value).otherwise(F.translate(value, _DIGITS, "0123456789" * len(_ZEROS)))
     return F.regexp_replace(ascii_form, "[^0-9]", "")
 
 
@@ -105,7 +105,7 @@ def _normalised(values: pd.Series) -> pd.Series:
 
 def normalise(value: Column) -> Column:
     """As :func:`normalised`; values of plain ASCII never leave the JVM."""
-    ascii_only = value.rlike(r"^[\x00-\x7F]*$")
+    ascii_only = value.rlike(r"^[\x00-\x7F]*\z")
     return F.when(ascii_only, F.regexp_replace(F.lower(value), "[^a-z0-9]", "")).otherwise(_normalised(F.when(~ascii_only, value)))
 
 
