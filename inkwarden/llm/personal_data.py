@@ -510,6 +510,7 @@ def train(text: str, g: Gazetteer | None = None) -> Model:
     return Model(g, weights)
 
 
+_COUNTED = re.compile(r"\d+|\b[ivxl]+\b")
 _PAGE_MARK = re.compile(r"\W*(?:(?:page|seite|p\.?|pg\.?|blatt|sheet)\s*)?(?:\d{1,4}|[ivxl]{1,6})(?:\s*(?:/|of|von|de|sur)\s*\d{1,4})?\W*", re.I)
 
 
@@ -518,16 +519,15 @@ def furniture(texts: list[str], pages: list[int], from_top: list[int], from_foot
 
     Only to let a value go on over a page break; no line is lost to the search by it.
     """
-    edge = [bool(t.strip()) and (a < depth or b < depth) for t, a, b in zip(texts, from_top, from_foot, strict=True)]
-    key = [re.sub(r"\d+|\b[ivxl]+\b", "9", t.lower()).strip() if e else "" for t, e in zip(texts, edge, strict=True)]
+    edge = [(a < depth or b < depth) and bool(t.strip()) for t, a, b in zip(texts, from_top, from_foot, strict=True)]
+    key = [_COUNTED.sub("9", t.lower()).strip() if e else "" for t, e in zip(texts, edge, strict=True)]
     on = defaultdict(set)
     for k, e, p in zip(key, edge, pages, strict=True):
         if e:
             on[k].add(p)
     out = []
     for t, k, e, a, b in zip(texts, key, edge, from_top, from_foot, strict=True):
-        mark = e and (bool(_PAGE_MARK.fullmatch(t)) or t.strip().isupper() and len(t.split()) <= 2)
-        out.append(e and (mark or len(on[k]) > 1 or "|" in t and (a < 2 or b < 2)))
+        out.append(e and (len(on[k]) > 1 or "|" in t and (a < 2 or b < 2) or bool(_PAGE_MARK.fullmatch(t)) or t.strip().isupper() and len(t.split()) <= 2))
     return out
 
 

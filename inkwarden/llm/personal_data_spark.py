@@ -54,15 +54,25 @@ def _groups(rows: pd.DataFrame) -> list[pd.DataFrame]:
     return [rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _ints(g: pd.DataFrame, column: str, missing: int) -> list[int]:
+    """One column of a group as plain numbers; a group is small, and a frame's own means cost more than the work."""
+    return [missing if v is None or v != v else int(v) for v in g[column].to_numpy().tolist()]
+
+
+def _own(g: pd.DataFrame) -> list[bool]:
+    """Lines of the group's own block; the others overlap from its neighbours."""
+    return [n // CHUNK == c for n, c in zip(_ints(g, "line_number", -1), g["chunk"].to_numpy().tolist(), strict=True)]
+
+
 def reading_order(groups: list[pd.DataFrame]) -> tuple[list[str], list[tuple[int, int]]]:
     """Scanning copies of all lines, page furniture after the text of its document, and (group, row) of each."""
     lines: list[str] = []
     where: list[tuple[int, int]] = []
     for k, g in enumerate(groups):
-        texts = [P.scan_copy(t) for t in g["text"]]
-        top = g["line_on_page"].fillna(99).astype(int)
-        foot = g["lines_on_page"].fillna(199).astype(int) - 1 - top
-        aside = P.furniture(texts, g["page_number"].tolist(), top.tolist(), foot.tolist())
+        texts = [P.scan_copy(t) for t in g["text"].to_numpy()]
+        top = _ints(g, "line_on_page", 99)
+        foot = [n - 1 - t for n, t in zip(_ints(g, "lines_on_page", 199), top, strict=True)]
+        aside = P.furniture(texts, g["page_number"].to_numpy().tolist(), top, foot)
         for wanted in (False, True):
             for i, t in enumerate(texts):
                 if aside[i] == wanted:
@@ -81,7 +91,7 @@ def count_names(lines: DataFrame) -> DataFrame:
 
     def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
         texts, where = reading_order(groups)
-        held = [((g["line_number"].fillna(-1) // CHUNK) == g["chunk"]).tolist() for g in groups]
+        held = [_own(g) for g in groups]
         starts = [0, *itertools.accumulate(len(x) + 1 for x in texts)]
 
         def own(place: int) -> bool:
@@ -151,11 +161,16 @@ def find_in_lines(lines: DataFrame, model: P.Model) -> DataFrame:
 
     def work(groups: list[pd.DataFrame]) -> pd.DataFrame:
         texts, where = reading_order(groups)
-        rows = []
+        rows, places = [], {}
         for line, _, _, _, kind in P.find(texts, held.value):
             k, i = where[line]
-            if i >= 0 and groups[k]["line_number"].iloc[i] // CHUNK == groups[k]["chunk"].iloc[i]:
-                rows.append((groups[k]["job_id"].iloc[i], int(groups[k]["line_number"].iloc[i]), kind))
+            if i < 0:
+                continue
+            if k not in places:
+                places[k] = _own(groups[k]), groups[k]["job_id"].iloc[0], _ints(groups[k], "line_number", -1)
+            own, job, number = places[k]
+            if own[i]:
+                rows.append((job, number[i] if number[i] >= 0 else None, kind))
         return pd.DataFrame(rows, columns=["job_id", "line_number", "kind"])
 
     found = chunks(lines).mapInPandas(lambda b: by_chunk(b, work), "job_id string, line_number int, kind string")
