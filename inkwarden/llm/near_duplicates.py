@@ -1,28 +1,32 @@
 """Groups of records whose texts are nearly the same, found without comparing all pairs.
 
 Exact set-similarity join on word shingles (Jaccard). Texts with one and the same shingle set are one class, so copies
-never meet each other. Shingles are ordered rarest first; two alike sets must share several of the rarest shingles of
-both (prefix principle, the prefix extended so that more than one must be shared). Shared shingles are found along two ways:
+never meet each other. The sets are dealt to blocks, and each two blocks meet in one task (:mod:`inkwarden.llm.set_tiles`).
+There, shingles are ordered rarest first by their counts in the two blocks; two alike sets must share one of the rarest
+shingles of both (prefix principle):
 
-* *light* shingles (rare) by scanning their inverted lists;
-* *heavy* shingles (frequent): a small set enumerates the 2-subsets of the heavy shingles of its prefix and meets other
-  small sets on equal subsets; a large set, whose subsets would be too many, scans the inverted lists of the single
-  heavy shingles instead, against all sets.
+* *small* sets, whose lists of these shingles are short, scan the inverted lists, among the sets of fitting size only;
+* *large* ones, whose lists together hold more sets than there are of fitting size, meet each of these once instead.
 
-Both boundaries, between light and heavy shingles and between small and large sets, are those of least estimated cost, from
-the counts of the whole collection. Lists are met block by block, so a shingle of very many sets is the work of many tasks.
-Candidates that share enough are verified on the whole sets. No list, set or candidate is cut short.
+So a shingle of very many sets costs no more than a look at the sketches of all sets of fitting size. Pairs whose places or
+sketches leave it open whether they share enough are compared on the whole sets. No list, set or pair is cut short.
+Only alike pairs leave a task: nothing that grows with the pairs met is shuffled or written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwarden.llm import set_tiles
 from inkwarden.session import discard, materialise
 
 CUTS = (1, 4, 16, 64, 256, 1024, 4096, 16_384, 65_536, 1 << 40)
-BLOCK = 512  # sets of a list that meet in one task
+BLOCK = 4096  # sets of a file; a task reads whole files
+SHINGLES = 4_000_000  # of a block, about: two blocks are held by a task
 
 
 def words(text: Column) -> Column:
@@ -43,121 +47,73 @@ def shingles(w: Column, size: int) -> Column:
 
 
 def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(membership: key, class_id) and (sets: class_id, set_id, grams, n).
+    """(membership: key, class_id) and (sets: class_id, set_id).
 
     A class holds the records of one and the same shingle set; its id is the least key. Records whose text is null or
     too short for one shingle belong to no class. A key with several texts belongs to the class of each. Texts are read
-    where they lie and never shuffled: only their shingles leave the scan.
+    where they lie and never shuffled, and neither are their shingles: these are written once, in the order of the scan,
+    in files of BLOCK rows, and the files of that table (``sets._grams``) are read again where sets meet. What is
+    shuffled is the key and two 64-bit sums of the set, of one seed each.
     """
     w = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("_words"))
     grams = w.select("_key", F.array_sort(shingles(F.col("_words"), size)).alias("grams")).where(F.size("grams") > 0)
-    read = materialise(grams.withColumn("_set", F.sha2(F.to_json("grams"), 256)), "grams")
-    least = read.groupBy("_set").agg(F.min("_key").alias("class_id"))
-    membership = materialise(read.select("_key", "_set").join(least, "_set").select(F.col("_key").alias(key), "class_id", "_set").distinct(), "classes")
-    # the member that gave the class its name brings the set along; if it came several times, one of its rows does
-    own = read.join(least.select("_set", F.col("class_id").alias("_key")), ["_set", "_key"]).dropDuplicates(["_set"])
-    sets = own.select(F.col("_key").alias("class_id"), F.monotonically_increasing_id().alias("set_id"), "grams", F.size("grams").alias("n"))
-    sets = materialise(sets, "sets")
-    discard(read)
-    return membership.drop("_set"), sets
-
-
-def _ceil(x: Column) -> Column:
-    return F.ceil(x - F.lit(1e-9)).cast("int")
-
-
-def _overlap(n: Column, threshold: float) -> Column:
-    """The least overlap of a pair that reaches the threshold if the smaller set has n."""
-    return F.greatest(F.lit(1), _ceil(n * F.lit(2 * threshold / (1 + threshold))))
-
-
-def _need(n: Column, spare: float, threshold: float) -> Column:
-    """How many shingles of the prefixes must be shared if the smaller set has n; never more than the overlap asked for."""
-    return F.least(F.greatest(F.lit(2), F.floor(n * F.lit(spare)).cast("int") + 1), _overlap(n, threshold))
-
-
-def candidates(sets: DataFrame, threshold: float, spare: float = 0.06) -> DataFrame:
-    """(low, high) set ids, low being the smaller set, of every pair that can reach the threshold."""
-    frequency = sets.select(F.explode("grams").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    frequency = materialise(frequency.withColumn("gram", F.monotonically_increasing_id()), "frequencies")  # small numbers travel lighter than hashes
-    # A shingle of one set only can't be shared, but keeps its place at the head of the order: it shortens the prefix.
-    shared = sets.select("set_id", "n", F.explode("grams").alias("hash")).join(frequency, "hash")
-    listed = shared.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("listed"))
-    n, t = F.col("n"), F.lit(threshold)
-    alone = F.col("n") - F.size("listed")
-    need = _need(n, spare, threshold)
-    # with an overlap of a and k shared shingles wanted, n - a + k shingles at the head suffice
-    as_larger = F.greatest(F.lit(0), n - _ceil(n * t) + need - alone)
-    as_smaller = F.greatest(F.lit(0), n - _ceil(n * F.lit(2 * threshold / (1 + threshold))) + need - alone)
-    heads = listed.select(
-        "set_id", "n", F.size("listed").alias("m"), F.slice("listed", F.lit(1), as_larger).alias("head"), as_smaller.cast("int").alias("short")
-    ).where((F.size("head") > 0) & (F.size("listed") >= _ceil(n * t)))
-    heads = materialise(heads, "heads")
-    cut, large = boundaries(heads)
-    heavy_count = F.size(F.filter("head", lambda x: x["df"] > F.lit(cut)))
-    # a set that needs one shared shingle only has no 2-subset to meet by: its single heavy shingles are scanned
-    split = heads.withColumn("is_large", (heavy_count > large) | (_overlap(n, threshold) == 1))
-
-    tokens = split.select("set_id", "n", "m", "short", "is_large", F.posexplode("head").alias("pos", "t")).select(
-        "set_id", "n", "m", "is_large", "pos", (F.col("pos") < F.col("short")).alias("first"), F.col("t.df").alias("df"), F.col("t.gram").alias("gram")
-    )
-    light, heavy = tokens.where(F.col("df") <= cut), tokens.where(F.col("df") > cut)
-    ways = [_meet(light, light, ["gram"], threshold, "light")] if cut > 1 else []
-    if cut < CUTS[-1]:
-        big, small = heavy.where("is_large"), heavy.where("NOT is_large")
-        pairs = _subsets(split.where("NOT is_large"), cut)
-        ways += [
-            _meet(big, heavy, ["gram"], threshold, "listed"),
-            _meet(small, big, ["gram"], threshold, "listed"),
-            _meet(pairs, pairs, ["gram", "gram2"], threshold, "subsets"),
-        ]
-    met = ways[0]
-    for way in ways[1:]:
-        met = met.unionByName(way)
-    amount = lambda way: F.sum(F.when(F.col("way") == way, 1).otherwise(0))
-    pairs = met.groupBy("low", "high", "n_low").agg(
-        (amount("light") + amount("listed")).alias("single"), amount("listed").alias("listed"), amount("subsets").alias("twos")
-    )
-    # s shared heavy shingles of two small sets meet s(s-1)/2 times; one alone doesn't meet, so it is granted
-    by_subset = F.when(F.col("listed") > 0, 0).when(F.col("twos") > 0, F.ceil((1 + F.sqrt(1 + 8 * F.col("twos"))) / 2)).otherwise(
-        F.lit(1 if cut < CUTS[-1] else 0)
-    )
-    return pairs.where(F.col("single") + by_subset >= _need(F.col("n_low"), spare, threshold)).select("low", "high")
-
-
-def _meet(left: DataFrame, right: DataFrame, on: list[str], threshold: float, way: str) -> DataFrame:
-    """Pairs (smaller set from ``left``) that have an equal shingle, or subset, at the head.
-
-    The right side of a list is dealt to blocks of about BLOCK sets, and the left side goes to each of them; the document
-    frequency bounds the length of a list, so nothing has to be counted for it. Pairs are left out whose sizes, or whose
-    shareable shingles before and after the place they meet at, can't give the overlap.
+    sums = {"_h": F.xxhash64("grams"), "_i": F.xxhash64(F.lit(1), "grams"), "n": F.size("grams"), "set_id": F.monotonically_increasing_id()}
+    read = materialise(grams.withColumns(sums), "grams", rows=BLOCK)
+    least = read.groupBy("_h", "_i").agg(F.min(F.struct("_key", "set_id")).alias("least"))
+    # the row that gave the class its name stands for it
+    least = materialise(least.select("_h", "_i", F.col("least._key").alias("class_id"), F.col("least.set_id").alias("set_id")), "sets")
+    own = read.select("_key", "_h", "_i").join(least, ["_h", "_i"]).select(F.col("_key").alias(key), "class_id")
+    membership = materialise(own.distinct(), "classes")
+    sets = least.select("class_id", "set_id")
+    sets._stored_at, sets._grams, sets._rows = least._stored_at, read, BLOCK
+    return membership, sets
+
+
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(low, high, common, either): set ids, low being the smaller set, of every pair of :func:`classes` that reaches the
+    threshold, with the numbers of shingles in both and in either.
+
+    Each two blocks, and each block with itself, meet in one task, which reads them from the shared folder; the only rows
+    that leave it are pairs that are alike. A task has the tiles of a square, so that a block is read once for a few others.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
-    a = left.where("first").select(
-        *on, F.col("set_id").alias("low"), F.col("n").alias("n_low"), F.col("m").alias("m_low"), F.col("pos").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
-    )
-    b = right.select(
-        *on, F.col("set_id").alias("high"), F.col("n").alias("n_high"), F.col("m").alias("m_high"), F.col("pos").alias("j"), F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block")
-    )
-    ordered = (F.col("n_low") < F.col("n_high")) | ((F.col("n_low") == F.col("n_high")) & (F.col("low") < F.col("high")))
-    near = F.col("n_low") >= F.col("n_high") * F.lit(threshold) - 1e-9
-    most = F.least("i", "j") + 1 + F.least(F.col("m_low") - F.col("i"), F.col("m_high") - F.col("j")) - 1
-    enough = most >= (F.col("n_low") + F.col("n_high")) * F.lit(threshold / (1 + threshold)) - 1e-9
-    return a.join(b, [*on, "block"]).where(ordered & near & enough).select("low", "high", "n_low", F.lit(way).alias("way"))
-
-
-def _subsets(heads: DataFrame, cut: int) -> DataFrame:
-    """2-subsets of the heavy shingles at the head; ``first`` if both lie in the shorter head."""
-    heavy = F.filter(
-        F.transform("head", lambda x, i: F.struct(x["gram"].alias("gram"), x["df"].alias("df"), i.alias("pos"), (i < F.col("short")).alias("first"))),
-        lambda x: x["df"] > F.lit(cut),
-    )
-    one = heads.select("set_id", "n", "m", heavy.alias("h")).select("set_id", "n", "m", "h", F.posexplode("h").alias("i", "a"))
-    two = one.select("set_id", "n", "m", "a", F.explode(F.slice("h", F.col("i") + 2, F.greatest(F.size("h") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    return two.select(
-        "set_id", "n", "m", F.col("a.pos").alias("pos"), (F.col("a.first") & F.col("b.first")).alias("first"), F.least("a.df", "b.df").alias("df"),
-        F.least("a.gram", "b.gram").alias("gram"), F.greatest("a.gram", "b.gram").alias("gram2"),
-    )
+    spark, plan = sets.sparkSession, blocks(sets)
+    kept = "low long, high long, common long, either long"
+    if not plan:
+        return spark.createDataFrame([], kept)
+    side = min(4, max(1, len(plan) // 5))  # of a square
+    squares = -(-len(plan) // side)
+    rows = spark.range(0, squares, 1, 1).select(F.col("id").alias("a"), F.explode(F.expr(f"sequence(id, {squares - 1}L)")).alias("b"))
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a, b in zip(frame["a"], frame["b"], strict=True):
+                left = [set_tiles.block(*set_tiles.read(files)) for files in plan[a * side : (a + 1) * side]]
+                for k in range(b * side, min((b + 1) * side, len(plan))):
+                    other = left[k - b * side] if a == b else set_tiles.block(*set_tiles.read(plan[k]))
+                    for one in left[: k - b * side + 1] if a == b else left:
+                        yield pd.DataFrame(dict(zip(("low", "high", "common", "either"), set_tiles.alike(one, other, threshold), strict=True)))
+
+    return rows.repartition(min(squares * (squares + 1) // 2, 20_000)).mapInPandas(meet, kept)
+
+
+def blocks(sets: DataFrame) -> list[list[tuple[str, bytes]]]:
+    """The sets of :func:`classes` dealt to blocks of about SHINGLES shingles: (file, bitmap of its rows that stand for a class)."""
+    place = {"part": F.shiftright("set_id", 33), "file": F.floor((F.col("set_id") % (1 << 33)) / sets._rows)}
+    row = F.col("set_id") % (1 << 33) % sets._rows
+    files = sets._grams.select("n", "_metadata.file_path", "set_id").withColumns(place).groupBy("part", "file")
+    files = files.agg(F.min("file_path").alias("path"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    marks = sets.select("set_id", row.alias("row")).withColumns(place).groupBy("part", "file")
+    marks = marks.agg(F.bitmap_construct_agg("row").alias("marks"), F.count(F.lit(1)).alias("sets"))
+    marks = marks.withColumn("marks", F.substring("marks", 1, (sets._rows + 7) // 8))
+    plan, shingles, count = [], SHINGLES + 1, 0
+    for f in files.join(marks, ["part", "file"]).orderBy("part", "file").collect():
+        n = f["n"] * f["sets"] // f["rows"]
+        if shingles + n > SHINGLES or count + f["sets"] > set_tiles.MOST:
+            plan.append([])
+            shingles = count = 0
+        plan[-1].append((f["path"], bytes(f["marks"])))
+        shingles, count = shingles + n, count + f["sets"]
+    return plan
 
 
 def boundaries(heads: DataFrame, row_cost: float = 4.0) -> tuple[int, int]:
@@ -194,17 +150,14 @@ def boundaries(heads: DataFrame, row_cost: float = 4.0) -> tuple[int, int]:
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes whose Jaccard likeness is at least the threshold: class_a, class_b, common, likeness."""
-    pairs = materialise(candidates(sets, threshold), "candidates")
-    side = lambda tag: sets.select(F.col("set_id").alias(tag), F.col("class_id").alias(f"class_{tag}"), F.col("grams").alias(f"grams_{tag}"))
-    both = pairs.join(side("low"), "low").join(side("high"), "high")
-    common = F.size(F.array_intersect("grams_low", "grams_high"))
-    either = F.size("grams_low") + F.size("grams_high") - F.col("common")
+    pairs = materialise(candidates(sets, threshold), "alike")
+    side = lambda tag: sets.select(F.col("set_id").alias(tag), F.col("class_id").alias(f"class_{tag}"))
     found = (
-        both.withColumn("common", common)
-        .withColumn("likeness", F.col("common") / either)
-        .where(F.col("common") >= F.lit(threshold) * either - 1e-9)
+        pairs.join(side("low"), "low")
+        .join(side("high"), "high")
         .select(
-            F.least("class_low", "class_high").alias("class_a"), F.greatest("class_low", "class_high").alias("class_b"), "common", "likeness"
+            F.least("class_low", "class_high").alias("class_a"), F.greatest("class_low", "class_high").alias("class_b"),
+            F.col("common").cast("int").alias("common"), (F.col("common") / F.col("either")).alias("likeness"),
         )
         .distinct()
     )
@@ -221,7 +174,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = 5, thresho
     number; links are complete.
     """
     membership, sets = classes(docs, key, text, size)
-    return membership, similar_classes(sets, threshold)
+    links = similar_classes(sets, threshold)
+    discard(sets, sets._grams)
+    return membership, links
 
 
 def groups(membership: DataFrame, links: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkwarden.llm import near_duplicates as N
@@ -8,6 +9,7 @@ from inkwarden.llm import personal_data as P
 from inkwarden.llm import personal_data_spark as PS
 from inkwarden.llm import scanned_text as S
 from inkwarden.llm import scanned_text_spark as SS
+from inkwarden.llm import set_tiles as ST
 from inkwarden.llm.boosting import Boosted
 from inkwarden.llm.scanned_text_spark import Repair
 
@@ -96,6 +98,42 @@ def test_a_shingle_of_all_sets_is_met_in_blocks(spark, monkeypatch):
     assert pairs(spark, docs, 1, 0.6) == brute(docs, 1, 0.6)
 
 
+def test_what_is_shuffled_follows_the_records_not_the_pairs_met(spark):
+    """Every two records share rare-looking phrases, few are alike: no shingle, met pair or candidate goes through a shuffle."""
+    rng = random.Random(4)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(8)) for k in range(24)]
+    docs = [(f"k{i:03d}", " ".join([*rng.sample(phrases, 8), *(f"u{i}x{j}" for j in range(20))])) for i in range(100)] + [("copy", phrases[0])]
+    docs += [(f"{k}x", t + " once more") for k, t in docs[:5]]
+    written = lambda: sum(
+        s.shuffleWriteRecords() for s in (stages.apply(i) for stages in [spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)] for i in range(stages.size()))
+    )
+    df = spark.createDataFrame(docs, "id string, text string")
+    before = written()
+    membership, links = N.near_duplicates(df, "id", "text", 3, 0.5)
+    assert written() - before <= 12 * len(docs)
+    got = {(r.class_a, r.class_b) for r in links.collect()}
+    assert got == brute(docs, 3, 0.5) and membership.count() == len(docs)
+
+
+def test_array_join_over_blocks_and_chunks():
+    """Small chunks, sets that meet through lists and sets that meet all of fitting size, within a block and between two."""
+    rng = random.Random(7)
+    for threshold in (0.3, 0.5, 0.8):
+        sets = [set(rng.sample(range(40), rng.randint(1, 30))) for _ in range(50)]
+        sets += [s ^ {rng.randint(0, 39)} or {1} for s in sets[:25]]
+        value = [rng.getrandbits(62) for _ in range(40)]
+        block = lambda at: ST.block(np.array(at), np.array([len(sets[i]) for i in at]), np.concatenate([sorted(value[v] for v in sets[i]) for i in at]))
+        x, y = block(range(0, 75, 2)), block(range(1, 75, 2))
+        got = [
+            (min(a, b), max(a, b), c, e)
+            for p, q in ((x, x), (x, y), (y, y))
+            for a, b, c, e in zip(*(v.tolist() for v in ST.alike(p, q, threshold, chunk=13)), strict=True)
+        ]
+        both = lambda i, j: (len(sets[i] & sets[j]), len(sets[i] | sets[j]))
+        want = [(i, j, *both(i, j)) for i in range(75) for j in range(i + 1, 75) if both(i, j)[0] >= threshold * both(i, j)[1] - 1e-9]
+        assert sorted(got) == want
+
+
 def test_groups_and_empty(spark):
     docs = [("a", "x y z u v w q"), ("b", "x y z u v w r"), ("c", "x y z u v w r s"), ("d", "other words stand here alone now")]
     df = spark.createDataFrame(docs, "id string, text string")
