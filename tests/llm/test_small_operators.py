@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwarden.llm import heavy_hitters as H
 from inkwarden.llm import mixing as M
+from inkwarden.llm import p6 as P6
 from inkwarden.llm import packing as P
 from inkwarden.llm import subjects as SU
 from inkwarden.llm import unicode_forms as U
@@ -87,6 +88,19 @@ def test_normalise_over_a_table(spark):
     assert U.normalise(df.limit(0), "text").count() == 0
 
 
+def test_kinds_are_found_without_making_forms(spark, tmp_path):
+    """Every stage of p6_found counts: what it lists depends on the lines as written, so no form is made on the way."""
+    texts = ["A  b", "Ａ b", None, "", "tab\there", "cаt ​x y", "é", "Договор", "Ａ b"]
+    rows = [("j", i, t) for i, t in enumerate(texts)] + [("j", 1, "Ａ b")]
+    spark.createDataFrame(rows, "job_id string, line_number int, text string").write.parquet(f"{tmp_path}/text_lines.parquet")
+    found = P6.p6_found(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "_forms" not in plan and " AS form" not in plan
+    got = sorted((r.line_number, r.kind) for r in found.collect())
+    assert got == sorted((i, k) for i, t in enumerate(texts) if t for k in U.kinds_of(t))
+    assert {r.line_number: r.form for r in P6.p6_lines(spark, str(tmp_path)).collect()} == {i: t if t is None else U.consistent(t) for i, t in enumerate(texts)}
+
+
 # --- packing ---
 
 
