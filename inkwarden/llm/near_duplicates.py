@@ -35,15 +35,15 @@ def words(text: Column) -> Column:
 
 
 def shingles(w: Column, size: int) -> Column:
-    """Distinct hashes of ``size`` consecutive words; fewer words have none.
+    """Distinct hashes of ``size`` consecutive words, in ascending order; fewer words have none. ``w``: hashes of the words.
 
     The words are read from arrays that begin one word later each, so that no expression runs again for each shingle.
     """
     many = F.greatest(F.size(w) - F.lit(size - 1), F.lit(0))
-    out = F.transform(F.slice(w, F.lit(1), many), lambda x: F.xxhash64(x))
+    out = F.slice(w, F.lit(1), many)
     for k in range(1, size):
         out = F.zip_with(out, F.slice(w, F.lit(k + 1), many), lambda x, y: F.xxhash64(x, y))
-    return F.array_distinct(out)
+    return F.sort_array(F.array_distinct(out))
 
 
 def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -55,11 +55,12 @@ def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame,
     in files of BLOCK rows, and the files of that table (``sets._grams``) are read again where sets meet. What is
     shuffled is the key and two 64-bit sums of the set, of one seed each.
     """
-    w = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("_words"))
-    grams = w.select("_key", F.array_sort(shingles(F.col("_words"), size)).alias("grams")).where(F.size("grams") > 0)
+    hashes = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
+    w = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), hashes.alias("_words"))
+    grams = w.select("_key", shingles(F.col("_words"), size).alias("grams"))  # a filter here would make them twice
     sums = {"_h": F.xxhash64("grams"), "_i": F.xxhash64(F.lit(1), "grams"), "n": F.size("grams"), "set_id": F.monotonically_increasing_id()}
     read = materialise(grams.withColumns(sums), "grams", rows=BLOCK)
-    least = read.groupBy("_h", "_i").agg(F.min(F.struct("_key", "set_id")).alias("least"))
+    least = read.where("n > 0").groupBy("_h", "_i").agg(F.min(F.struct("_key", "set_id")).alias("least"))
     # the row that gave the class its name stands for it
     least = materialise(least.select("_h", "_i", F.col("least._key").alias("class_id"), F.col("least.set_id").alias("set_id")), "sets")
     own = read.select("_key", "_h", "_i").join(least, ["_h", "_i"]).select(F.col("_key").alias(key), "class_id")
